@@ -11,6 +11,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from sqlgauge import settings as S
 from sqlgauge.functions.text import strip
@@ -170,7 +171,7 @@ def _name_credit(gold: list[str], pred: list[str]) -> float:
     return credit
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _fuzzy_credit(gold: pd.Series, pred: pd.Series) -> pd.Series:
     return pd.Series([_name_credit(list(g), list(p)) if g is not None and len(g) else 0.0
                       for g, p in zip(gold, pred)], dtype="float64")

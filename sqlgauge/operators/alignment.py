@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sqlgauge import settings as S
 from sqlgauge.functions.scores import schema_score
@@ -48,10 +49,12 @@ def best_assignment(sim: np.ndarray) -> list[tuple[int, int]]:
     return [(int(owner[c]), c) for c in range(m) if owner[c] != -1]
 
 
-PAIR_SCHEMA = "array<struct<true_no int, pred_no int, sim double>>"
+PAIR_TYPE = T.ArrayType(T.StructType([
+    T.StructField("true_no", T.IntegerType()), T.StructField("pred_no", T.IntegerType()),
+    T.StructField("sim", T.DoubleType())]))
 
 
-@F.pandas_udf(PAIR_SCHEMA)
+@F.pandas_udf(PAIR_TYPE)
 def _assign(true_vecs: pd.Series, pred_vecs: pd.Series) -> pd.Series:
     def pairs(true_rows, pred_rows):
         a = np.array([list(v) for v in true_rows], dtype="float64")
