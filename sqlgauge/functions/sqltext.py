@@ -149,7 +149,7 @@ def looks_parsable(c: Column) -> Column:
     text = masked_sql(c)
     opened = F.length(text) - F.length(F.translate(text, "(", ""))
     closed = F.length(text) - F.length(F.translate(text, ")", ""))
-    return F.coalesce(text.rlike(r"\A(?:SELECT|WITH)\b") & (opened == closed)
+    return F.coalesce(text.rlike(r"\A(?:SELECT\b|WITH\b.* AS \()") & (opened == closed)
                       & ~text.contains("'"), F.lit(False))
 
 

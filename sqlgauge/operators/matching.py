@@ -91,55 +91,62 @@ def first_fit_hits(items: DataFrame, keys: Sequence[str], closeness: Closeness,
     ``block`` (exact part, text) and ``vec`` (numbers, at most ``dims`` of them).
     """
     keys = list(keys)
-    solved, todo = [], items.withColumnRenamed("block", "grp")
+    solved, todo = [], materialize(items.withColumnRenamed("block", "grp"), "first-fit")
     for dim in range(max(dims, 1)):
-        done, todo = _split_components(todo, keys, closeness, dim, max(dims, 1))
-        solved.append(done)
-    sizes = todo.groupBy(*keys, "grp").agg(F.count("*").alias("n_items"))
-    rest = materialize(todo.join(sizes, [*keys, "grp"]), "first-fit")
+        marked = _mark_components(todo, keys, closeness, dim, max(dims, 1))
+        solved.append(marked.filter("decided and cell = run").select(
+            *keys, F.least("n_left", "n_right").alias("hits")))
+        todo = materialize(_undecided(todo, marked, keys, closeness, dim), "first-fit")
+        if todo.isEmpty():
+            break
     n = F.col("n_items")
-    solved.append(_fold(rest.filter(n <= fold_limit), keys, closeness))
-    largest = rest.agg(F.max("n_items")).first()[0] or 0
+    largest = todo.agg(F.max(n)).first()[0] or 0
+    if largest:
+        solved.append(_fold(todo.filter(n <= fold_limit), keys, closeness))
     if largest > fold_limit:
-        solved.append(_arrow_groups(rest.filter(n.between(fold_limit + 1, group_limit)), keys, closeness))
+        solved.append(_arrow_groups(todo.filter(n.between(fold_limit + 1, group_limit)), keys, closeness))
     if largest > group_limit:
-        solved.extend(_rounds(rest.filter(n > group_limit), keys, closeness))
+        solved.extend(_rounds(todo.filter(n > group_limit), keys, closeness))
     return reduce(DataFrame.unionByName, solved).groupBy(*keys).agg(F.sum("hits").alias("hits"))
 
 
-def _split_components(todo: DataFrame, keys: list[str], closeness: Closeness, dim: int,
-                      dims: int) -> tuple[DataFrame, DataFrame]:
-    """Split by one number: (hits of decided components, items of undecided ones)."""
+def _mark_components(todo: DataFrame, keys: list[str], closeness: Closeness, dim: int,
+                     dims: int) -> DataFrame:
+    """Occupied cells along one number with their component: its first cell (``run``), its
+    counts, and whether these decide it."""
     part = [*keys, "grp"]
-    todo = todo.withColumn("cell", closeness.cell(F.get("vec", F.lit(dim))))
-    bounds = []
-    for d in range(dims):
-        bounds += [(f"lo{d}", F.min, F.get("vec", F.lit(d))), (f"hi{d}", F.max, F.get("vec", F.lit(d)))]
-    cells = todo.groupBy(*part, "cell").agg(
+    number = lambda d: F.get("vec", F.lit(d))
+    cells = todo.groupBy(*part, closeness.cell(number(dim)).alias("cell")).agg(
         F.count_if(F.col("side") == "left").alias("n_left"),
         F.count_if(F.col("side") == "right").alias("n_right"),
-        *[agg(c).alias(name) for name, agg, c in bounds],
+        *[F.min(number(d)).alias(f"lo{d}") for d in range(dims)],
+        *[F.max(number(d)).alias(f"hi{d}") for d in range(dims)],
     )
     along = Window.partitionBy(*part).orderBy("cell")
-    gap = F.col("cell") - F.lag("cell").over(along) > 1
-    runs = cells.withColumn("gap", F.coalesce(gap, F.lit(True)).cast("int"))
-    runs = runs.withColumn("run", F.sum("gap").over(along))
-    comps = runs.groupBy(*part, "run").agg(
-        F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"),
-        *[agg(name).alias(name) for name, agg, _ in bounds],
-    )
+    starts = F.coalesce(F.col("cell") - F.lag("cell").over(along) > 1, F.lit(True))
+    runs = cells.withColumn("start", F.when(starts, F.col("cell"))).withColumn(
+        "run", F.last("start", ignorenulls=True).over(along))
+    whole = Window.partitionBy(*part, "run")
     tight = reduce(lambda a, b: a & b, [
-        F.coalesce(closeness.all_near(F.col(f"lo{d}"), F.col(f"hi{d}")), F.lit(True))
+        F.coalesce(closeness.all_near(F.min(f"lo{d}").over(whole), F.max(f"hi{d}").over(whole)), F.lit(True))
         for d in range(dims)])
-    decided = (F.col("n_left") == 0) | (F.col("n_right") == 0) | tight
-    done = comps.filter(decided).select(*keys, F.least("n_left", "n_right").alias("hits"))
-    open_cells = runs.join(comps.filter(~decided).select(*part, "run"), [*part, "run"], "left_semi")
-    rest = (
-        todo.join(open_cells.select(*part, "cell", "run"), [*part, "cell"])
-        .withColumn("grp", F.concat_ws("/", "grp", F.col("run").cast("string")))
-        .select(*keys, "side", "pos", "grp", "vec")
-    )
-    return done, rest
+    marked = runs.withColumns({
+        "tight": tight, "n_left": F.sum("n_left").over(whole), "n_right": F.sum("n_right").over(whole)})
+    one_sided = (F.col("n_left") == 0) | (F.col("n_right") == 0)
+    return marked.select(*part, "cell", "run", "n_left", "n_right",
+                         (one_sided | F.col("tight")).alias("decided"))
+
+
+def _undecided(todo: DataFrame, marked: DataFrame, keys: list[str], closeness: Closeness,
+               dim: int) -> DataFrame:
+    """Items of the components that their counts do not decide, grouped by component."""
+    part = [*keys, "grp"]
+    cells = marked.filter("not decided").select(
+        *part, "cell", "run", (F.col("n_left") + F.col("n_right")).alias("n_items"))
+    here = todo.select(*part, "side", "pos", "vec", closeness.cell(F.get("vec", F.lit(dim))).alias("cell"))
+    return here.join(cells, [*part, "cell"]).select(
+        *keys, "side", "pos", "vec", "n_items",
+        F.concat_ws("/", "grp", F.col("run").cast("string")).alias("grp"))
 
 
 def _vectors_near(closeness: Closeness, left: Column, right: Column) -> Column:

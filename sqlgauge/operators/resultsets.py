@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from sqlgauge import settings as S
 from sqlgauge.functions.scores import NUMBER_PATTERN, cells_close, f1_score, numeric
 from sqlgauge.functions.text import strip
+from sqlgauge.session import materialize
 from sqlgauge.operators.matching import CELL_CLOSENESS, VALUE_CLOSENESS, first_fit_hits
 
 
@@ -114,7 +115,7 @@ def staged_verdict(pairs: DataFrame, outcomes: DataFrame, rows: DataFrame,
         "case_id", F.coalesce(same_text, F.lit(False)).alias("same_text"), "gold_ok", "pred_ok")
     ran = runs.filter(~F.col("same_text") & F.col("gold_ok") & F.col("pred_ok"))
     todo = rows.join(ran.select("case_id"), "case_id", "left_semi")
-    strict = strict_equality(todo)
+    strict = materialize(strict_equality(todo), "strict")
     undecided = strict.filter(~F.col("strict_equal") & (F.col("n_gold") == F.col("n_pred")))
     matched = fuzzy_matches(todo.join(undecided.select("case_id"), "case_id", "left_semi"), dims)
     count = lambda c: F.coalesce(F.col(c), F.lit(0))

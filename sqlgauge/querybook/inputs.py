@@ -34,11 +34,9 @@ def choose(c: Column, values: dict[str, str]) -> Column:
 
 
 def pick(bucket: Column, *values: Column | str) -> Column:
-    """The value at a bucket number."""
-    out = F.lit(None)
-    for i, v in enumerate(values):
-        out = F.when(bucket == i, F.lit(v) if isinstance(v, str) else v).otherwise(out)
-    return out
+    """The value at a bucket number; the bucket is worked out once."""
+    listed = F.array(*[F.lit(v) if isinstance(v, str) else v for v in values])
+    return F.get(listed, bucket.cast("int"))
 
 
 def sql_bucket(key: str, n: int | str) -> str:
