@@ -144,11 +144,16 @@ def constraint_steps(seeds: DataFrame, responses: DataFrame) -> DataFrame:
             F.col("query"), F.col("x.constraint_description"))))
 
 
+def constraint_examples(seeds: DataFrame, responses: DataFrame, examples: DataFrame,
+                        example_key: str) -> DataFrame:
+    """Steps with one example each. ``examples``: example_key, original_question, response."""
+    pool = examples.select(example_key, "original_question", F.col("response").alias("example_response"))
+    return attach_example(constraint_steps(seeds, responses), prompt_key(F.col("query")), pool, example_key)
+
+
 def constraint_rows(seeds: DataFrame, responses: DataFrame, examples: DataFrame,
                     example_key: str) -> DataFrame:
-    """``examples``: example_key, original_question, response. Picks one per seed."""
-    pool = examples.select(example_key, "original_question", F.col("response").alias("example_response"))
-    steps = attach_example(constraint_steps(seeds, responses), prompt_key(F.col("query")), pool, example_key)
+    steps = constraint_examples(seeds, responses, examples, example_key)
     rows = attach_responses(steps, constraint_reasoning_request(), responses, "reasoning")
     status = F.coalesce(
         _gap_status(),

@@ -1,6 +1,6 @@
 """All registered queries: importing the modules fills the registry."""
 
-from sqlgauge.querybook import answers, business, prompts, results, rewards  # noqa: F401
+from sqlgauge.querybook import answers, business, mutations, prompts, results, rewards  # noqa: F401
 from sqlgauge.querybook.registry import ORACLES, QUERIES, SURVEY_IDS
 
 __all__ = ["ORACLES", "QUERIES", "SURVEY_IDS"]
