@@ -131,7 +131,11 @@ def sql_gaps(required) -> str:
 
 def completions(spark: SparkSession, sf: str) -> DataFrame:
     """One completion per assistant turn, in six forms, for eight tasks."""
-    turns = table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    return as_completions(table(spark, sf, "conversations"))
+
+
+def as_completions(conversations: DataFrame) -> DataFrame:
+    turns = conversations.filter(F.col("role") == "assistant")
     key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     conv = F.col("conv_id").cast("string")
     rows = turns.select(key.alias("key"), "conv_id", "text", conv.alias("conv")).withColumns({

@@ -55,7 +55,7 @@ def guarded_session(spark: SparkSession, views: Mapping[str, str] | None = None)
     session = spark.newSession()
     session.conf.set("spark.sql.runSQLOnFiles", "false")
     session.conf.set("spark.sql.ansi.enabled", "true")
-    for conf in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.checkpoint.dir"):
+    for conf in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         if spark.conf.get(conf, None) is not None:
             session.conf.set(conf, spark.conf.get(conf))
     for name, path in (views or {}).items():

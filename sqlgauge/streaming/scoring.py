@@ -39,7 +39,7 @@ def completion_stream(spark: SparkSession, path: str, schema: StructType,
 def _scored_before(spark: SparkSession, out: str, schema: StructType, batch_id: int) -> DataFrame:
     """Keys of earlier batches; the current batch is left out in case it is replayed."""
     try:
-        done = spark.read.schema(schema.add("batch", "bigint")).parquet(out)
+        done = spark.read.schema(schema.add("batch", "long")).parquet(out)
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             return spark.createDataFrame([], "key string")
