@@ -1,6 +1,8 @@
 """All registered queries: importing the modules fills the registry."""
 
-from sqlgauge.querybook import answers, arrivals, business, mutations, prompts, results, rewards, statements  # noqa: F401
+from sqlgauge.querybook import (  # noqa: F401
+    answers, arrivals, business, evaluations, mutations, prompts, results, rewards, statements,
+)
 from sqlgauge.querybook.registry import ORACLES, QUERIES, SURVEY_IDS
 
 __all__ = ["ORACLES", "QUERIES", "SURVEY_IDS"]
