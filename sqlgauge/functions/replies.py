@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sqlgauge import settings as S
-from sqlgauge.functions.text import is_blank, strip
+from sqlgauge.functions.text import bind, is_blank, strip
 
 # Reply patterns.
 THINK_PATTERN = r"(?s)<think>(.*?)</think>"
@@ -120,9 +120,12 @@ def strict_json(c: Column) -> Column:
     The JSON functions ignore text after the first value, so the text is checked as a
     member between two known keys of an object.
     """
-    wrapped = F.concat(F.lit('{"v":'), c, F.lit(',"end":0}'))
-    whole = F.array_join(F.json_object_keys(wrapped), ",") == "v,end"
-    return F.when(whole & ~is_blank(c), c)
+    def checked(text: Column) -> Column:
+        wrapped = F.concat(F.lit('{"v":'), text, F.lit(',"end":0}'))
+        whole = F.array_join(F.json_object_keys(wrapped), ",") == "v,end"
+        return F.when(whole & ~is_blank(text), text)
+
+    return bind(c, checked)
 
 
 def without_fences(c: Column) -> Column:
@@ -137,16 +140,20 @@ def json_fields(c: Column, fields: Sequence[str], required: Sequence[str] | None
     ``missing_keys`` or ``not_json``.
     """
     required = fields if required is None else required
-    doc = strict_json(c)
-    keys = F.json_object_keys(doc)
-    present = F.size(F.array_intersect(keys, F.array(*[F.lit(k) for k in required]))) == len(required)
-    parsed = F.from_json(doc, ", ".join(f"`{f}` string" for f in fields))
-    status = (
-        F.when(doc.isNull(), F.lit("not_json"))
-        .when(keys.isNull() | ~present, F.lit("missing_keys"))
-        .otherwise(F.lit("ok"))
-    )
-    return F.struct(*[parsed[f].alias(f) for f in fields], status.alias("status"))
+    wanted = F.array(*[F.lit(k) for k in required])
+
+    def read(doc: Column) -> Column:
+        keys = F.json_object_keys(doc)
+        present = F.size(F.array_intersect(keys, wanted)) == len(required)
+        parsed = F.from_json(doc, ", ".join(f"`{f}` string" for f in fields))
+        status = (
+            F.when(doc.isNull(), F.lit("not_json"))
+            .when(keys.isNull() | ~present, F.lit("missing_keys"))
+            .otherwise(F.lit("ok"))
+        )
+        return F.struct(*[parsed[f].alias(f) for f in fields], status.alias("status"))
+
+    return bind(strict_json(c), read)
 
 
 def fenced_json_fields(c: Column, fields: Sequence[str], required: Sequence[str] | None = None) -> Column:

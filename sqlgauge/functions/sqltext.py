@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from sqlgauge import settings as S
-from sqlgauge.functions.text import strip
+from sqlgauge.functions.text import bind, strip
 
 KEYWORDS = (
     "ALL AND ANY AS ASC BETWEEN BY CASE CAST CROSS CURRENT DATE DESC DISTINCT ELSE END EXCEPT "
@@ -57,22 +57,26 @@ def _canonical_token(t: Column) -> Column:
     )
 
 
+def token_text(c: Column) -> Column:
+    """Statement without comments, single blanks, upper keywords, lower names."""
+    tokens = F.regexp_extract_all(c, F.lit(TOKEN_PATTERN), 1)
+    kept = F.filter(tokens, lambda t: ~(t.startswith("--") | t.startswith("/*")))
+    return F.array_join(F.transform(kept, _canonical_token), " ")
+
+
 def canonical_sql(c: Column) -> Column:
-    """One spelling per statement: no comments, single blanks, upper keywords, lower names.
+    """One spelling per statement: ``token_text`` from the first SELECT or WITH on.
 
-    Text before the first SELECT or WITH and closing semicolons are dropped.
+    Closing semicolons are dropped as well.
     """
-    tokens = F.regexp_extract_all(c, F.lit(TOKEN_PATTERN), 1)
-    kept = F.filter(tokens, lambda t: ~(t.startswith("--") | t.startswith("/*")))
-    text = F.array_join(F.transform(kept, _canonical_token), " ")
     begin = r"(?s)\A.*?(?<![\p{L}\p{N}_.$'\"`])(?=(?:SELECT|WITH)\b)"
-    text = F.regexp_replace(text, begin, "")
+    text = F.regexp_replace(token_text(c), begin, "")
     return strip(F.regexp_replace(text, r"[\s;]+\z", ""))
 
 
-def masked_sql(c: Column) -> Column:
+def masked(canonical: Column) -> Column:
     """Canonical text with string literals replaced by ``?``."""
-    return F.regexp_replace(canonical_sql(c), _STRING, "?")
+    return F.regexp_replace(canonical, _STRING, "?")
 
 
 def _all(c: Column, pattern: str) -> Column:
@@ -84,15 +88,13 @@ def _last_part(names: Column) -> Column:
     return F.array_distinct(F.transform(bare, lambda n: F.lower(F.substring_index(n, ".", -1))))
 
 
-def table_names(c: Column) -> Column:
-    text = masked_sql(c)
+def _table_names(text: Column) -> Column:
     listed = rf"(?:FROM|JOIN) ((?:{_ID}|`[^`]*`|\"[^\"]*\"))"
     return _last_part(_all(text, listed))
 
 
-def column_names(c: Column) -> Column:
+def _column_names(text: Column) -> Column:
     """Names left after removing tables, aliases, functions and CTE names."""
-    text = masked_sql(c)
     steps = [
         (r"[`\"]", ""),
         (rf"{_ID} AS \(", "("),                        # name of a CTE
@@ -118,35 +120,38 @@ CLAUSE_PATTERNS = {
 }
 
 
-def clause_names(c: Column) -> Column:
-    text = masked_sql(c)
+def _clause_names(text: Column) -> Column:
     hits = [F.when(text.rlike(p), F.lit(name)) for name, p in CLAUSE_PATTERNS.items()]
     return F.array_compact(F.array(*hits))
 
 
-def literal_values(c: Column) -> Column:
+def _literal_values(canonical: Column, text: Column) -> Column:
     """Text of all string and number literals, without quotes."""
-    text = canonical_sql(c)
-    strings = F.regexp_extract_all(text, F.lit(f"({_STRING})"), 1)
+    strings = F.regexp_extract_all(canonical, F.lit(f"({_STRING})"), 1)
     numbers = F.regexp_extract_all(
-        F.regexp_replace(text, _STRING, "?"),
+        text,
         F.lit(r"(?<![\p{L}\p{N}_$.])(\d+(?:\.\d+)?)(?![\p{L}\p{N}_])"), 1)
     bare = F.transform(strings, lambda s: F.regexp_replace(s, "['\"]", ""))
     return F.array_distinct(F.concat(bare, numbers))
 
 
 def sql_features(c: Column) -> Column:
-    return F.struct(
-        table_names(c).alias("tables"),
-        column_names(c).alias("columns"),
-        clause_names(c).alias("keywords"),
-        literal_values(c).alias("literals"),
-    )
+    """Struct of tables, columns, keywords, literals and ``parsable``."""
+    def from_texts(t: Column) -> Column:
+        return F.struct(
+            _table_names(t["masked"]).alias("tables"),
+            _column_names(t["masked"]).alias("columns"),
+            _clause_names(t["masked"]).alias("keywords"),
+            _literal_values(t["canonical"], t["masked"]).alias("literals"),
+            _looks_parsable(t["masked"]).alias("parsable"),
+        )
+
+    both = bind(canonical_sql(c), lambda t: F.struct(t.alias("canonical"), masked(t).alias("masked")))
+    return bind(both, from_texts)
 
 
-def looks_parsable(c: Column) -> Column:
+def _looks_parsable(text: Column) -> Column:
     """Fallback where no engine verdict is at hand: a SELECT with balanced brackets."""
-    text = masked_sql(c)
     opened = F.length(text) - F.length(F.translate(text, "(", ""))
     closed = F.length(text) - F.length(F.translate(text, ")", ""))
     return F.coalesce(text.rlike(r"\A(?:SELECT\b|WITH\b.* AS \()") & (opened == closed)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +18,21 @@ FORMULA_LINE_PATTERN = r"(?smdU)\A(.*?)(^[^\S\n]*计算逻辑：.*)\z"
 CONSTRAINT_PATTERN = r"必备约束：([^\n]*)"
 
 
+# The characters that count as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
-    """Remove white space of any kind at both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    """Remove white space of any kind at both ends (``trim`` alone removes blanks only)."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` needs it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def is_blank(c: Column) -> Column:

@@ -85,13 +85,17 @@ VALUE_CLOSENESS = Closeness(S.VALUE_REL_TOL, S.VALUE_ZERO_TOL, _value_near, _val
 
 def first_fit_hits(items: DataFrame, keys: Sequence[str], closeness: Closeness, dims: int,
                    fold_limit: int = FOLD_LIMIT, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Number of left items that find a partner, per key; keys without any are absent.
+    """``(keys, n_left, n_right, hits)``: items per side and left items that find a partner.
 
     ``items`` has the keys, ``side`` ('left' or 'right'), ``pos`` (order within the side),
-    ``block`` (exact part, text) and ``vec`` (numbers, at most ``dims`` of them).
+    ``block`` (exact part, text) and ``vec`` (numbers, at most ``dims`` of them). An item that
+    can match nothing has a null block.
     """
     keys = list(keys)
-    solved, todo = [], materialize(items.withColumnRenamed("block", "grp"), "first-fit")
+    stored = materialize(items.withColumnRenamed("block", "grp"), "first-fit")
+    counts = stored.groupBy(*keys).agg(F.count_if(F.col("side") == "left").alias("n_left"),
+                                       F.count_if(F.col("side") == "right").alias("n_right"))
+    solved, todo = [], stored.filter("grp is not null")
     for dim in range(max(dims, 1)):
         marked = _mark_components(todo, keys, closeness, dim, max(dims, 1))
         solved.append(marked.filter("decided and cell = run").select(
@@ -107,7 +111,8 @@ def first_fit_hits(items: DataFrame, keys: Sequence[str], closeness: Closeness,
         solved.append(_arrow_groups(todo.filter(n.between(fold_limit + 1, group_limit)), keys, closeness))
     if largest > group_limit:
         solved.extend(_rounds(todo.filter(n > group_limit), keys, closeness))
-    return reduce(DataFrame.unionByName, solved).groupBy(*keys).agg(F.sum("hits").alias("hits"))
+    hits = reduce(DataFrame.unionByName, solved).groupBy(*keys).agg(F.sum("hits").alias("hits"))
+    return counts.join(hits, keys, "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
 
 
 def _mark_components(todo: DataFrame, keys: list[str], closeness: Closeness, dim: int,

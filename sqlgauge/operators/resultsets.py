@@ -78,16 +78,17 @@ def rows_close(gold: Column, pred: Column) -> Column:
 
 
 def _fuzzy_items(rows: DataFrame) -> DataFrame:
-    """Split rows into exact part and numbers. A NaN cell is close to nothing: row left out."""
+    """Split rows into exact part and numbers. A row with a NaN cell matches nothing."""
     is_number = lambda c: F.coalesce(c["val"].rlike(NUMBER_PATTERN), F.lit(False))
     exact = F.transform(F.col("cells"), lambda c: F.struct(
         c["col"].alias("col"), is_number(c).alias("num"),
         F.when(~is_number(c), c["val"]).alias("val")))
     numbers = F.transform(F.filter("cells", is_number), lambda c: numeric(c["val"]))
-    return rows.filter(~F.exists("cells", lambda c: c["val"].eqNullSafe("NaN"))).select(
+    matchable = ~F.exists("cells", lambda c: c["val"].eqNullSafe("NaN"))
+    return rows.select(
         "case_id", F.when(_is("gold"), "left").otherwise("right").alias("side"),
-        F.col("row_no").alias("pos"), F.sha2(F.to_json(exact), 256).alias("block"),
-        numbers.alias("vec"))
+        F.col("row_no").alias("pos"),
+        F.when(matchable, F.sha2(F.to_json(exact), 256)).alias("block"), numbers.alias("vec"))
 
 
 def fuzzy_matches(rows: DataFrame, dims: int | None = None, **limits: int) -> DataFrame:
@@ -99,7 +100,7 @@ def fuzzy_matches(rows: DataFrame, dims: int | None = None, **limits: int) -> Da
     if dims is None:
         dims = items.agg(F.max(F.size("vec"))).first()[0] or 0
     hits = first_fit_hits(items, ["case_id"], CELL_CLOSENESS, dims, **limits)
-    return hits.withColumnRenamed("hits", "n_matched")
+    return hits.select("case_id", F.col("hits").alias("n_matched"))
 
 
 def staged_verdict(pairs: DataFrame, outcomes: DataFrame, rows: DataFrame,
@@ -175,16 +176,13 @@ def value_scores(rows: DataFrame, mapping: DataFrame, n_gold_cols: DataFrame, **
     ]
     values = reduce(DataFrame.unionByName, mapped)
     number = numeric(F.col("val"))
-    items = values.filter(F.col("val") != "NaN").select(
-        "case_id", "true_col", "side", "pos",
-        F.when(number.isNull(), F.col("val")).otherwise(F.lit("")).alias("block"),
+    block = F.when(F.col("val") != "NaN", F.when(number.isNull(), F.col("val")).otherwise(F.lit("")))
+    items = values.select(
+        "case_id", "true_col", "side", "pos", block.alias("block"),
         F.when(number.isNull(), F.array().cast("array<double>")).otherwise(F.array(number)).alias("vec"))
-    keys = ["case_id", "true_col"]
-    hits = first_fit_hits(items, keys, VALUE_CLOSENESS, 1, **limits)
-    counts = values.groupBy(*keys).agg(
-        F.count_if(_is("left")).alias("n_pred"), F.count_if(_is("right")).alias("n_gold"))
-    f1 = f1_score(F.coalesce("hits", F.lit(0)), F.col("n_pred"), F.col("n_gold"))
-    per_case = counts.join(hits, keys, "left").groupBy("case_id").agg(F.sum(f1).alias("f1_sum"))
+    hits = first_fit_hits(items, ["case_id", "true_col"], VALUE_CLOSENESS, 1, **limits)
+    f1 = f1_score(F.col("hits"), F.col("n_left"), F.col("n_right"))
+    per_case = hits.groupBy("case_id").agg(F.sum(f1).alias("f1_sum"))
     return n_gold_cols.join(per_case, "case_id", "left").select(
         "case_id",
         F.coalesce(F.try_divide("f1_sum", "n_gold_cols"), F.lit(0.0)).alias("value_score"))

@@ -20,7 +20,7 @@ from sqlgauge.functions.replies import (
 )
 from sqlgauge.functions.templates import CLARIFY_CATEGORIES, render
 from sqlgauge.functions.text import (
-    context_before_examples, insert_constraint, is_blank, missing_sections, prompt_key,
+    SECTIONS, context_before_examples, insert_constraint, is_blank, missing_sections, prompt_key,
     replace_question, strip, with_sections,
 )
 from sqlgauge.operators.sampling import attach_example, fault_for, swap_metric
@@ -29,8 +29,12 @@ from sqlgauge.sources.exchange import attach_responses
 
 
 def with_gaps(seeds: DataFrame, task: str) -> DataFrame:
-    """Sections of the prompt and the names of required ones that are empty."""
-    return with_sections(seeds).withColumn("gaps", missing_sections(S.REQUIRED_SECTIONS[task]))
+    """Sections of the prompt and the names of required ones that are empty.
+
+    Seeds that come with their sections (a stored table of them) are not cut again.
+    """
+    cut = seeds if set(SECTIONS) <= set(seeds.columns) else with_sections(seeds)
+    return cut.withColumn("gaps", missing_sections(S.REQUIRED_SECTIONS[task]))
 
 
 def _gap_status() -> Column:

@@ -13,7 +13,7 @@ from sqlgauge.functions.scores import (
     cosine, dense_score, exact_reward, format_reward, grammar_reward, length_reward, row_count_score,
     rule_score, set_score, similarity_reward, total_reward,
 )
-from sqlgauge.functions.sqltext import fuzzy_table_score, looks_parsable, sql_features
+from sqlgauge.functions.sqltext import fuzzy_table_score, sql_features
 from sqlgauge.functions.text import strip
 from sqlgauge.operators.alignment import align_columns, schema_scores
 from sqlgauge.operators.resultsets import value_scores
@@ -25,21 +25,16 @@ def with_rule_score(rows: DataFrame, pred: str = "pred", gold: str = "gold",
 
     Unreadable gold leaves nothing to find, so every part is 1 then; ``gold_parsed`` tells.
     """
-    parsed = looks_parsable(F.col(pred)) if parsed is None else parsed
     none = F.array().cast("array<string>")
-
-    def features(c: str) -> Column:
-        f = sql_features(F.col(c))
-        return F.when(looks_parsable(F.col(c)), f).otherwise(
-            F.struct(*[none.alias(n) for n in ("tables", "columns", "keywords", "literals")]))
-
-    out = rows.withColumns({"_p": features(pred), "_g": features(gold)})
+    out = rows.withColumns({"_p": sql_features(F.col(pred)), "_g": sql_features(F.col(gold))})
+    gold_parsed = F.coalesce(F.col("_g.parsable"), F.lit(False))
+    p = {n: F.col(f"_p.{n}") for n in S.RULE_PARTS}
+    g = {n: F.when(gold_parsed, F.col(f"_g.{n}")).otherwise(none) for n in S.RULE_PARTS}
     score = rule_score(
-        fuzzy_table_score(F.col("_p.tables"), F.col("_g.tables")),
-        set_score(F.col("_p.columns"), F.col("_g.columns")),
-        set_score(F.col("_p.keywords"), F.col("_g.keywords"), "jaccard"),
-        set_score(F.col("_p.literals"), F.col("_g.literals")), parsed)
-    return out.withColumns({name: score, "gold_parsed": looks_parsable(F.col(gold))}).drop("_p", "_g")
+        fuzzy_table_score(p["tables"], g["tables"]), set_score(p["columns"], g["columns"]),
+        set_score(p["keywords"], g["keywords"], "jaccard"), set_score(p["literals"], g["literals"]),
+        F.coalesce(F.col("_p.parsable"), F.lit(False)) if parsed is None else parsed)
+    return out.withColumns({name: score, "gold_parsed": gold_parsed}).drop("_p", "_g")
 
 
 def dense_scores(rows: DataFrame, columns: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sqlgauge import settings as S
 from sqlgauge.functions.text import hash_bucket, prompt_key
 from sqlgauge.querybook.registry import table
+from sqlgauge.session import materialize
 
 METRICS = ("订单金额", "订单量", "客单价", "退货率", "折扣率", "毛利额")
 
@@ -256,6 +257,11 @@ def _cells(**values: Column) -> Column:
                      for n, v in sorted(values.items())])
 
 
+def stored_case_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Result rows as a stored table, as a run of statements leaves them."""
+    return materialize(case_rows(spark, sf), "case-rows")
+
+
 def case_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Result rows of both sides: a customer's orders with amount, a narrow index and status."""
     amount = F.col("o_totalprice").cast("decimal(18,2)")

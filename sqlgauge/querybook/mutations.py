@@ -93,8 +93,8 @@ def metric_swaps(spark: SparkSession, sf: str) -> DataFrame:
 # --- clarification -----------------------------------------------------------------
 
 def _stored_seeds(spark: SparkSession, sf: str) -> DataFrame:
-    """The seed table as a stored table, as it is where replies come from outside."""
-    return materialize(I.seeds(spark, sf), "seeds")
+    """Seeds and their sections as a stored table, as it is where replies come from outside."""
+    return materialize(with_sections(I.seeds(spark, sf)), "seeds")
 
 
 def _clarify_replies(stored: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ fuzzy AS (SELECT case_id, max(hits)::BIGINT AS n_matched FROM walk GROUP BY case
 
 @query("fuzzy_matches", "E3", f"WITH RECURSIVE {I.CASE_ROWS}, {_FUZZY} SELECT case_id, n_matched FROM fuzzy")
 def fuzzy_matches(spark: SparkSession, sf: str) -> DataFrame:
-    both = I.case_rows(spark, sf)
+    both = I.stored_case_rows(spark, sf)
     matched = R.fuzzy_matches(both, dims=2)
     with_pred = both.filter("side = 'pred'").filter(F.size("cells") == 3).filter(
         ~F.exists("cells", lambda c: c["col"] == "state")).select("case_id").distinct()
@@ -135,7 +135,7 @@ rights AS (SELECT case_id, list(v.idx::DOUBLE ORDER BY pos) AS items FROM p_rows
 WITH RECURSIVE {_CHAIN}, {sql_walk(sql_near('l.v', 'r'), 'lefts', 'rights')}
 SELECT case_id, max(hits)::BIGINT AS n_matched FROM walk GROUP BY case_id""")
 def fuzzy_matches_in_chains(spark: SparkSession, sf: str) -> DataFrame:
-    rows = I.case_rows(spark, sf).withColumn("cells", F.filter("cells", lambda c: c["col"] == "idx"))
+    rows = I.stored_case_rows(spark, sf).withColumn("cells", F.filter("cells", lambda c: c["col"] == "idx"))
     with_pred = rows.filter("side = 'pred'").select("case_id").distinct()
     return with_pred.join(R.fuzzy_matches(rows, dims=1), "case_id", "left").select(
         "case_id", F.coalesce("n_matched", F.lit(0)).alias("n_matched"))
@@ -154,7 +154,8 @@ judged AS (SELECT *, stage IN ('same_text', 'both_empty', 'strict', 'fuzzy') AS
 
 
 def case_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    return R.staged_verdict(I.case_pairs(spark, sf), I.case_outcomes(spark, sf), I.case_rows(spark, sf), dims=2)
+    return R.staged_verdict(I.case_pairs(spark, sf), I.case_outcomes(spark, sf),
+                            I.stored_case_rows(spark, sf), dims=2)
 
 
 @query("staged_verdict", "E5, E8", f"""

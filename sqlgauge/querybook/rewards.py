@@ -270,7 +270,7 @@ WITH RECURSIVE {I.CASE_ROWS}, {_VALUES}
 SELECT case_id, round(coalesce(value_score, 0)::DOUBLE, 6) AS value_score FROM cases LEFT JOIN vals USING (case_id)""")
 def value_score_rows(spark: SparkSession, sf: str) -> DataFrame:
     widths = I.cases(spark, sf).select("case_id", F.lit(3).alias("n_gold_cols"))
-    out = value_scores(I.case_rows(spark, sf), _case_mapping(spark, sf), widths)
+    out = value_scores(I.stored_case_rows(spark, sf), _case_mapping(spark, sf), widths)
     return out.withColumn("value_score", rounded("value_score"))
 
 
@@ -307,7 +307,7 @@ e AS (SELECT case_id, CASE WHEN p = 0 OR g = 0 THEN 0.0::DOUBLE ELSE s END AS s,
 SELECT case_id, round(s, 6) AS schema_score, round(r, 6) AS row_score, round(v, 6) AS value_score,
   CASE WHEN p = 0 AND g = 0 THEN 0.0::DOUBLE ELSE round(0.4::DOUBLE * s + 0.1::DOUBLE * r + 0.5::DOUBLE * v, 4) END AS dense_score FROM e""")
 def dense_score_rows(spark: SparkSession, sf: str) -> DataFrame:
-    out = W.dense_scores(I.case_rows(spark, sf), _case_columns(spark, sf))
+    out = W.dense_scores(I.stored_case_rows(spark, sf), _case_columns(spark, sf))
     return out.select("case_id", *[rounded(c).alias(c) for c in ("schema_score", "row_score", "value_score")],
                       "dense_score")
 

@@ -136,6 +136,7 @@ TABLE_RATIO = 0.85
 TABLE_RATIO_CREDIT = 0.8
 SOFT_MAX_LENGTH = 2048
 SOFT_CACHE_LENGTH = 409
+RULE_PARTS = ("tables", "columns", "keywords", "literals")
 RULE_WEIGHTS = {"table": 0.3, "column": 0.3, "keyword": 0.2, "literal": 0.2}
 DENSE_WEIGHTS = {"schema": 0.4, "rows": 0.1, "value": 0.5}
 REWARD_WEIGHTS = {"accuracy": 1.5, "format": 1.0, "grammar": 0.9, "length": 0.8}

@@ -19,13 +19,14 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from sqlgauge import settings as S
-from sqlgauge.functions.sqltext import masked_sql
+from sqlgauge.functions.sqltext import masked, token_text
 from sqlgauge.functions.text import is_blank, prompt_key
 from sqlgauge.operators.resultsets import to_result_rows
 from sqlgauge.session import scratch_path
 
 OUTCOME_SCHEMA = "sql_key string, ok boolean, condition string, message string"
-FORBIDDEN_PATTERN = r"(?i)\b(?:reflect|java_method|try_reflect|transform\s*\(.*\busing)\b"
+# Calls into the JVM, names built at run time, and scripts (a USING that names a command).
+FORBIDDEN_PATTERN = r"(?i)\b(?:reflect|java_method|try_reflect)\b|\bidentifier \(|\busing [?\"]"
 PAGE = 256
 
 
@@ -40,7 +41,7 @@ class Corpus:
 def refusal(sql: Column) -> Column:
     """Why a statement is refused before it reaches the engine; null if it is not."""
     return F.when(F.coalesce(is_blank(sql), F.lit(True)), F.lit("BLANK_STATEMENT")).when(
-        masked_sql(sql).rlike(FORBIDDEN_PATTERN), F.lit("FORBIDDEN_CALL"))
+        masked(token_text(sql)).rlike(FORBIDDEN_PATTERN), F.lit("FORBIDDEN_CALL"))
 
 
 def statement_table(statements: DataFrame, sql: str) -> DataFrame:
