@@ -1,13 +1,15 @@
 """Score completions as they arrive.
 
-Every micro-batch goes to its own folder of the result table, written with overwrite, so a
-batch that is replayed after a failure replaces itself. Keys that were scored before are
+Every micro-batch goes to its own folder of the result table (run of the checkpoint, number
+of the batch), written with overwrite, so a batch that is replayed after a failure replaces
+itself and nothing else. Keys that were scored before are
 dropped by joining with the results of the other batches; no state grows in the stream.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,27 +38,28 @@ def completion_stream(spark: SparkSession, path: str, schema: StructType,
     return reader.parquet(path)
 
 
-def _scored_before(spark: SparkSession, out: str, schema: StructType, batch_id: int) -> DataFrame:
-    """Keys of earlier batches; the current batch is left out in case it is replayed."""
+def _scored_before(spark: SparkSession, out: str, run: str, batch_id: int) -> DataFrame:
+    """Keys of all other batches; the current one is left out in case it is replayed."""
     try:
-        done = spark.read.schema(schema.add("batch", "long")).parquet(out)
+        done = spark.read.schema("key string, run string, batch bigint").parquet(out)
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             return spark.createDataFrame([], "key string")
         raise
-    return done.filter(F.col("batch") != batch_id).select("key")
+    return done.filter((F.col("run") != run) | (F.col("batch") != batch_id)).select("key")
 
 
 def score_stream(completions: DataFrame, out: str, checkpoint: str, score: Score = basic_scores,
                  once_per_key: bool = True) -> StreamingQuery:
     """Score everything available now, append to ``out`` and stop. Run again for more."""
+    run = "r" + sha256(checkpoint.encode()).hexdigest()[:16]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         fresh = batch
         if once_per_key:
-            before = _scored_before(batch.sparkSession, out, StructType().add("key", "string"), batch_id)
+            before = _scored_before(batch.sparkSession, out, run, batch_id)
             fresh = batch.dropDuplicates(["key"]).join(before, "key", "left_anti")
-        score(fresh).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        score(fresh).write.mode("overwrite").parquet(f"{out}/run={run}/batch={batch_id}")
 
     return (
         completions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
