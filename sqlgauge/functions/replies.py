@@ -24,8 +24,12 @@ BARE_SQL_PATTERN = r"(?id)(SELECT[\s\S]+?)(?:\n\n|$)"
 
 
 def _group(c: Column, pattern: str) -> Column:
-    """Stripped first group of the first match; null without a match."""
-    return F.when(c.rlike(pattern), strip(F.regexp_extract(c, pattern, 1)))
+    """Stripped first group of the first match; null without a match.
+
+    An empty extract is ambiguous, only then is the pattern tried again.
+    """
+    found = F.regexp_extract(c, pattern, 1)
+    return F.when((found != "") | c.rlike(pattern), strip(found))
 
 
 def occurrences(c: Column, text: str) -> Column:

@@ -255,7 +255,7 @@ WITH {BRAND_MONTH}, u AS (SELECT brand, month, coalesce(amount > lag(amount) OVE
   FROM bm WINDOW w AS (PARTITION BY brand ORDER BY month)),
 r AS (SELECT *, sum(CASE WHEN up THEN 0 ELSE 1 END) OVER (PARTITION BY brand ORDER BY month) AS run FROM u)
 SELECT brand, count(*) AS n_periods, {_d('min(month)')} AS run_start, {_d('max(month)')} AS run_end,
-  {_d('max(nxt)')} AS first_fall FROM r WHERE up GROUP BY brand, run HAVING count(*) >= 3""")
+  {_d('last(nxt ORDER BY month)')} AS first_fall FROM r WHERE up GROUP BY brand, run HAVING count(*) >= 3""")
 def bi_growth_runs(spark: SparkSession, sf: str) -> DataFrame:
     out = P.growth_runs(brand_sales(spark, sf), ["brand"], "month", "amount", 3)
     return out.select("brand", "n_periods", *[day_text(c).alias(c) for c in ("run_start", "run_end", "first_fall")])

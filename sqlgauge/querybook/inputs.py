@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sqlgauge import settings as S
 from sqlgauge.functions.text import hash_bucket, prompt_key
 from sqlgauge.querybook.registry import table
-from sqlgauge.session import materialize
+from sqlgauge.session import materialize, spread
 
 METRICS = ("订单金额", "订单量", "客单价", "退货率", "折扣率", "毛利额")
 
@@ -78,7 +78,9 @@ def seeds(spark: SparkSession, sf: str) -> DataFrame:
         F.when(status == "F", F.concat(lit("SQL -> "), sql, lit("\n\nchecked")))
         .when(status == "O", F.concat(lit("<think>by customer</think>\n<answer>"), sql, lit("\n\n</answer>")))
         .otherwise(F.concat(lit("```sql\n"), sql, lit("\n```"))))
-    return table(spark, sf, "orders").select(
+    orders = spread(table(spark, sf, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"))
+    return orders.select(
         F.col("o_orderkey").alias("seed_id"), query.alias("query"), response.alias("response"),
         metric.alias("index_name"), status.alias("state"))
 
@@ -132,7 +134,7 @@ def sql_gaps(required) -> str:
 
 def completions(spark: SparkSession, sf: str) -> DataFrame:
     """One completion per assistant turn, in six forms, for eight tasks."""
-    return as_completions(table(spark, sf, "conversations"))
+    return as_completions(spread(table(spark, sf, "conversations")))
 
 
 def as_completions(conversations: DataFrame) -> DataFrame:
@@ -266,7 +268,8 @@ def case_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Result rows of both sides: a customer's orders with amount, a narrow index and status."""
     amount = F.col("o_totalprice").cast("decimal(18,2)")
     index = (amount * F.lit(Decimal("0.000004")) + F.lit(Decimal("1000"))).cast("decimal(18,4)")
-    orders = table(spark, sf, "orders").select(
+    orders = spread(table(spark, sf, "orders").select(
+        "o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus")).select(
         F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("row_no"), amount.alias("amount"),
         index.alias("idx"), F.col("o_orderstatus").alias("status"))
     first = orders.groupBy("case_id").agg(F.min("row_no").alias("first_row"))
@@ -311,7 +314,7 @@ p_rows AS (SELECT case_id, pos, '[{{"col":"amount","val":"' || v.amount || '"}},
 
 def word_sets(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct words of each document and of its successor, over the whole texts."""
-    docs = table(spark, sf, "documents").select(
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", F.array_distinct(F.filter(F.split("text", "[ \n]+"), lambda w: w != "")).alias("words"))
     nxt = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("words").alias("gold"))
     return docs.join(nxt, "doc_id").select("doc_id", F.col("words").alias("pred"), "gold")
