@@ -134,6 +134,16 @@ def prompt_key(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
+def join_key(c: Column, *row: str) -> Column:
+    """``prompt_key`` for the kept side of a left join.
+
+    Rows without a text match nothing, but may be most of the rows; they get keys spread by a
+    hash of the row instead of meeting as nulls in one task.
+    """
+    spread = F.pmod(F.xxhash64(*row), F.lit(4096)).cast("string")
+    return F.coalesce(prompt_key(c), F.concat(F.lit("none-"), spread))
+
+
 def hash_bucket(c: Column, n: Column | int) -> Column:
     """Reproducible bucket in ``[0, n)`` from the first 32 bits of an MD5."""
     n = F.lit(n) if isinstance(n, int) else n

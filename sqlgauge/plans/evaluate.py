@@ -10,7 +10,7 @@ from sqlgauge.functions.replies import first_answer, result_judgement, sentence_
 from sqlgauge.functions.sqltext import canonical_sql, contains_select
 from sqlgauge.functions.templates import render
 from sqlgauge.functions.text import (
-    data_section, domain_section, is_blank, knowledge_section, question_text, schema_section,
+    data_section, domain_section, is_blank, join_key, knowledge_section, question_text, schema_section,
 )
 from sqlgauge.operators.resultsets import EMPTY_PREVIEW, result_preview
 from sqlgauge.operators.votes import majority_vote
@@ -126,7 +126,7 @@ def judge_route(candidates: DataFrame, votes: DataFrame) -> DataFrame:
     readable = votes.select(F.col("prompt_key").alias("case_id"), "judge_id",
                             sql_judgement(F.col("text")).alias("verdict"))
     decided = majority_vote(readable).select(F.col("case_id").alias("key"), F.col("verdict"))
-    keyed = candidates.withColumn("key", F.sha2("prompt", 256))
+    keyed = candidates.withColumn("key", join_key(F.col("prompt"), *candidates.columns))
     has_sql = contains_select(F.col("pred"))
     same = F.col("sql_a") == F.col("sql_b")
     return keyed.join(decided, "key", "left").select(

@@ -20,7 +20,7 @@ from sqlgauge.functions.replies import (
 )
 from sqlgauge.functions.templates import CLARIFY_CATEGORIES, render
 from sqlgauge.functions.text import (
-    SECTIONS, context_before_examples, insert_constraint, is_blank, missing_sections, prompt_key,
+    SECTIONS, context_before_examples, insert_constraint, is_blank, join_key, missing_sections, prompt_key,
     replace_question, strip, with_sections,
 )
 from sqlgauge.operators.sampling import attach_example, fault_for, swap_metric
@@ -230,12 +230,12 @@ def steps_rows(candidates: DataFrame, outcomes: DataFrame, votes: DataFrame, res
     ``outcomes``: sql_key, ok. ``votes``: prompt_key, judge_id, text.
     """
     ran = outcomes.select("sql_key", F.col("ok").alias("runs"))
-    rows = candidates.withColumn("sql_key", prompt_key(F.col("sql"))).join(ran, "sql_key", "left")
+    rows = candidates.withColumn("sql_key", join_key(F.col("sql"), *candidates.columns)).join(ran, "sql_key", "left")
     ballots = votes.select(F.col("prompt_key").alias("case_id"), "judge_id",
                            vote_flag(F.col("text")).alias("verdict"))
     accepted = unanimous_vote(ballots, n_judges).select(
         F.col("case_id").alias("check_key"), F.col("verdict").alias("accepted"))
-    rows = rows.withColumn("check_key", prompt_key(steps_check_request())).join(accepted, "check_key", "left")
+    rows = rows.withColumn("check_key", join_key(steps_check_request(), *rows.columns)).join(accepted, "check_key", "left")
     rows = attach_responses(rows, steps_reasoning_request(), responses, "reasoning")
     status = F.coalesce(
         _gap_status(),

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlgauge.functions.text import prompt_key
+from sqlgauge.functions.text import join_key, prompt_key
 
 
 def request_table(rows: DataFrame, prompt: Column, suffix: str = "") -> DataFrame:
@@ -26,7 +26,7 @@ def attach_responses(rows: DataFrame, prompt: Column, responses: DataFrame, name
                      suffix: str = "") -> DataFrame:
     """Add the reply to each row's prompt; unanswered prompts keep a null."""
     replies = responses.select("prompt_key", F.col("text").alias(name))
-    keyed = rows.withColumn("prompt_key", prompt_key(F.concat(prompt, F.lit(suffix))))
+    keyed = rows.withColumn("prompt_key", join_key(F.concat(prompt, F.lit(suffix)), *rows.columns))
     return keyed.join(replies, "prompt_key", "left").drop("prompt_key")
 
 
@@ -46,5 +46,5 @@ def answer_requests(requests: DataFrame, answer: Callable[[list[str]], list[str]
 
 def attach_vectors(rows: DataFrame, text: str, vectors: DataFrame, name: str) -> DataFrame:
     """Add the vector of a text column; ``vectors`` is ``(text_key, vec)``."""
-    keyed = rows.withColumn("text_key", prompt_key(F.col(text)))
+    keyed = rows.withColumn("text_key", join_key(F.col(text), *rows.columns))
     return keyed.join(vectors.withColumnRenamed("vec", name), "text_key", "left").drop("text_key")
