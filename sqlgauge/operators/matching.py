@@ -101,10 +101,10 @@ def first_fit_hits(items: DataFrame, keys: Sequence[str], closeness: Closeness,
         solved.append(marked.filter("decided and cell = run").select(
             *keys, F.least("n_left", "n_right").alias("hits")))
         todo = materialize(_undecided(todo, marked, keys, closeness, dim), "first-fit")
-        if todo.isEmpty():
+        largest = todo.agg(F.max("n_items")).first()[0] or 0
+        if largest <= fold_limit:  # nothing left, or small enough without further splitting
             break
     n = F.col("n_items")
-    largest = todo.agg(F.max(n)).first()[0] or 0
     if largest:
         solved.append(_fold(todo.filter(n <= fold_limit), keys, closeness))
     if largest > fold_limit:
