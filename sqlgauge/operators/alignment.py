@@ -21,6 +21,9 @@ def best_assignment(sim: np.ndarray) -> list[tuple[int, int]]:
     if sim.shape[0] > sim.shape[1]:
         return [(r, c) for c, r in best_assignment(sim.T)]
     n, m = sim.shape
+    favourite = sim.argmax(axis=1)
+    if len(set(favourite.tolist())) == n:  # nobody competes: everyone gets the best
+        return list(enumerate(favourite.tolist()))
     cost = sim.max() - sim
     row_price, col_price = np.zeros(n), np.zeros(m)
     owner = np.full(m, -1)
