@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from sqlgauge.llm.common import materialize, table
-from sqlgauge.llm.tokens import Encoder, batches_of_text, default_tokenizer
+from sqlgauge.llm.tokens import batches_of_text, default_tokenizer, encoder
 
 LIMIT, END_ID = 2048, 0
 
@@ -41,13 +41,13 @@ def pieces(docs: DataFrame, limit: int = LIMIT, tokenizer: str | None = None) ->
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         for b in batches:
             texts, ids = [t or "" for t in b["text"]], b["doc_id"].tolist()
             for s, e in batches_of_text(texts):
                 rows = []
-                for doc, raw in zip(ids[s:e], encoder.encode(texts[s:e])):
+                for doc, raw in zip(ids[s:e], encoder(path).encode(texts[s:e])):
                     raw += end
                     n = len(raw) // 4
                     cuts = [0, *range(n % limit or limit, n, limit), n]

@@ -1,14 +1,16 @@
 """Token ids of whole texts by a public tokenizer, and exact length histograms.
 
-A byte-level BPE vocabulary never joins a blank to the word before it, so a text is encoded piece by piece,
-cut at each single blank between two words, and each piece is encoded once and remembered. A piece that begins
-or ends with other white space could be joined over the cut; a text with such a piece is encoded in one go.
+A byte-level BPE vocabulary never joins a blank to the word before it, nor a single line break to either word,
+so a text is encoded piece by piece, cut at each of them that stands alone between two words, and each piece is
+encoded once and remembered. A piece that begins or ends with other white space could be joined over the cut; a
+text with such a piece is encoded in one go.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 
 from sqlgauge.llm.common import materialize, table
 
-#: Pieces remembered by a task at most; then it starts anew.
-REMEMBERED = 400_000
+#: Pieces remembered by a worker process at most; then it starts anew.
+REMEMBERED = 800_000
 #: Lengths summed in one window.
 SPAN = 1024
 
@@ -37,30 +39,41 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.break_, self.comma, self.stop = self._ids(["\n", ",", "."])
         self.first: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], pieces: list[str], blank: str) -> None:
-        safe = [p for p in pieces if p and p == p.strip()]
+    def _learn(self, known: dict[str, bytes], pieces: set[str], blank: str) -> None:
+        """Remember pieces that are safe to cut out; letters with one mark behind are the letters and the mark."""
+        marked = [p for p in pieces if p[-1:] in (",", ".") and p[:-1].isalpha()]
+        plain = pieces.difference(marked).union(p[:-1] for p in marked)
+        safe = [p for p in plain if p and p == p.strip() and p not in known]
         known.update(zip(safe, self._ids([blank + p for p in safe])))
+        for p in marked:
+            known[p] = known[p[:-1]] + (self.comma if p[-1] == "," else self.stop)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        if len(self.pieces) > REMEMBERED or len(self.first) > REMEMBERED:
+        # a single line break between two words is an id of its own; other texts are cut at blanks alone
+        lines = [t.split("\n") for t in texts]
+        lines = [[t] if "" in c else c for t, c in zip(texts, lines)]
+        cut = [[line.split(" ") for line in c] for c in lines]
+        if len(self.pieces) + len(self.first) > REMEMBERED:
             self.first, self.pieces = {}, {}
-        heads, tails = {c[0] for c in cut}, set()
+        heads, tails = set(), set()
         for c in cut:
-            tails.update(c[1:])
-        self._learn(self.first, [p for p in heads if p not in self.first], "")
-        self._learn(self.pieces, [p for p in tails if p not in self.pieces], " ")
+            for words in c:
+                heads.add(words[0])
+                tails.update(words[1:])
+        self._learn(self.first, heads.difference(self.first), "")
+        self._learn(self.pieces, tails.difference(self.pieces), " ")
         out: list[bytes | None] = []
         get = self.pieces.__getitem__
         for c in cut:
             try:
-                out.append(self.first[c[0]] + b"".join(map(get, c[1:])))
+                out.append(self.break_.join([self.first[w[0]] + b"".join(map(get, w[1:])) for w in c]))
             except KeyError:
                 out.append(None)
         whole = [i for i, o in enumerate(out) if o is None]
@@ -71,6 +84,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker process, with what it remembers."""
+    return Encoder(path)
+
+
 def batches_of_text(texts, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Runs of rows with about ``most`` characters each, so that ids of few texts are held at once."""
     start = size = 0
@@ -88,10 +107,9 @@ def token_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
         for b in batches:
             texts = [t or "" for t in b["text"]]
-            n = [len(ids) // 4 for s, e in batches_of_text(texts) for ids in encoder.encode(texts[s:e])]
+            n = [len(ids) // 4 for s, e in batches_of_text(texts) for ids in encoder(path).encode(texts[s:e])]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": pd.Series(n, dtype="int64")})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
