@@ -1,9 +1,9 @@
 """Repeated windows of 50 words by level-wise doubling.
 
 The hash of a window of twice the length is made from the hashes of its two halves (one word less than twice
-where the length is odd): 1, 2, 4, 7, 13, 25, 50 words. At 13 and at 25 words it is counted which windows occur
+where the length is odd): 1, 2, 4, 7, 13, 25, 50 words. At 13, 25 and 50 words it is counted which windows occur
 in more than one document; only where such windows are is a text looked at with the next length. Of the windows
-that are left at 50 words, the document with the smallest identifier keeps its own, all others lose theirs.
+that are left, the document with the smallest identifier keeps its own, all others lose theirs.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from sqlgauge.llm.windows import (
 #: Lengths in words, each at most twice the one before.
 LENGTHS = (1, 2, 4, 7, 13, 25, 50)
 #: Lengths at which repeated windows are counted before the next length is tried.
-COUNTED = (13, 25)
+COUNTED = (13, 25, 50)
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
@@ -66,7 +66,7 @@ def _values(filters: list[np.ndarray]):
     return run
 
 
-_FOUND = "h long, h2 long, doc_id long, th long, pos int, n int"
+_FOUND = "h long, h2 int, doc_id long, th long, pos int, n int"
 
 
 def _decided(h, h2, doc, pos, ids, keys) -> Iterator[pd.DataFrame]:
@@ -80,7 +80,7 @@ def _decided(h, h2, doc, pos, ids, keys) -> Iterator[pd.DataFrame]:
     d, first, n = ranges(doc[~on], pos[~on])
     if len(d):
         yield pd.DataFrame({"h": None, "h2": None, "doc_id": ids[d], "th": keys[d], "pos": first, "n": n})
-    yield pd.DataFrame({"h": h[on].view(np.int64), "h2": h2[on].view(np.int64), "doc_id": ids[doc[on]],
+    yield pd.DataFrame({"h": h[on].view(np.int64), "h2": (h2[on] >> np.uint64(32)).astype(np.uint32).view(np.int32), "doc_id": ids[doc[on]],
                         "th": keys[doc[on]], "pos": pos[on], "n": 1})
 
 
@@ -140,7 +140,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no word. A row without ``doc_id`` loses nothing and costs no other row anything;
     rows with one ``doc_id`` do not remove from each other. An empty table stays empty; other columns are not
-    read. Windows are equal if 128 bits of two hashes are.
+    read. Windows are equal if 96 bits of two hashes are.
     """
     return without_spans(docs, repeated_windows(docs), cut_words, "n_words long, n_removed long, kept_sha256 string")
 

@@ -160,6 +160,8 @@ def in_filter(whole: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 def ranges(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of positions that follow each other: document, first, how many."""
+    if not len(doc):
+        return doc, pos, pos
     order = np.lexsort((pos, doc))
     doc, pos = doc[order], pos[order]
     cut = np.flatnonzero(np.r_[np.ones(min(1, len(doc)), bool), (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + 1)])
