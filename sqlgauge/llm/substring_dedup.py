@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sqlgauge.llm.common import materialize, table
+from sqlgauge.llm.common import table
 from sqlgauge.llm.windows import (
     GATHERED, WINDOW, covered, documents, in_filter, mixed, pieces, ranges, raw_texts, repeated_values, sliding_min,
     text_keys, without_spans,
@@ -120,10 +120,12 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
-    found = materialize(documents(docs).mapInPandas(find, _FOUND), "words-found")
-    same = Window.partitionBy("h", "h2")
-    open_ = found.where("h IS NOT NULL").withColumn("least", F.min("doc_id").over(same)).where("doc_id > least")
-    return found.where("h IS NULL").union(open_.drop("least")).select("doc_id", "th", "pos", "n")
+    found = documents(docs).mapInPandas(find, _FOUND)
+    # what is removed already goes along under keys of its own
+    key = F.coalesce("h", F.xxhash64("doc_id", "pos"))
+    least = F.min("doc_id").over(Window.partitionBy("_k", "h2"))
+    found = found.withColumn("_k", key).withColumn("least", least)
+    return found.where("h IS NULL OR doc_id > least").select("doc_id", "th", "pos", "n")
 
 
 def cut_words(raw: bytes, pos: np.ndarray, n: np.ndarray) -> tuple[int, int, str]:

@@ -16,21 +16,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sqlgauge.llm.common import materialize, table
+from sqlgauge.llm.common import table
 from sqlgauge.llm.windows import (
-    GATHERED, WINDOW, covered, documents, in_filter, mixed, pieces, ranges, raw_texts, repeated_values, sliding_min,
+    GATHERED, UNITS, WINDOW, covered, documents, in_filter, mixed, pieces, ranges, raw_texts, repeated_values, sliding_min,
     text_keys, without_spans,
 )
 
-#: Bytes of an anchor.
-ANCHOR = 25
+#: Bytes of an anchor; lengths of which the repeated strings are counted before windows are looked at.
+ANCHOR, COUNTED = 25, (25, 40)
 #: The low bits of an anchor's key hold its place, so that the first of equal ones counts.
 _PLACE = np.uint64((1 << 22) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
 #: Rows of suffixes sorted at once, anchors being kept together.
-SORTED = 150_000
+SORTED = 60_000
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -51,28 +52,37 @@ def _bytes(raw: bytes) -> np.ndarray:
 
 
 class Anchors:
-    """Keys of the windows of a piece: hash of the anchor above, place of the anchor below."""
+    """Smallest short strings of the windows of a piece."""
 
     def __init__(self):
         self.up = self.back = np.zeros(0, np.uint64)
 
-    def keys(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) <= len(units):
-            self.up, self.back = _powers(_BASE, 2 * len(units)), _powers(_BACK, 2 * len(units))
-        s = prefix_hashes(units, self.up)
-        h = mixed((s[ANCHOR:] - s[:-ANCHOR]) * self.back[:len(s) - ANCHOR])
+    def keys(self, s: np.ndarray, length: int) -> np.ndarray:
+        """For each window the hash of its smallest string of a length above, the place of that below."""
+        h = mixed((s[length:] - s[:-length]) * self.back[:len(s) - length])
         h = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
-        return sliding_min(h, WINDOW - ANCHOR + 1), s
+        return sliding_min(h, WINDOW - length + 1)
 
-    def values(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def candidates(self, texts: list[bytes], filters: list[np.ndarray]) -> Iterator[tuple]:
+        """Windows whose smallest strings are repeated at each length counted so far; the prefix hashes."""
         for p in pieces(texts, _bytes):
-            yield p.doc, self.keys(p.units)[0][p.at] & ~_PLACE
+            if len(self.up) <= len(p.units):
+                self.up, self.back = _powers(_BASE, UNITS + WINDOW), _powers(_BACK, UNITS + WINDOW)
+            s, left = prefix_hashes(p.units, self.up), np.arange(len(p.at))
+            for length, whole in zip(COUNTED, filters):
+                left = left[in_filter(whole, self.keys(s, length)[p.at[left]])]
+            if len(left):
+                yield p, s, left
+
+    def values(self, texts: list[bytes], filters: list[np.ndarray], length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for p, s, left in self.candidates(texts, filters):
+            yield p.doc[left], self.keys(s, length)[p.at[left]] & ~_PLACE
 
 
 _FOUND = "v long, a int, doc_id long, th long, pos int, n int, raw binary"
 
 
-def _pieces_of(batches: Iterator[pd.DataFrame], whole: np.ndarray) -> Iterator[pd.DataFrame]:
+def _pieces_of(batches: Iterator[pd.DataFrame], filters: list[np.ndarray]) -> Iterator[pd.DataFrame]:
     """Runs of windows with one anchor that is repeated, with their bytes. Of equal runs gathered by a task only
     those of the smallest identifier go on; the windows of the others are removed here."""
     anchors = Anchors()
@@ -96,12 +106,9 @@ def _pieces_of(batches: Iterator[pd.DataFrame], whole: np.ndarray) -> Iterator[p
     for b in batches:
         texts = raw_texts(b)
         ids, keys = b["doc_id"].to_numpy(np.int64), text_keys(texts)
-        for p in pieces(texts, _bytes):
-            key = anchors.keys(p.units)[0][p.at]
-            left = np.flatnonzero(in_filter(whole, key))
-            if not len(left):
-                continue
-            key, at = key[left], p.at[left]
+        for p, s, left in anchors.candidates(texts, filters):
+            at = p.at[left]
+            key = anchors.keys(s, ANCHOR)[at]
             cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1) | (p.doc[left][1:] != p.doc[left][:-1])])
             n = np.diff(np.r_[cut, len(left)])
             first, k = at[cut], left[cut]
@@ -120,10 +127,9 @@ def _pieces_of(batches: Iterator[pd.DataFrame], whole: np.ndarray) -> Iterator[p
 class Suffixes:
     """Suffixes of limited length in an array of bytes, to be sorted inside groups."""
 
-    def __init__(self, b: np.ndarray, start: np.ndarray, size: np.ndarray):
-        self.b, self.start, self.size = b, start, size
-        self.powers = _powers(_BASE, len(b))
-        self.s = prefix_hashes(b, self.powers)
+    def __init__(self, b: np.ndarray, start: np.ndarray, size: np.ndarray, powers: np.ndarray):
+        self.b, self.start, self.size, self.powers = b, start, size, powers
+        self.s = prefix_hashes(b, powers)
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffixes by binary search over equal hashes."""
@@ -240,8 +246,9 @@ def repeated_starts(v, a, ids, raws) -> tuple[np.ndarray, np.ndarray]:
     text = b"".join([raws[i] for i in rest.tolist()])
     b, n, left = np.frombuffer(text, np.uint8), size[rest], a[rest]
     first = np.cumsum(n) - n
-    right = Suffixes(b, first + left, n - left)
-    back = Suffixes(b[::-1].copy(), len(b) - first - left, left)
+    powers = _powers(_BASE, len(b))
+    right = Suffixes(b, first + left, n - left, powers)
+    back = Suffixes(b[::-1].copy(), len(b) - first - left, left, powers)
     by_right, by_left = right.order(group), back.order(group)
     ext_right, ext_left = right.extensions(by_right), back.extensions(by_left)
     out_rows, out_places, mine = [rows], [places], ids[rest]
@@ -262,20 +269,29 @@ def repeated_starts(v, a, ids, raws) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated_strings(docs: DataFrame) -> DataFrame:
     """``doc_id, th, pos, n``: runs of windows that also start in a document with a smaller ``doc_id``."""
-    whole = docs.sparkSession.sparkContext.broadcast(
-        repeated_values(docs, lambda texts: Anchors().values(texts), "bytes-anchors"))
-    found = materialize(documents(docs).mapInPandas(lambda batches: _pieces_of(batches, whole.value), _FOUND), "bytes-found")
+    filters: list = []
+    for length in COUNTED:
+        def values(texts: list[bytes], length=length, before=tuple(filters)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            return Anchors().values(texts, [f.value for f in before], length)
+
+        found = repeated_values(docs, values, f"bytes-{length}")
+        filters.append(docs.sparkSession.sparkContext.broadcast(found))
+    found = documents(docs).mapInPandas(lambda batches: _pieces_of(batches, [f.value for f in filters]), _FOUND)
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
         def done(b: pd.DataFrame) -> pd.DataFrame:
+            b = b.sort_values("v", kind="stable")
             ids, th = b["doc_id"].to_numpy(np.int64), b["th"].to_numpy(np.int64)
             row, place = repeated_starts(b["v"].to_numpy(np.int64), b["a"].to_numpy(np.int64), ids, b["raw"].tolist())
             k, first, n = ranges(row, place)
             return pd.DataFrame({"doc_id": ids[k], "th": th[k], "pos": b["pos"].to_numpy(np.int64)[k] + first, "n": n})
 
         for b in batches:
+            known = b["v"].isna()
+            yield b.loc[known, ["doc_id", "th", "pos", "n"]]
+            b = b[~known]
             held.append(b)
             size += len(b)
             if size >= SORTED:
@@ -284,12 +300,12 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
                 yield done(b[~last])
                 held = [b[last]]
                 size = len(held[0])
-        if held:
+        if size:
             yield done(pd.concat(held, ignore_index=True))
 
-    open_ = found.where("v IS NOT NULL").repartition("v").sortWithinPartitions("v")
-    sorted_ = open_.mapInPandas(sort, "doc_id long, th long, pos int, n int")
-    return found.where("v IS NULL").select("doc_id", "th", "pos", "n").union(sorted_)
+    # what is removed already goes along under keys of its own
+    found = found.withColumn("k", F.coalesce("v", F.xxhash64("doc_id", "pos")))
+    return found.repartition("k").sortWithinPartitions("v", "k").mapInPandas(sort, "doc_id long, th long, pos int, n int")
 
 
 def cut_bytes(raw: bytes, pos: np.ndarray, n: np.ndarray) -> tuple[int, int, int, str]:

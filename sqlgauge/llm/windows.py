@@ -23,7 +23,7 @@ from sqlgauge.llm.common import materialize, text_or_empty
 
 WINDOW = 50
 #: Units worked on at once; values a task gathers before it sends them.
-UNITS, GATHERED = 1_000_000, 1_000_000
+UNITS, GATHERED = 500_000, 1_000_000
 #: Bits by which values are dealt to tasks, and bits of an address in the filter, at most (256 MB).
 DEALT, FILTER_BITS = 8, 31
 
