@@ -25,7 +25,7 @@ from sqlgauge.llm.windows import (
 )
 
 #: Bytes of an anchor; lengths of which the repeated strings are counted before windows are looked at.
-ANCHOR, COUNTED = 25, (25, 40)
+ANCHOR, COUNTED = 16, (25, 40)
 #: The low bits of an anchor's key hold its place, so that the first of equal ones counts.
 _PLACE = np.uint64((1 << 22) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
