@@ -11,7 +11,10 @@ from sqlgauge.session import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "SPACE", "table", "materialize", "with_place", "attach_spread", "text_or_empty"]
+#: Texts that a Python worker gets at once; Spark's default of 10,000 is meant for short values.
+TEXTS_AT_ONCE = 1_000
+
+__all__ = ["WORD", "SPACE", "table", "whole_texts", "materialize", "with_place", "attach_spread", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +25,15 @@ def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
+def whole_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` itself, after the session has been told to hand fewer rows at once to Python (unless it was told
+    another number already), so that a worker's memory follows the length of the texts and not a row count."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(TEXTS_AT_ONCE))
+    return docs
+
+
 def with_place(df: DataFrame) -> DataFrame:
     """Add ``_rid`` (unique per row) and ``_part`` (the task that read it). Write the result before using
     them: they are only fixed once written."""

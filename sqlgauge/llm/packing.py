@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from sqlgauge.llm.common import materialize, table
+from sqlgauge.llm.common import materialize, table, whole_texts
 from sqlgauge.llm.tokens import batches_of_text, default_tokenizer, encoder
 
 LIMIT, END_ID = 2048, 0
@@ -59,7 +59,7 @@ def pieces(docs: DataFrame, limit: int = LIMIT, tokenizer: str | None = None) ->
                 yield out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, {_PIECES}")
+    return whole_texts(docs).select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, {_PIECES}")
 
 
 def sweep(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int, int, int, int]]:

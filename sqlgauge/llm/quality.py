@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlgauge.llm.common import materialize, table, text_or_empty
+from sqlgauge.llm.common import materialize, table, text_or_empty, whole_texts
 
 #: Share of the pooled covariance, and of the multiple of the identity, in a class covariance.
 POOLED, SPHERE = 0.05, 0.02
@@ -70,7 +70,7 @@ def vectors(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "x": [statistics(t) for t in b["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(
+    return whole_texts(docs).select("doc_id", "text").mapInPandas(
         run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
@@ -149,7 +149,7 @@ def scored(features: DataFrame, model: Discriminant) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the classifier rejects; every column stays, whatever its name."""
-    model = fit(vectors(docs), labels)
+    model = fit(vectors(docs), labels)  # also sets the batch size
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlgauge.llm.common import attach_spread, materialize, table, with_place
+from sqlgauge.llm.common import attach_spread, materialize, table, whole_texts, with_place
 from sqlgauge.llm.components import components
 
 BITS, SHINGLE, DISTANCE, SEED = 64, 3, 2, 42
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long")
+    rows = whole_texts(docs).select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long")
     return materialize(with_place(rows).drop("_rid"), "simhash")
 
 

@@ -17,10 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sqlgauge.llm.common import materialize, table
+from sqlgauge.llm.common import materialize, table, whole_texts
 
-#: Pieces remembered by a worker process at most; then it starts anew.
-REMEMBERED = 800_000
+#: Pieces a worker process remembers before it forgets those that it has not met since the last time.
+REMEMBERED = 150_000
 #: Lengths summed in one window.
 SPAN = 1024
 
@@ -42,12 +42,16 @@ class Encoder:
         self.break_, self.comma, self.stop = self._ids(["\n", ",", "."])
         self.first: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], pieces: set[str], blank: str) -> None:
+    def _learn(self, known: dict[str, bytes], older: dict[str, bytes], pieces: set[str], blank: str) -> None:
         """Remember pieces that are safe to cut out; letters with one mark behind are the letters and the mark."""
+        met = pieces & older.keys()
+        known.update((p, older[p]) for p in met)
+        pieces = pieces - met
         marked = [p for p in pieces if p[-1:] in (",", ".") and p[:-1].isalpha()]
         plain = pieces.difference(marked).union(p[:-1] for p in marked)
         safe = [p for p in plain if p and p == p.strip() and p not in known]
@@ -61,14 +65,14 @@ class Encoder:
         lines = [[t] if "" in c else c for t, c in zip(texts, lines)]
         cut = [[line.split(" ") for line in c] for c in lines]
         if len(self.pieces) + len(self.first) > REMEMBERED:
-            self.first, self.pieces = {}, {}
+            self.older, self.first, self.pieces = (self.first, self.pieces), {}, {}
         heads, tails = set(), set()
         for c in cut:
             for words in c:
                 heads.add(words[0])
                 tails.update(words[1:])
-        self._learn(self.first, heads.difference(self.first), "")
-        self._learn(self.pieces, tails.difference(self.pieces), " ")
+        self._learn(self.first, self.older[0], heads.difference(self.first), "")
+        self._learn(self.pieces, self.older[1], tails.difference(self.pieces), " ")
         out: list[bytes | None] = []
         get = self.pieces.__getitem__
         for c in cut:
@@ -90,7 +94,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def batches_of_text(texts, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def batches_of_text(texts, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Runs of rows with about ``most`` characters each, so that ids of few texts are held at once."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -113,7 +117,7 @@ def token_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": pd.Series(n, dtype="int64")})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long")
+    return whole_texts(docs).select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:

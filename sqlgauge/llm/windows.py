@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sqlgauge.llm.common import materialize, text_or_empty
+from sqlgauge.llm.common import materialize, text_or_empty, whole_texts
 
 WINDOW = 50
 #: Units worked on at once; values a task gathers before it sends them.
@@ -100,7 +100,7 @@ def _deal(values: np.ndarray, twice: bool) -> pd.DataFrame:
 
 def documents(docs: DataFrame) -> DataFrame:
     """Rows that take part; a document without an identifier neither removes nor loses anything."""
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL AND length(text) > 0")
+    return whole_texts(docs).select("doc_id", "text").where("doc_id IS NOT NULL AND length(text) > 0")
 
 
 def repeated_values(docs: DataFrame, values_of: Callable[[list[bytes]], Iterator[tuple[np.ndarray, np.ndarray]]],
