@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from sqlgauge.llm.common import materialize, table, whole_texts
 
 #: Pieces a worker process remembers before it forgets those that it has not met since the last time.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 #: Lengths summed in one window.
 SPAN = 1024
 
@@ -45,7 +46,10 @@ class Encoder:
         self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        ends = list(accumulate(map(len, ids), initial=0))
+        return [flat[4 * i:4 * j] for i, j in zip(ends, ends[1:])]
 
     def _learn(self, known: dict[str, bytes], older: dict[str, bytes], pieces: set[str], blank: str) -> None:
         """Remember pieces that are safe to cut out; letters with one mark behind are the letters and the mark."""
