@@ -107,7 +107,9 @@ def first_lists(points: DataFrame, width: int) -> DataFrame:
             rest = b.tail(REACH)
 
     kept = points.select("u", "raw").mapInPandas(keyed, "t int, side long, at double, u long, raw binary")
-    return kept.repartitionByRange("t", "side", "at").sortWithinPartitions("t", "side", "at").mapInPandas(near, _EDGES)
+    # neighbours are not met over the end of a range; ranges that are no divisor of the orders end elsewhere in each
+    ranges = ORDERS * (int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")) // ORDERS + 1) + 3
+    return kept.repartitionByRange(ranges, "t", "side", "at").sortWithinPartitions("t", "side", "at").mapInPandas(near, _EDGES)
 
 
 def _best(edges: DataFrame, length: int) -> DataFrame:
