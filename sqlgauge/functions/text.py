@@ -145,6 +145,6 @@ def join_key(c: Column, *row: str) -> Column:
 
 
 def hash_bucket(c: Column, n: Column | int) -> Column:
-    """Reproducible bucket in ``[0, n)`` from the first 32 bits of an MD5."""
+    """Reproducible bucket in ``[0, n)`` from the first 60 bits of an MD5."""
     n = F.lit(n) if isinstance(n, int) else n
-    return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("bigint") % n
+    return F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("bigint") % n

@@ -123,9 +123,9 @@ def staged_verdict(pairs: DataFrame, outcomes: DataFrame, rows: DataFrame,
     n_gold, n_pred = count("n_gold"), count("n_pred")
     stage = (
         F.when(F.col("same_text"), "same_text")
-        .when(F.col("gold_ok").isNull() | F.col("pred_ok").isNull(), "no_result")
         .when(~F.col("gold_ok"), "gold_failed")
         .when(~F.col("pred_ok"), "pred_failed")
+        .when(F.col("gold_ok").isNull() | F.col("pred_ok").isNull(), "no_result")
         .when((n_gold == 0) & (n_pred == 0), "both_empty")
         .when(F.col("strict_equal"), "strict")
         .when((n_gold == n_pred) & (count("n_matched") == n_gold), "fuzzy")
@@ -176,7 +176,9 @@ def value_scores(rows: DataFrame, mapping: DataFrame, n_gold_cols: DataFrame, **
     ]
     values = reduce(DataFrame.unionByName, mapped)
     number = numeric(F.col("val"))
-    block = F.when(F.col("val") != "NaN", F.when(number.isNull(), F.col("val")).otherwise(F.lit("")))
+    # texts meet equal texts only, numbers only numbers; an empty text is a text
+    kind = F.when(number.isNull(), F.concat(F.lit("t:"), F.col("val"))).otherwise(F.lit("n"))
+    block = F.when(F.col("val") != "NaN", kind)
     items = values.select(
         "case_id", "true_col", "side", "pos", block.alias("block"),
         F.when(number.isNull(), F.array().cast("array<double>")).otherwise(F.array(number)).alias("vec"))

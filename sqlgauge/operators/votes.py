@@ -24,6 +24,6 @@ def majority_vote(votes: DataFrame, runs: int = S.MAJORITY_RUNS) -> DataFrame:
 
 
 def unanimous_vote(votes: DataFrame, n_judges: int = S.UNANIMOUS_JUDGES) -> DataFrame:
-    """True only if all ``n_judges`` voted true; a failed vote counts as false."""
-    return votes.filter(F.col("judge_id") < n_judges).groupBy("case_id").agg(
-        ((F.count_if("verdict") == n_judges) & (F.count("*") == n_judges)).alias("verdict"))
+    """True only if at least ``n_judges`` voted and all said true; a failed vote counts as false."""
+    return votes.groupBy("case_id").agg(
+        ((F.count_if("verdict") == F.count("*")) & (F.count("*") >= n_judges)).alias("verdict"))

@@ -274,15 +274,14 @@ def bi_weeks_above_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("bi_coverage_gain", "B14", f"""
-WITH {AREA_SALES}, c AS (SELECT ptype, week, count(DISTINCT nation)::DOUBLE / (SELECT count(*) FROM nation) AS cov
-  FROM area_sales WHERE brand = 'Brand#1' GROUP BY ALL),
-g AS (SELECT *, lag(cov) OVER (PARTITION BY ptype ORDER BY week) AS p FROM c),
-r AS (SELECT *, (cov - p) / p AS growth, row_number() OVER (PARTITION BY ptype ORDER BY (cov - p) / p DESC, week) AS n FROM g WHERE p > 0)
-SELECT ptype, {_d('week')} AS week, round(cov, 6) AS coverage, round(growth, 6) AS growth FROM r WHERE n = 1""")
+WITH {AREA_SALES}, c AS (SELECT brand, ptype, week, count(DISTINCT nation)::DOUBLE / (SELECT count(*) FROM nation) AS cov
+  FROM area_sales GROUP BY ALL),
+g AS (SELECT *, lag(cov) OVER (PARTITION BY brand, ptype ORDER BY week) AS p FROM c),
+r AS (SELECT *, (cov - p) / p AS growth, row_number() OVER (PARTITION BY brand, ptype ORDER BY (cov - p) / p DESC, week) AS n FROM g WHERE p > 0)
+SELECT brand, ptype, {_d('week')} AS week, round(cov, 6) AS coverage, round(growth, 6) AS growth FROM r WHERE n = 1""")
 def bi_coverage_gain(spark: SparkSession, sf: str) -> DataFrame:
-    facts = area_sales(spark, sf).filter(F.col("brand") == "Brand#1")
-    out = P.fastest_coverage_gain(facts, ["ptype"], "week", "nation", table(spark, sf, "nation"))
-    return out.select("ptype", day_text("week").alias("week"), rounded("coverage").alias("coverage"),
+    out = P.fastest_coverage_gain(area_sales(spark, sf), ["brand", "ptype"], "week", "nation", table(spark, sf, "nation"))
+    return out.select("brand", "ptype", day_text("week").alias("week"), rounded("coverage").alias("coverage"),
                       rounded("growth").alias("growth"))
 
 

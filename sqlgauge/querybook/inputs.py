@@ -41,7 +41,7 @@ def pick(bucket: Column, *values: Column | str) -> Column:
 
 
 def sql_bucket(key: str, n: int | str) -> str:
-    return f"(('0x' || substr(md5({key}), 1, 8))::BIGINT % {n})"
+    return f"(('0x' || substr(md5({key}), 1, 15))::BIGINT % {n})"
 
 
 def sql_pick(bucket: str, *values: str) -> str:
@@ -208,9 +208,10 @@ VOTES = """votes AS (SELECT event_id // 3 AS case_id, event_id % 3 AS judge_id,
 
 
 def vector_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Each vector and a mix of it with its successor."""
+    """Each vector and a mix of it with its successor; the first one follows the last."""
     emb = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
-    nxt = emb.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
+    n = (emb.agg(F.max("vec_id")).first()[0] or 0) + 1
+    nxt = emb.select(F.pmod(F.col("vec_id") - 1, F.lit(n)).alias("vec_id"), F.col("a").alias("b"))
     weight = (F.col("vec_id") % 6) * F.lit(0.12)
     return emb.join(nxt, "vec_id").select(
         F.col("vec_id").alias("pair_id"), F.col("a").alias("emb_gold"),
@@ -219,7 +220,7 @@ def vector_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 PAIRS = """pairs AS (SELECT e.vec_id AS pair_id, e.embedding::DOUBLE[] AS emb_gold,
   list_transform(list_zip(e.embedding::DOUBLE[], f.embedding::DOUBLE[]), lambda z: z[1] + z[2] * ((e.vec_id % 6) * 0.12::DOUBLE)) AS emb_pred
-  FROM embeddings e JOIN embeddings f ON f.vec_id = e.vec_id + 1)"""
+  FROM embeddings e JOIN embeddings f ON f.vec_id = (e.vec_id + 1) % (SELECT max(vec_id) + 1 FROM embeddings))"""
 
 
 # --- result sets --------------------------------------------------------------------------
@@ -313,15 +314,16 @@ p_rows AS (SELECT case_id, pos, '[{{"col":"amount","val":"' || v.amount || '"}},
 
 
 def word_sets(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct words of each document and of its successor, over the whole texts."""
+    """Distinct words of each document and of its successor (the first one follows the last), over the whole texts."""
     docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", F.array_distinct(F.filter(F.split("text", "[ \n]+"), lambda w: w != "")).alias("words"))
-    nxt = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("words").alias("gold"))
+    n = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1
+    nxt = docs.select(F.pmod(F.col("doc_id") - 1, F.lit(n)).alias("doc_id"), F.col("words").alias("gold"))
     return docs.join(nxt, "doc_id").select("doc_id", F.col("words").alias("pred"), "gold")
 
 
 WORD_SETS = """docs AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(text, '[ \n]+'), lambda w: w <> '')) AS words FROM documents),
-word_sets AS (SELECT a.doc_id, a.words AS pred, b.words AS gold FROM docs a JOIN docs b ON b.doc_id = a.doc_id + 1)"""
+word_sets AS (SELECT a.doc_id, a.words AS pred, b.words AS gold FROM docs a JOIN docs b ON b.doc_id = (a.doc_id + 1) % (SELECT max(doc_id) + 1 FROM docs))"""
 
 
 # --- replies ---------------------------------------------------------------------------------

@@ -77,17 +77,21 @@ def only_in_gold(spark: SparkSession, sf: str) -> DataFrame:
     return R.only_in_gold(I.case_rows(spark, sf))
 
 
-_PREVIEW_JSON = """'{"amount":"' || v.amount || '","idx":"' || v.idx || '","status":"' || v.status || '"}'"""
+_GOLD_JSON = """'{"amount":"' || v.amount || '","idx":"' || v.idx || '","status":"' || v.status || '"}'"""
+_PRED_JSON = """'{"amount":"' || v.amount || '",' || CASE WHEN form = 'column_added' THEN '"extra":"' || v.status || '",' ELSE '' END
+  || '"idx":"' || v.idx || '","' || CASE WHEN form = 'column_renamed' THEN 'state' ELSE 'status' END || '":"' || v.status || '"}'"""
 
 
 @query("result_preview", "T13", f"""
-WITH {I.CASE_ROWS}, r AS (SELECT case_id, pos, {_PREVIEW_JSON} AS line, row_number() OVER (PARTITION BY case_id ORDER BY pos) AS n FROM g_rows),
-c AS (SELECT case_id, count(*) AS n_rows FROM g_rows GROUP BY case_id)
-SELECT case_id, 'gold' AS side, any_value(n_rows) AS n_rows, 'rows: ' || any_value(n_rows) || chr(10) || string_agg(line, chr(10) ORDER BY pos)
+WITH {I.CASE_ROWS}, b AS (SELECT case_id, 'gold' AS side, pos, {_GOLD_JSON} AS line FROM g_rows
+  UNION ALL SELECT case_id, 'pred', pos, {_PRED_JSON} FROM p_rows),
+r AS (SELECT *, row_number() OVER (PARTITION BY case_id, side ORDER BY pos) AS n FROM b),
+c AS (SELECT case_id, side, count(*) AS n_rows FROM b GROUP BY ALL)
+SELECT case_id, side, any_value(n_rows) AS n_rows, 'rows: ' || any_value(n_rows) || chr(10) || string_agg(line, chr(10) ORDER BY pos)
   || CASE WHEN any_value(n_rows) > 10 THEN chr(10) || '(more rows not shown)' ELSE '' END AS preview
-FROM r JOIN c USING (case_id) WHERE n <= 10 GROUP BY case_id""")
+FROM r JOIN c USING (case_id, side) WHERE n <= 10 GROUP BY case_id, side""")
 def result_preview(spark: SparkSession, sf: str) -> DataFrame:
-    return R.result_preview(I.case_rows(spark, sf).filter("side = 'gold'"))
+    return R.result_preview(I.case_rows(spark, sf))
 
 
 def sql_walk(near: str, lefts: str, rights: str, keys: str = "case_id") -> str:
@@ -115,12 +119,12 @@ rights AS (SELECT case_id, list(v ORDER BY pos) AS items FROM p_rows WHERE form
 fuzzy AS (SELECT case_id, max(hits)::BIGINT AS n_matched FROM walk GROUP BY case_id)"""
 
 
-@query("fuzzy_matches", "E3", f"WITH RECURSIVE {I.CASE_ROWS}, {_FUZZY} SELECT case_id, n_matched FROM fuzzy")
+@query("fuzzy_matches", "E3", f"""WITH RECURSIVE {I.CASE_ROWS}, {_FUZZY}
+SELECT case_id, coalesce(n_matched, 0) AS n_matched FROM (SELECT DISTINCT case_id FROM p_rows) LEFT JOIN fuzzy USING (case_id)""")
 def fuzzy_matches(spark: SparkSession, sf: str) -> DataFrame:
     both = I.stored_case_rows(spark, sf)
     matched = R.fuzzy_matches(both, dims=2)
-    with_pred = both.filter("side = 'pred'").filter(F.size("cells") == 3).filter(
-        ~F.exists("cells", lambda c: c["col"] == "state")).select("case_id").distinct()
+    with_pred = both.filter("side = 'pred'").select("case_id").distinct()
     return with_pred.join(matched, "case_id", "left").select(
         "case_id", F.coalesce("n_matched", F.lit(0)).alias("n_matched"))
 
@@ -222,6 +226,6 @@ def majority_votes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("unanimous_votes", "V2", f"""
-WITH {I.VOTES} SELECT case_id, count(*) = 2 AND bool_and(coalesce(verdict, false)) AS verdict FROM votes WHERE judge_id < 2 GROUP BY case_id""")
+WITH {I.VOTES} SELECT case_id, count(*) >= 2 AND bool_and(coalesce(verdict, false)) AS verdict FROM votes GROUP BY case_id""")
 def unanimous_votes(spark: SparkSession, sf: str) -> DataFrame:
     return V.unanimous_vote(I.votes(spark, sf))
