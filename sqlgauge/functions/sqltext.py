@@ -17,17 +17,18 @@ from sqlgauge import settings as S
 from sqlgauge.functions.text import bind, strip
 
 KEYWORDS = (
-    "ALL AND ANY AS ASC BETWEEN BY CASE CAST CROSS CURRENT DATE DESC DISTINCT ELSE END EXCEPT "
-    "EXISTS FALSE FETCH FIRST FOLLOWING FROM FULL GROUP HAVING IN INNER INTERSECT INTERVAL IS "
-    "JOIN LEFT LIKE LIMIT NOT NULL NULLS OFFSET ON OR ORDER OUTER OVER PARTITION PRECEDING RANGE "
-    "RIGHT ROW ROWS SELECT SET THEN TRUE UNBOUNDED UNION USING VALUES WHEN WHERE WITH"
+    "ALL AND ANTI ANY AS ASC BETWEEN BY CASE CAST CROSS CURRENT DATE DESC DISTINCT ELSE END ESCAPE EXCEPT "
+    "EXISTS FALSE FETCH FIRST FOLLOWING FROM FULL GROUP HAVING ILIKE IN INNER INTERSECT INTERVAL IS "
+    "JOIN LATERAL LEFT LIKE LIMIT NATURAL NOT NULL NULLS OFFSET ON OR ORDER OUTER OVER PARTITION PRECEDING "
+    "QUALIFY RANGE RECURSIVE RIGHT RLIKE ROW ROWS SELECT SEMI SET THEN TRUE UNBOUNDED UNION USING VALUES "
+    "WHEN WHERE WITH"
 ).split()
 
 _COMMENT = r"--[^\n]*|/\*[\s\S]*?\*/"
 _STRING = r"'[^']*+(?:''[^']*+)*+'"
 _QUOTED = r"`[^`]*`|\"[^\"]*\""
 _WORD = r"[\p{L}_$][\p{L}\p{N}_$]*(?:\s*\.\s*[\p{L}_$][\p{L}\p{N}_$]*)*"
-_NUMBER = r"\d+(?:\.\d+)?"
+_NUMBER = r"\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
 _OTHER = r"<=|>=|<>|!=|\|\||\S"
 TOKEN_PATTERN = f"({_COMMENT}|{_STRING}|{_QUOTED}|{_WORD}|{_NUMBER}|{_OTHER})"
 
@@ -88,6 +89,18 @@ def _last_part(names: Column) -> Column:
     return F.array_distinct(F.transform(bare, lambda n: F.lower(F.substring_index(n, ".", -1))))
 
 
+def _plain_from(text: Column) -> Column:
+    """Masked text in which each FROM begins a clause, and listed tables are joined.
+
+    The FROM of a call (EXTRACT, TRIM, SUBSTRING, OVERLAY) is taken out; in FROM a, b every comma behind a
+    table becomes a JOIN, however long the list is.
+    """
+    name = rf"(?:{_ID}|`[^`]*`|\"[^\"]*\")"
+    text = F.regexp_replace(text, rf"\b(extract) \( {_ID} FROM ", "$1 ( ")
+    text = F.regexp_replace(text, r"\b(trim|substring|overlay) \( ([^()]*?) ?FROM ", "$1 ( $2 , ")
+    return F.regexp_replace(text, rf"((?:\G(?!\A)|\b(?:FROM|JOIN) ){name}(?: (?:AS )?{name})?) , (?={name}|\()", "$1 JOIN ")
+
+
 def _table_names(text: Column) -> Column:
     listed = rf"(?:FROM|JOIN) ((?:{_ID}|`[^`]*`|\"[^\"]*\"))"
     return _last_part(_all(text, listed))
@@ -130,7 +143,7 @@ def _literal_values(canonical: Column, text: Column) -> Column:
     strings = F.regexp_extract_all(canonical, F.lit(f"({_STRING})"), 1)
     numbers = F.regexp_extract_all(
         text,
-        F.lit(r"(?<![\p{L}\p{N}_$.])(\d+(?:\.\d+)?)(?![\p{L}\p{N}_])"), 1)
+        F.lit(r"(?<![\p{L}\p{N}_$.])(\d+(?:\.\d+)?(?:e[+-]?\d+)?)(?![\p{L}\p{N}_])"), 1)
     bare = F.transform(strings, lambda s: F.regexp_replace(s, "['\"]", ""))
     return F.array_distinct(F.concat(bare, numbers))
 
@@ -147,7 +160,8 @@ def sql_features(c: Column) -> Column:
         )
 
     both = bind(canonical_sql(c), lambda t: F.struct(t.alias("canonical"), masked(t).alias("masked")))
-    return bind(both, from_texts)
+    plain = bind(both, lambda t: F.struct(t["canonical"].alias("canonical"), _plain_from(t["masked"]).alias("masked")))
+    return bind(plain, from_texts)
 
 
 def _looks_parsable(text: Column) -> Column:

@@ -84,3 +84,14 @@ def test_swap_prefers_longer_names(evaluate):
     got = evaluate(lambda c: swap_metric(c, c, metrics), "the sale share now")
     assert got["metric"] in ("sale", "lead") and got["question"] == f"the {got['metric']} now"
     assert evaluate(lambda c: swap_metric(c, c, metrics), "nothing")["question"] is None
+
+
+def test_features_of_common_forms(evaluate):
+    f = evaluate(Q.sql_features, "SELECT a.x FROM orders a, customer AS b , nation WHERE a.k = b.k")
+    assert sorted(f["tables"]) == ["customer", "nation", "orders"] and sorted(f["columns"]) == ["k", "x"]
+    assert "JOIN" in f["keywords"]
+    f = evaluate(Q.sql_features, "SELECT EXTRACT(YEAR FROM o_orderdate), trim(BOTH FROM c) FROM orders WHERE t > -1.5e3")
+    assert f["tables"] == ["orders"] and "o_orderdate" in f["columns"] and "year" not in f["columns"]
+    assert f["literals"] == ["1.5e3"] and "e3" not in f["columns"] and "JOIN" not in f["keywords"]
+    f = evaluate(Q.sql_features, "SELECT k FROM orders LEFT SEMI JOIN customer USING (k)")
+    assert sorted(f["tables"]) == ["customer", "orders"] and f["columns"] == ["k"]
