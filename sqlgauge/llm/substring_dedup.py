@@ -66,7 +66,7 @@ def _values(filters: list[np.ndarray]):
     return run
 
 
-_FOUND = "h long, h2 int, doc_id long, th long, pos int, n int"
+_FOUND = "h long, h2 int, doc_id long, th int, pos int, n int"
 
 
 def _decided(h, h2, doc, pos, ids, keys) -> Iterator[pd.DataFrame]:

@@ -79,7 +79,7 @@ class Anchors:
             yield p.doc[left], self.keys(s, length)[p.at[left]] & ~_PLACE
 
 
-_FOUND = "v long, a int, doc_id long, th long, pos int, n int, raw binary"
+_FOUND = "v long, a int, doc_id long, th int, pos int, n int, raw binary"
 
 
 def _pieces_of(batches: Iterator[pd.DataFrame], filters: list[np.ndarray]) -> Iterator[pd.DataFrame]:
@@ -304,8 +304,8 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
             yield done(pd.concat(held, ignore_index=True))
 
     # what is removed already goes along under keys of its own
-    found = found.withColumn("k", F.coalesce("v", F.xxhash64("doc_id", "pos")))
-    return found.repartition("k").sortWithinPartitions("v", "k").mapInPandas(sort, "doc_id long, th long, pos int, n int")
+    found = found.repartition(F.coalesce("v", F.xxhash64("doc_id", "pos"))).sortWithinPartitions("v")
+    return found.mapInPandas(sort, "doc_id long, th int, pos int, n int")
 
 
 def cut_bytes(raw: bytes, pos: np.ndarray, n: np.ndarray) -> tuple[int, int, int, str]:

@@ -171,7 +171,7 @@ def ranges(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def text_keys(texts: list[bytes]) -> np.ndarray:
     """Second part of a row's name, so that rows with one ``doc_id`` keep their own spans."""
-    return np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
+    return np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).astype(np.uint32).view(np.int32)
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, remove: Callable[[bytes, np.ndarray, np.ndarray], tuple],
@@ -179,7 +179,8 @@ def without_spans(docs: DataFrame, spans: DataFrame, remove: Callable[[bytes, np
     """Apply ``remove(text, first window starts, how many)`` to every row of ``docs``; ``spans`` has rows
     ``doc_id, th, pos, n`` in any number. Rows without a span get empty arrays."""
     of = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
-    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("th", F.xxhash64("text"))
+    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn(
+        "th", F.shiftright(F.shiftleft(F.xxhash64("text"), 32), 32).cast("int"))
     met = rows.join(of, ["doc_id", "th"], "left").select(
         "doc_id", "text", F.col("spans.pos").alias("pos"), F.col("spans.n").alias("n"))
     names = [c.split()[0] for c in schema.split(", ")]
