@@ -9,6 +9,7 @@ text with such a piece is encoded in one go.
 from __future__ import annotations
 
 import os
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate, chain
@@ -22,6 +23,8 @@ from sqlgauge.llm.common import materialize, table, whole_texts
 
 #: Pieces a worker process remembers before it forgets those that it has not met since the last time.
 REMEMBERED = 250_000
+#: Words encoded as one text; marks that end a word of letters.
+JOINED, MARKS = 64, string.punctuation
 #: Lengths summed in one window.
 SPAN = 1024
 
@@ -40,7 +43,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.break_, self.comma, self.stop = self._ids(["\n", ",", "."])
+        self.break_, = self._ids(["\n"])
         self.first: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
@@ -51,17 +54,44 @@ class Encoder:
         ends = list(accumulate(map(len, ids), initial=0))
         return [flat[4 * i:4 * j] for i, j in zip(ends, ends[1:])]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each behind a blank. The splitter takes them one by one, so many are encoded
+        as one text and cut where its words end; should it see other words, they are encoded by themselves."""
+        groups = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
+        out: list[bytes] = []
+        for group, e in zip(groups, self.tokenizer.encode_batch(["".join([" " + w for w in g]) for g in groups],
+                                                                add_special_tokens=False)):
+            of = np.array(e.word_ids)
+            cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])
+            if len(cut) - 1 == len(group):
+                raw, ends = np.array(e.ids, "<u4").tobytes(), (4 * cut).tolist()
+                out += [raw[i:j] for i, j in zip(ends, ends[1:])]
+            else:
+                out += self._ids([" " + w for w in group])
+        return out
+
     def _learn(self, known: dict[str, bytes], older: dict[str, bytes], pieces: set[str], blank: str) -> None:
-        """Remember pieces that are safe to cut out; letters with one mark behind are the letters and the mark."""
-        met = pieces & older.keys()
-        known.update((p, older[p]) for p in met)
-        pieces = pieces - met
-        marked = [p for p in pieces if p[-1:] in (",", ".") and p[:-1].isalpha()]
-        plain = pieces.difference(marked).union(p[:-1] for p in marked)
-        safe = [p for p in plain if p and p == p.strip() and p not in known]
-        known.update(zip(safe, self._ids([blank + p for p in safe])))
-        for p in marked:
-            known[p] = known[p[:-1]] + (self.comma if p[-1] == "," else self.stop)
+        """Remember pieces that are safe to cut out; letters with marks behind are the letters and the marks."""
+        words, others, marked = set(), [], []
+        for p in pieces:
+            if p.isalpha():
+                words.add(p)
+            elif (stem := p.rstrip(MARKS)) != p and stem.isalpha():
+                marked.append((p, stem))
+            elif p and p == p.strip():
+                others.append(p)
+        words.update(stem for _, stem in marked if stem not in known)
+        if older:
+            met = [p for p in chain(words, others) if p in older]
+            known.update((p, older[p]) for p in met)
+            words.difference_update(met)
+            others = [p for p in others if p not in known]
+        found = list(words)
+        known.update(zip(found, self._words(found) if blank else self._ids(found)))
+        known.update(zip(others, self._ids([blank + p for p in others])))
+        behind = list({p[len(stem):] for p, stem in marked})
+        marks = dict(zip(behind, self._ids(behind)))
+        known.update((p, known[stem] + marks[p[len(stem):]]) for p, stem in marked)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # a single line break between two words is an id of its own; other texts are cut at blanks alone
