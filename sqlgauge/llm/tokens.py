@@ -1,18 +1,10 @@
-"""Token ids of whole texts by a public tokenizer, and exact length histograms.
-
-A byte-level BPE vocabulary never joins a blank to the word before it, nor a single line break to either word,
-so a text is encoded piece by piece, cut at each of them that stands alone between two words, and each piece is
-encoded once and remembered. A piece that begins or ends with other white space could be joined over the cut; a
-text with such a piece is encoded in one go.
-"""
+"""Token ids of whole texts by a public tokenizer, and exact length histograms."""
 
 from __future__ import annotations
 
 import os
-import string
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -21,10 +13,6 @@ from pyspark.sql import functions as F
 
 from sqlgauge.llm.common import materialize, table, whole_texts
 
-#: Pieces a worker process remembers before it forgets those that it has not met since the last time.
-REMEMBERED = 250_000
-#: Words encoded as one text; marks that end a word of letters.
-JOINED, MARKS = 64, string.punctuation
 #: Lengths summed in one window.
 SPAN = 1024
 
@@ -35,96 +23,48 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
+    """The tokens as bytes. The vocabulary writes a byte as a character: itself where that can be printed, else
+    the next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    return {bytes(byte[c] for c in token): i for token, i in vocabulary.items()}
+
+
 class Encoder:
-    """Ids as little-endian unsigned 32-bit values."""
+    """Ids as little-endian unsigned 32-bit values.
+
+    ``path`` is a file of the tokenizers library: a byte-level BPE whose ids are in the order of its merges. The
+    ids come from tiktoken with the same vocabulary and splits; a text on which its splitter gives up (a million
+    blanks in a row) goes to the tokenizers library, which is slower and has no such limit.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.break_, = self._ids(["\n"])
-        self.first: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
-        ends = list(accumulate(map(len, ids), initial=0))
-        return [flat[4 * i:4 * j] for i, j in zip(ends, ends[1:])]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, each behind a blank. The splitter takes them one by one, so many are encoded
-        as one text and cut where its words end; should it see other words, they are encoded by themselves."""
-        groups = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
-        out: list[bytes] = []
-        for group, e in zip(groups, self.tokenizer.encode_batch(["".join([" " + w for w in g]) for g in groups],
-                                                                add_special_tokens=False)):
-            of = np.array(e.word_ids)
-            cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])
-            if len(cut) - 1 == len(group):
-                raw, ends = np.array(e.ids, "<u4").tobytes(), (4 * cut).tolist()
-                out += [raw[i:j] for i, j in zip(ends, ends[1:])]
-            else:
-                out += self._ids([" " + w for w in group])
-        return out
-
-    def _learn(self, known: dict[str, bytes], older: dict[str, bytes], pieces: set[str], blank: str) -> None:
-        """Remember pieces that are safe to cut out; letters with marks behind are the letters and the marks."""
-        words, others, marked = set(), [], []
-        for p in pieces:
-            if p.isalpha():
-                words.add(p)
-            elif (stem := p.rstrip(MARKS)) != p and stem.isalpha():
-                marked.append((p, stem))
-            elif p and p == p.strip():
-                others.append(p)
-        words.update(stem for _, stem in marked if stem not in known)
-        if older:
-            met = [p for p in chain(words, others) if p in older]
-            known.update((p, older[p]) for p in met)
-            words.difference_update(met)
-            others = [p for p in others if p not in known]
-        found = list(words)
-        known.update(zip(found, self._words(found) if blank else self._ids(found)))
-        known.update(zip(others, self._ids([blank + p for p in others])))
-        behind = list({p[len(stem):] for p, stem in marked})
-        marks = dict(zip(behind, self._ids(behind)))
-        known.update((p, known[stem] + marks[p[len(stem):]]) for p, stem in marked)
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        vocabulary = {t: i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in special}
+        self.fast = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN,
+                                      mergeable_ranks=_ranks(vocabulary), special_tokens=special)
+
+    def _one(self, text: str) -> bytes:
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+        except ValueError:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # a single line break between two words is an id of its own; other texts are cut at blanks alone
-        lines = [t.split("\n") for t in texts]
-        lines = [[t] if "" in c else c for t, c in zip(texts, lines)]
-        cut = [[line.split(" ") for line in c] for c in lines]
-        if len(self.pieces) + len(self.first) > REMEMBERED:
-            self.older, self.first, self.pieces = (self.first, self.pieces), {}, {}
-        heads, tails = set(), set()
-        for c in cut:
-            for words in c:
-                heads.add(words[0])
-                tails.update(words[1:])
-        self._learn(self.first, self.older[0], heads.difference(self.first), "")
-        self._learn(self.pieces, self.older[1], tails.difference(self.pieces), " ")
-        out: list[bytes | None] = []
-        get = self.pieces.__getitem__
-        for c in cut:
-            try:
-                out.append(self.break_.join([self.first[w[0]] + b"".join(map(get, w[1:])) for w in c]))
-            except KeyError:
-                out.append(None)
-        whole = [i for i, o in enumerate(out) if o is None]
-        for i in range(0, len(whole), 64):
-            some = whole[i:i + 64]
-            for j, ids in zip(some, self._ids([texts[j] for j in some])):
-                out[j] = ids
-        return out
+        return [self._one(t) for t in texts]
 
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One for all tasks of a worker process, with what it remembers."""
+    """One for all tasks of a worker process."""
     return Encoder(path)
 
 

@@ -209,6 +209,8 @@ def test_encoder_equals_whole_encoding():
     rng, e = random.Random(1), tokens.Encoder(tokens.default_tokenizer())
     odd = ["".join(rng.choice(["a", "b", " ", "\n", ",", ".", "é", "1", "'s", " ", "!", "\t", "<|endoftext|>"])
                    for _ in range(rng.randint(0, 14))) for _ in range(5000)]
+    odd += [f"a{c}b 1{c}2 .{c}. {c}{c} x" for c in map(chr, range(0x30000)) if not 0xD800 <= ord(c) < 0xE000]
+    odd += [" " * 1_000_000 + "x", "\n" * 1_000_000, "a" * 50_000]
     whole = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(odd, add_special_tokens=False)]
     assert e.encode(odd) == whole
 
