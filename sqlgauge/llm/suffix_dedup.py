@@ -79,7 +79,9 @@ class Anchors:
             yield p.doc[left], self.keys(s, length)[p.at[left]] & ~_PLACE
 
 
-_FOUND = "v long, a int, doc_id long, th int, pos int, n int, raw binary"
+_FOUND = "a int, doc_id long, th int, pos int, n int, raw binary"
+#: The anchor of a run, as a hash of its bytes.
+_KEY = f"xxhash64(substring(raw, a + 1, {ANCHOR}))"
 
 
 def _pieces_of(batches: Iterator[pd.DataFrame], filters: list[np.ndarray]) -> Iterator[pd.DataFrame]:
@@ -99,9 +101,9 @@ def _pieces_of(batches: Iterator[pd.DataFrame], filters: list[np.ndarray]) -> It
         on[order] = ids[order] == owner
         f = ~on
         if f.any():
-            yield pd.DataFrame({"v": None, "a": None, "doc_id": ids[f], "th": keys[f], "pos": pos[f], "n": n[f], "raw": None})
-        yield pd.DataFrame({"v": v[on].view(np.int64), "a": a[on], "doc_id": ids[on], "th": keys[on], "pos": pos[on],
-                            "n": n[on], "raw": [r for r, k in zip(raws, on.tolist()) if k]})
+            yield pd.DataFrame({"a": None, "doc_id": ids[f], "th": keys[f], "pos": pos[f], "n": n[f], "raw": None})
+        yield pd.DataFrame({"a": a[on], "doc_id": ids[on], "th": keys[on], "pos": pos[on], "n": None,
+                            "raw": [r for r, k in zip(raws, on.tolist()) if k]})
 
     for b in batches:
         texts = raw_texts(b)
@@ -289,7 +291,7 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
             return pd.DataFrame({"doc_id": ids[k], "th": th[k], "pos": b["pos"].to_numpy(np.int64)[k] + first, "n": n})
 
         for b in batches:
-            known = b["v"].isna()
+            known = b["raw"].isna()
             yield b.loc[known, ["doc_id", "th", "pos", "n"]]
             b = b[~known]
             held.append(b)
@@ -304,7 +306,9 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
             yield done(pd.concat(held, ignore_index=True))
 
     # what is removed already goes along under keys of its own
-    found = found.repartition(F.coalesce("v", F.xxhash64("doc_id", "pos"))).sortWithinPartitions("v")
+    key = F.when(F.col("raw").isNotNull(), F.expr(_KEY))
+    found = found.repartition(F.coalesce(key, F.xxhash64("doc_id", "pos")))
+    found = found.withColumn("v", key).sortWithinPartitions("v")  # not sent, made again where it arrives
     return found.mapInPandas(sort, "doc_id long, th int, pos int, n int")
 
 

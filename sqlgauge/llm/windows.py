@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,15 +88,21 @@ def raw_texts(b: pd.DataFrame) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in b["text"]]
 
 
+def _turned(b: np.ndarray, width: int) -> bytes:
+    """Rows of so many bytes as columns."""
+    return b.reshape(-1, width).T.tobytes()
+
+
 def _deal(values: np.ndarray, twice: bool) -> pd.DataFrame:
-    """Sorted values as one row per bucket: 32 bits of each, the bucket being the ones before."""
+    """Sorted values as one row per bucket: 32 bits of each, the bucket being the ones before. Their first bytes
+    come first, then their second ones and so on: the first are in order and compress well."""
     v = np.sort(values)
     if twice:  # more than two of a value say no more than two
         v = v[np.r_[np.ones(min(2, len(v)), bool), v[2:] != v[:-2]]]
     bucket = (v >> np.uint64(64 - DEALT)).astype(np.int64)
     low = (v >> np.uint64(32 - DEALT)).astype("<u4")
     cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(v) else np.zeros(1, int)
-    return pd.DataFrame({"bucket": bucket[cut[:-1]], "v": [low[i:j].tobytes() for i, j in zip(cut, cut[1:])]})
+    return pd.DataFrame({"bucket": bucket[cut[:-1]], "v": [_turned(low[i:j].view(np.uint8), 4) for i, j in zip(cut, cut[1:])]})
 
 
 def documents(docs: DataFrame) -> DataFrame:
@@ -127,7 +134,7 @@ def repeated_values(docs: DataFrame, values_of: Callable[[list[bytes]], Iterator
             yield _deal(np.concatenate(held), True)
 
     def again(key, b: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(np.concatenate([np.frombuffer(x, "<u4") for x in b["v"]]))
+        v = np.sort(np.concatenate([np.frombuffer(_turned(np.frombuffer(x, np.uint8), len(x) // 4), "<u4") for x in b["v"]]))
         v = v[1:][v[1:] == v[:-1]]
         v = v[np.r_[np.ones(min(1, len(v)), bool), v[1:] != v[:-1]]]
         return pd.DataFrame({"bucket": [key[0]], "n": [len(v)], "v": [v.tobytes()]})
@@ -177,24 +184,32 @@ def text_keys(texts: list[bytes]) -> np.ndarray:
 def without_spans(docs: DataFrame, spans: DataFrame, remove: Callable[[bytes, np.ndarray, np.ndarray], tuple],
                   schema: str) -> DataFrame:
     """Apply ``remove(text, first window starts, how many)`` to every row of ``docs``; ``spans`` has rows
-    ``doc_id, th, pos, n`` in any number. Rows without a span get empty arrays."""
+    ``doc_id, th, pos, n`` in any number. Rows without a span get empty arrays. Texts go to their spans compressed."""
     of = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
-    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn(
-        "th", F.shiftright(F.shiftleft(F.xxhash64("text"), 32), 32).cast("int"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def pressed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        small = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            texts = raw_texts(b)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "th": text_keys(texts), "text": [small.compress(t) for t in texts]})
+
+    rows = whole_texts(docs).select("doc_id", text_or_empty().alias("text")).mapInPandas(
+        pressed, f"doc_id {kind}, th int, text binary")
     met = rows.join(of, ["doc_id", "th"], "left").select(
         "doc_id", "text", F.col("spans.pos").alias("pos"), F.col("spans.n").alias("n"))
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = np.zeros(0, np.int64)
+        none, small = np.zeros(0, np.int64), zstandard.ZstdDecompressor()
         for b in batches:
-            out = [remove(t, none if p is None else np.asarray(p, np.int64), none if n is None else np.asarray(n, np.int64))
-                   for t, p, n in zip(raw_texts(b), b["pos"], b["n"])]
+            out = [remove(small.decompress(t), none if p is None else np.asarray(p, np.int64), none if n is None else np.asarray(n, np.int64))
+                   for t, p, n in zip(b["text"], b["pos"], b["n"])]
             out = pd.DataFrame(out, columns=names)
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
 
-    return met.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {schema}")
+    return met.mapInPandas(run, f"doc_id {kind}, {schema}")
 
 
 def covered(size: int, pos: np.ndarray, n: np.ndarray) -> np.ndarray:
