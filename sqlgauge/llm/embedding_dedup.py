@@ -4,9 +4,10 @@ Equal vectors are one node. First neighbour lists come from orders of the nodes
 rounds of neighbours-of-neighbours joins improve them: nodes that share a neighbour are compared with each
 other, and lists keep the nearest. Recall is audited against brute force over a fixed number of nodes, and the
 rounds go on while the lists still change or recall is short. Links are the pairs found at the threshold or
-above, in double precision. A list that is full of links is saturated: it may have cut some off. The lists of
-a component with such a node are enlarged to the whole component, which is compared with itself tile by tile;
-only counts leave a tile.
+above, in double precision. A list that is full of links is saturated: it may have cut some off, to nodes that
+are saturated too. Saturated nodes therefore look for neighbours outside their component, in lists of their own,
+and components are joined by the links found until there are no more. The lists of a component with such a node
+are then enlarged to the whole component, which is compared with itself tile by tile; only counts leave a tile.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ ROUNDS, RECALL, AUDITED = 12, 0.99, 400
 STILL = 0.002
 #: Nodes in a tile.
 TILE = 512
+#: Nodes kept at both ends of a stretch of one component in an order, where only other components are looked for.
+ENDS = 2
 SEED = 42
 
 
@@ -72,7 +75,7 @@ _EDGES = "u long, v long, s double"
 
 def first_lists(points: DataFrame, width: int) -> DataFrame:
     """Candidates from orders: nodes sorted by the sides of random hyperplanes they lie on, and by a random
-    direction within, are compared with the next ones; each keeps its best half list."""
+    direction within, are compared with the next ones that have another ``c``; each keeps the best ``width``."""
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for width_now in sorted({len(r) for r in b["raw"]}):
@@ -82,21 +85,27 @@ def first_lists(points: DataFrame, width: int) -> DataFrame:
                     planes, line = rng.standard_normal((x.shape[1], PLANES)), rng.standard_normal(x.shape[1])
                     side = (x @ planes > 0) @ (1 << np.arange(PLANES))
                     yield pd.DataFrame({"t": t * 65536 + width_now // 8 % 65536, "side": side, "at": x @ line,
-                                        "u": mine["u"].to_numpy(), "raw": mine["raw"].to_numpy()})
+                                        "u": mine["u"].to_numpy(), "c": mine["c"].to_numpy(), "raw": mine["raw"].to_numpy()})
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for b in batches:
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            # of a long stretch of one component only the ends: what lies beyond comes into reach
+            new = np.r_[True, b["c"].to_numpy()[1:] != b["c"].to_numpy()[:-1]][:len(b)]
+            begin = np.flatnonzero(new)
+            many = np.diff(np.r_[begin, len(b)])
+            k = np.arange(len(b)) - np.repeat(begin, many)
+            b = b[(k < ENDS) | (k >= np.repeat(many, many) - ENDS)]
             sizes = b["raw"].map(len)
             for w in sorted(set(sizes)):
                 mine = b[sizes == w]
-                x, u = _matrix(mine["raw"].tolist()), mine["u"].to_numpy()
+                x, u, c = _matrix(mine["raw"].tolist()), mine["u"].to_numpy(), mine["c"].to_numpy()
                 n = len(u)
                 sims = np.full((n, 2 * REACH), -2.0)
                 who = np.zeros((n, 2 * REACH), np.int64)
                 for k in range(1, min(REACH, n - 1) + 1):
-                    s = (x[:-k] * x[k:]).sum(axis=1)
+                    s = np.where(c[:-k] != c[k:], (x[:-k] * x[k:]).sum(axis=1), -2.0)
                     sims[:-k, k - 1], who[:-k, k - 1] = s, u[k:]
                     sims[k:, REACH + k - 1], who[k:, REACH + k - 1] = s, u[:-k]
                 best = np.argsort(-sims, axis=1)[:, :width]
@@ -106,7 +115,7 @@ def first_lists(points: DataFrame, width: int) -> DataFrame:
                 yield _edges(us[ok], v[ok], s[ok])
             rest = b.tail(REACH)
 
-    kept = points.select("u", "raw").mapInPandas(keyed, "t int, side long, at double, u long, raw binary")
+    kept = points.select("u", "c", "raw").mapInPandas(keyed, "t int, side long, at double, u long, c long, raw binary")
     # neighbours are not met over the end of a range; ranges that are no divisor of the orders end elsewhere in each
     ranges = ORDERS * (int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")) // ORDERS + 1) + 3
     return kept.repartitionByRange(ranges, "t", "side", "at").sortWithinPartitions("t", "side", "at").mapInPandas(near, _EDGES)
@@ -119,19 +128,22 @@ def _best(edges: DataFrame, length: int) -> DataFrame:
     return one.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= length).drop("r")
 
 
-def _round(lists: DataFrame, points: DataFrame, length: int) -> DataFrame:
-    """Candidates among the neighbours of each node: pairs of which one edge is new and that would enter a list.
+def _round(lists: DataFrame, points: DataFrame, length: int, around: DataFrame | None = None) -> DataFrame:
+    """Candidates among the neighbours of each node: pairs with different ``c`` of which one edge is new and that
+    would enter a list. Neighbours in ``around`` are met with the others, but it gets no candidates.
 
     Reverse neighbours count too, as many as a list has, chosen by hash.
     """
     far = lists.groupBy("u").agg(F.min("s").alias("least"), F.count(F.lit(1)).alias("n"))
     far = far.select("u", F.when(F.col("n") < length, F.lit(-2.0)).otherwise(F.col("least")).alias("least"))
+    if around is not None:
+        lists = lists.unionByName(around.withColumn("new", F.lit(False)))
     back = lists.select(F.col("v").alias("w"), F.col("u").alias("a"), "new")
     pick = Window.partitionBy("w").orderBy(F.xxhash64("a", "w"))
     back = back.withColumn("r", F.row_number().over(pick)).where(F.col("r") <= length).drop("r")
     around = lists.select(F.col("u").alias("w"), F.col("v").alias("a"), "new").union(back)
     around = around.groupBy("w", "a").agg(F.max("new").alias("new"))
-    known = points.join(far, "u", "left").select(F.col("u").alias("a"), "raw", F.coalesce("least", F.lit(-2.0)).alias("least"))
+    known = points.join(far, "u", "left").select(F.col("u").alias("a"), "c", "raw", F.coalesce("least", F.lit(-2.0)).alias("least"))
     met = around.join(known, "a").repartition("w").sortWithinPartitions("w")
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,7 +159,7 @@ def _round(lists: DataFrame, points: DataFrame, length: int) -> DataFrame:
     def compare(b: pd.DataFrame) -> pd.DataFrame:
         out_u, out_v, out_s = [], [], []
         w, a = b["w"].to_numpy(), b["a"].to_numpy()
-        new, least = b["new"].to_numpy(), b["least"].to_numpy()
+        new, least, c = b["new"].to_numpy(), b["least"].to_numpy(), b["c"].to_numpy()
         raws = b["raw"].tolist()
         bounds = np.flatnonzero(np.r_[True, w[1:] != w[:-1], True]) if len(w) else [0]
         for i, j in zip(bounds, bounds[1:]):
@@ -155,8 +167,7 @@ def _round(lists: DataFrame, points: DataFrame, length: int) -> DataFrame:
                 continue
             x = _matrix(raws[i:j])
             s = x @ x.T
-            ok = (new[i:j, None] | new[None, i:j]) & (s > least[i:j, None])
-            np.fill_diagonal(ok, False)
+            ok = (new[i:j, None] | new[None, i:j]) & (s > least[i:j, None]) & (c[i:j, None] != c[None, i:j])
             p, q = np.nonzero(ok)
             out_u.append(a[i:j][p])
             out_v.append(a[i:j][q])
@@ -188,16 +199,59 @@ def true_links(points: DataFrame, threshold: float, audited: int) -> DataFrame:
     return materialize(points.select("u", "raw").mapInPandas(run, _EDGES).select("u", "v"), "audit")
 
 
+def _saturated(lists: DataFrame, threshold: float, length: int) -> DataFrame:
+    return lists.where(F.col("s") >= threshold).groupBy("u").count().where(F.col("count") >= length).select("u")
+
+
+def _grouped(points: DataFrame, links: DataFrame) -> DataFrame:
+    """The nodes with the component ``c`` that ``links`` give them."""
+    met = components(links, "u", "v").select(F.col("node").alias("u"), F.col("component").alias("c"))
+    return materialize(points.drop("c").join(met, "u", "left").withColumn("c", F.coalesce("c", "u")), "vector-components")
+
+
+def joined_components(lists: DataFrame, points: DataFrame, threshold: float, length: int) -> DataFrame:
+    """The nodes with their component ``c``.
+
+    A link that no list holds has two saturated ends. Those nodes get lists of the nearest nodes of other
+    components, improved in rounds; components that a link joins become one, and the search begins anew.
+    """
+    links = materialize(lists.where(F.col("s") >= threshold).select("u", "v"), "vector-links")
+    full = materialize(_saturated(lists, threshold, length), "saturated")
+    known = _grouped(points, links)
+    while True:
+        crowded = materialize(known.join(full, "u", "left_semi"), "saturated-nodes")
+        if crowded.select("c").distinct().limit(2).count() < 2:
+            return known
+        n_places, more = crowded.count() * length, None
+        apart = materialize(_best(first_lists(crowded, length).withColumn("new", F.lit(True)), length), "apart")
+        for _ in range(ROUNDS):
+            more = apart.where(F.col("s") >= threshold).select("u", "v")
+            if more.limit(1).count():
+                break
+            more = None
+            fresh = _round(apart, crowded, length, lists).withColumn("new", F.lit(True))
+            apart = materialize(_best(apart.withColumn("new", F.lit(False)).unionByName(fresh), length), "apart")
+            if apart.where("new").count() <= STILL * n_places and not apart.where(F.col("s") >= threshold).limit(1).count():
+                break
+        if more is None:
+            more = apart.where(F.col("s") >= threshold).select("u", "v")
+            if not more.limit(1).count():
+                return known
+        links = materialize(links.union(more), "vector-links")
+        known = _grouped(points, links)
+
+
 def neighbour_graph(points: DataFrame, threshold: float = THRESHOLD, length: int = LIST,
-                    audited: int = AUDITED) -> tuple[DataFrame, float]:
-    """Neighbour lists ``u, v, s`` of all nodes, and the audited recall of links between nodes in one
-    component of the found links."""
-    lists = materialize(_best(first_lists(points, length // 2).withColumn("new", F.lit(True)), length), "knn")
+                    audited: int = AUDITED) -> tuple[DataFrame, DataFrame, float]:
+    """Neighbour lists ``u, v, s`` of all nodes, the nodes with their component ``c``, and the audited recall of
+    links."""
+    alone = points.withColumn("c", F.col("u"))
+    lists = materialize(_best(first_lists(alone, length).withColumn("new", F.lit(True)), length), "knn")
     truth = true_links(points, threshold, audited)
     n_true, n_places = truth.count(), max(points.count() * length, 1)
     best, stale, recall = -1.0, 0, 1.0
     for _ in range(ROUNDS):
-        fresh = _round(lists, points, length).withColumn("new", F.lit(True))
+        fresh = _round(lists, alone, length).withColumn("new", F.lit(True))
         lists = materialize(_best(lists.withColumn("new", F.lit(False)).unionByName(fresh), length), "knn")
         changed = lists.where("new").count() / n_places
         recall = _recall(lists, truth, threshold, length) if n_true else 1.0
@@ -205,19 +259,22 @@ def neighbour_graph(points: DataFrame, threshold: float = THRESHOLD, length: int
         best = max(best, recall)
         if recall >= RECALL and (changed < STILL or stale >= 1) or stale >= 3:
             break
-    return lists, recall
+    known = joined_components(lists, points, threshold, length)
+    return lists, known, _recall(lists, truth, threshold, length, known) if n_true else 1.0
 
 
-def _recall(lists: DataFrame, truth: DataFrame, threshold: float, length: int) -> float:
+def _recall(lists: DataFrame, truth: DataFrame, threshold: float, length: int, known: DataFrame | None = None) -> float:
     """Share of true links that are in a list of either end, or whose ends have saturated lists: those are
-    enlarged, and compared with their whole component."""
+    enlarged, and compared with their whole component. With the components ``known`` the ends of such a link
+    must be in one."""
     links = lists.where(F.col("s") >= threshold)
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    full = links.groupBy("u").count().where(F.col("count") >= length).select("u")
+    full = _saturated(lists, threshold, length)
+    full = full.withColumn("c", F.lit(0)) if known is None else known.join(full, "u", "left_semi").select("u", "c")
     found = truth.join(both.withColumn("f", F.lit(1)), ["u", "v"], "left")
-    found = found.join(full.withColumn("x", F.lit(1)), "u", "left")
-    found = found.join(full.select(F.col("u").alias("v"), F.lit(1).alias("y")), "v", "left")
-    ok = F.col("f").isNotNull() | (F.col("x").isNotNull() & F.col("y").isNotNull())
+    found = found.join(full.withColumnRenamed("c", "x"), "u", "left")
+    found = found.join(full.select(F.col("u").alias("v"), F.col("c").alias("y")), "v", "left")
+    ok = F.col("f").isNotNull() | F.coalesce(F.col("x") == F.col("y"), F.lit(False))
     return found.agg(F.avg(ok.cast("double"))).first()[0]
 
 
@@ -250,13 +307,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, length: in
     each other. An empty table stays empty; other columns are not read.
     """
     rows, points = nodes(vectors)
-    lists, _ = neighbour_graph(points, threshold, length)
-    links = materialize(lists.where(F.col("s") >= threshold).select("u", "v"), "vector-links")
+    lists, known, _ = neighbour_graph(points, threshold, length)
+    links = lists.where(F.col("s") >= threshold).select("u", "v")
     both = links.union(links.select("v", "u")).distinct()
-    met = components(links, "u", "v").select(F.col("node").alias("u"), F.col("component").alias("c"))
-    known = materialize(points.join(met, "u", "left").withColumn("c", F.coalesce("c", "u")), "vector-components")
-    full = links.groupBy("u").count().where(F.col("count") >= length)
-    crowded = full.join(known, "u").select("c").distinct()
+    crowded = _saturated(lists, threshold, length).join(known, "u").select("c").distinct()
     tiled = _tile_counts(known.join(crowded, "c", "left_semi").select("c", "u", "raw", "copies"), threshold, tile)
     listed = both.join(known.join(crowded, "c", "left_anti").select(F.col("u")), "u")
     listed = listed.join(known.select(F.col("u").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("near"))

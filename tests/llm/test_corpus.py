@@ -272,6 +272,27 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def brute_force_links(vectors):
+    """n_links, component and kept of each vector, all of one length."""
+    u = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    comp = reach(list(range(len(u))), list(zip(*map(list, np.nonzero(near)))))
+    return [(i, int(near[i].sum()), comp[i], comp[i] == i) for i in range(len(u))]
+
+
+def test_embeddings_in_two_tight_groups(spark):
+    """Groups larger than a list, with links between them that no list has room for."""
+    rng = np.random.default_rng(7)
+    a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    b = 0.96 * a + (1 - 0.96 ** 2) ** 0.5 * b
+    vectors = [c + 0.001 * rng.standard_normal(64) for c in (a, b) for _ in range(40)]
+    vectors += list(rng.standard_normal((200, 64)))
+    want = brute_force_links(vectors)
+    assert want[0][1] == 79
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    same(embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), want)
+
+
 def removed(units_of, hide):
     """Brute force: units covered by a window that starts in a row with a smaller identifier."""
     first, out = {}, []
