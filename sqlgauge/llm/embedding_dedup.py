@@ -2,8 +2,10 @@
 
 Equal vectors are one node. First neighbour lists come from orders of the nodes along random directions; then
 rounds of neighbours-of-neighbours joins improve them: nodes that share a neighbour are compared with each
-other, and lists keep the nearest. Recall is audited against brute force over a fixed number of nodes, and the
-rounds go on while the lists still change or recall is short. Links are the pairs found at the threshold or
+other, and lists keep the nearest. Planes and orders follow the number of nodes, so that a pair at the threshold
+meets with a set probability in the first lists alone. Recall is audited against brute force over as many nodes
+as it takes to see enough links. The rounds go on until the lists settle. While recall is short, more orders are
+tried, twice as many each time, and lists are lengthened; if it stays short, the job fails. Links are the pairs found at the threshold or
 above, in double precision. A list that is full of links is saturated: it may have cut some off, to nodes that
 are saturated too. Saturated nodes therefore look for neighbours outside their component, in lists of their own,
 and components are joined by the links found until there are no more. The lists of a component with such a node
@@ -23,12 +25,17 @@ from sqlgauge.llm.common import attach_spread, materialize, table, with_place
 from sqlgauge.llm.components import components
 
 THRESHOLD = 0.95
-#: Length of a neighbour list, orders for the first lists, hyperplanes and neighbours to each side in an order.
-LIST, ORDERS, PLANES, REACH = 8, 8, 10, 8
-#: Rounds at most without gain in recall, least recall, nodes that the audit compares with all.
-ROUNDS, RECALL, AUDITED = 12, 0.99, 400
-#: Share of list places that may still change in the last round.
-STILL = 0.002
+#: Length of a neighbour list, least orders for the first lists, neighbours to each side in an order.
+LIST, ORDERS, REACH = 8, 8, 8
+#: Part of the pairs at the threshold that are to stand in one side of an order, and most orders made at once.
+MET, MOST_ORDERS = 0.99, 64
+#: Rounds at most, least recall, nodes that the audit compares with all at first, true links it wants to see,
+#: comparisons it may make for them.
+ROUNDS, RECALL, AUDITED, AUDIT_LINKS, AUDIT_PAIRS = 12, 0.99, 400, 400, 4e9
+#: Share of list places that may still change in the last round, and share of links that may be new.
+STILL, STILL_LINKS = 0.05, 0.002
+#: Times that orders are added when recall is short.
+ATTEMPTS = 5
 #: Nodes in a tile.
 TILE = 512
 #: Nodes kept at both ends of a stretch of one component in an order, where only other components are looked for.
@@ -73,17 +80,25 @@ def _edges(u, v, s) -> pd.DataFrame:
 _EDGES = "u long, v long, s double"
 
 
-def first_lists(points: DataFrame, width: int) -> DataFrame:
+def orders_for(n: int, threshold: float) -> tuple[int, int]:
+    """Hyperplanes, so many that a side holds about as many nodes as an order reaches, and orders, so many that a
+    pair at the threshold is on one side in one of them with probability ``MET``."""
+    planes = int(np.clip(np.ceil(np.log2(max(n, 1) / (2 * REACH))), 0, 40))
+    together = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** planes
+    return planes, int(np.clip(np.ceil(np.log(1 - MET) / np.log1p(-together)) if together < 1 else 1, ORDERS, MOST_ORDERS))
+
+
+def first_lists(points: DataFrame, width: int, planes: int, orders: int, seed: int = SEED) -> DataFrame:
     """Candidates from orders: nodes sorted by the sides of random hyperplanes they lie on, and by a random
     direction within, are compared with the next ones that have another ``c``; each keeps the best ``width``."""
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for width_now in sorted({len(r) for r in b["raw"]}):
                 mine = b[b["raw"].map(len) == width_now]
-                x, rng = _matrix(mine["raw"].tolist()), np.random.default_rng(SEED)
-                for t in range(ORDERS):
-                    planes, line = rng.standard_normal((x.shape[1], PLANES)), rng.standard_normal(x.shape[1])
-                    side = (x @ planes > 0) @ (1 << np.arange(PLANES))
+                x, rng = _matrix(mine["raw"].tolist()), np.random.default_rng(seed)
+                for t in range(orders):
+                    across, line = rng.standard_normal((x.shape[1], planes)), rng.standard_normal(x.shape[1])
+                    side = (x @ across > 0) @ (1 << np.arange(planes, dtype=np.int64))
                     yield pd.DataFrame({"t": t * 65536 + width_now // 8 % 65536, "side": side, "at": x @ line,
                                         "u": mine["u"].to_numpy(), "c": mine["c"].to_numpy(), "raw": mine["raw"].to_numpy()})
 
@@ -117,7 +132,7 @@ def first_lists(points: DataFrame, width: int) -> DataFrame:
 
     kept = points.select("u", "c", "raw").mapInPandas(keyed, "t int, side long, at double, u long, c long, raw binary")
     # neighbours are not met over the end of a range; ranges that are no divisor of the orders end elsewhere in each
-    ranges = ORDERS * (int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")) // ORDERS + 1) + 3
+    ranges = orders * (int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")) // orders + 1) + 3
     return kept.repartitionByRange(ranges, "t", "side", "at").sortWithinPartitions("t", "side", "at").mapInPandas(near, _EDGES)
 
 
@@ -178,9 +193,8 @@ def _round(lists: DataFrame, points: DataFrame, length: int, around: DataFrame |
     return met.mapInPandas(local, _EDGES)
 
 
-def true_links(points: DataFrame, threshold: float, audited: int) -> DataFrame:
-    """All links of a fixed number of nodes, by brute force: the recall audit."""
-    asked = points.orderBy(F.xxhash64("u"), "u").limit(audited).select("u", "raw").collect()
+def _links_of(asked: list, points: DataFrame, threshold: float) -> DataFrame:
+    """All links of the nodes ``asked``, by brute force."""
     queries: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for size in {len(r["raw"]) for r in asked}:
         mine = [r for r in asked if len(r["raw"]) == size]
@@ -191,14 +205,30 @@ def true_links(points: DataFrame, threshold: float, audited: int) -> DataFrame:
             sizes = b["raw"].map(len)
             for size in set(sizes) & set(queries):
                 mine, (who, q) = b[sizes == size], queries[size]
-                s = q @ _matrix(mine["raw"].tolist()).T
-                i, j = np.nonzero(s >= threshold)
-                u, v = who[i], mine["u"].to_numpy()[j]
-                yield _edges(u[u != v], v[u != v], s[i, j][u != v])
+                x, u = _matrix(mine["raw"].tolist()), mine["u"].to_numpy()
+                for k in range(0, len(u), 512):
+                    s = q @ x[k:k + 512].T
+                    i, j = np.nonzero(s >= threshold)
+                    v = u[k:k + 512][j]
+                    yield _edges(who[i][who[i] != v], v[who[i] != v], s[i, j][who[i] != v])
 
     return materialize(points.select("u", "raw").mapInPandas(run, _EDGES).select("u", "v"), "audit")
 
 
+def true_links(points: DataFrame, threshold: float, audited: int) -> tuple[DataFrame, int]:
+    """Links found by brute force for the recall audit, and their number: those of ``audited`` nodes, and of more,
+    up to a number of comparisons, while they have fewer than ``AUDIT_LINKS``. The nodes are chosen by hash."""
+    n = points.count()
+    most = max(audited, int(min(AUDIT_PAIRS / max(n, 1), 20_000)))
+    while True:
+        asked = points.orderBy(F.xxhash64("u"), "u").limit(audited).select("u", "raw").collect()
+        truth = _links_of(asked, points, threshold)
+        found = truth.count()
+        if found >= AUDIT_LINKS or audited >= min(most, n):
+            return truth, found
+        audited = min(most, 8 * audited)
+
+
 def _saturated(lists: DataFrame, threshold: float, length: int) -> DataFrame:
     return lists.where(F.col("s") >= threshold).groupBy("u").count().where(F.col("count") >= length).select("u")
 
@@ -209,7 +239,7 @@ def _grouped(points: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(points.drop("c").join(met, "u", "left").withColumn("c", F.coalesce("c", "u")), "vector-components")
 
 
-def joined_components(lists: DataFrame, points: DataFrame, threshold: float, length: int) -> DataFrame:
+def joined_components(lists: DataFrame, points: DataFrame, threshold: float, length: int, seed: int = SEED) -> DataFrame:
     """The nodes with their component ``c``.
 
     A link that no list holds has two saturated ends. Those nodes get lists of the nearest nodes of other
@@ -223,7 +253,8 @@ def joined_components(lists: DataFrame, points: DataFrame, threshold: float, len
         if crowded.select("c").distinct().limit(2).count() < 2:
             return known
         n_places, more = crowded.count() * length, None
-        apart = materialize(_best(first_lists(crowded, length).withColumn("new", F.lit(True)), length), "apart")
+        first = first_lists(crowded, length, *orders_for(n_places // length, threshold), seed)
+        apart = materialize(_best(first.withColumn("new", F.lit(True)), length), "apart")
         for _ in range(ROUNDS):
             more = apart.where(F.col("s") >= threshold).select("u", "v")
             if more.limit(1).count():
@@ -242,35 +273,45 @@ def joined_components(lists: DataFrame, points: DataFrame, threshold: float, len
 
 
 def neighbour_graph(points: DataFrame, threshold: float = THRESHOLD, length: int = LIST,
-                    audited: int = AUDITED) -> tuple[DataFrame, DataFrame, float]:
-    """Neighbour lists ``u, v, s`` of all nodes, the nodes with their component ``c``, and the audited recall of
-    links."""
-    alone = points.withColumn("c", F.col("u"))
-    lists = materialize(_best(first_lists(alone, length).withColumn("new", F.lit(True)), length), "knn")
-    truth = true_links(points, threshold, audited)
-    n_true, n_places = truth.count(), max(points.count() * length, 1)
-    best, stale, recall = -1.0, 0, 1.0
+                    audited: int = AUDITED) -> tuple[DataFrame, DataFrame, int, float]:
+    """Neighbour lists ``u, v, s`` of all nodes, the nodes with their component ``c``, the length of the lists, and
+    the audited recall of links (1 where the audit has seen none)."""
+    alone, n = points.withColumn("c", F.col("u")), points.count()
+    planes, orders = orders_for(n, threshold)
+    truth, n_true = true_links(points, threshold, audited)
+    lists, recall = None, 0.0
+    for attempt in range(ATTEMPTS):
+        seed = SEED + attempt
+        fresh = first_lists(alone, length, planes, min(orders << attempt, MOST_ORDERS << attempt), seed).withColumn("new", F.lit(True))
+        fresh = fresh if lists is None else lists.withColumn("new", F.lit(False)).unionByName(fresh)
+        lists = materialize(_best(fresh, length), "knn")
+        lists = _settled(lists, alone, threshold, length, max(n * length, 1))
+        known = joined_components(lists, points, threshold, length, seed)
+        recall = _recall(lists, truth, threshold, length, known) if n_true else 1.0
+        if recall >= RECALL:
+            return lists, known, length, recall
+        length += LIST
+    raise RuntimeError(f"recall of links stays at {recall:.4f} of {n_true} audited ones, {RECALL} are asked for")
+
+
+def _settled(lists: DataFrame, points: DataFrame, threshold: float, length: int, n_places: int) -> DataFrame:
+    """The lists after rounds until few places change and few links are new."""
     for _ in range(ROUNDS):
-        fresh = _round(lists, alone, length).withColumn("new", F.lit(True))
+        fresh = _round(lists, points, length).withColumn("new", F.lit(True))
         lists = materialize(_best(lists.withColumn("new", F.lit(False)).unionByName(fresh), length), "knn")
-        changed = lists.where("new").count() / n_places
-        recall = _recall(lists, truth, threshold, length) if n_true else 1.0
-        stale = stale + 1 if recall <= best else 0
-        best = max(best, recall)
-        if recall >= RECALL and (changed < STILL or stale >= 1) or stale >= 3:
+        new, linked = F.col("new"), F.col("s") >= threshold
+        changed, found, links = lists.agg(F.count_if(new), F.count_if(new & linked), F.count_if(linked)).first()
+        if changed <= STILL * n_places and found <= STILL_LINKS * links:
             break
-    known = joined_components(lists, points, threshold, length)
-    return lists, known, _recall(lists, truth, threshold, length, known) if n_true else 1.0
+    return lists
 
 
-def _recall(lists: DataFrame, truth: DataFrame, threshold: float, length: int, known: DataFrame | None = None) -> float:
-    """Share of true links that are in a list of either end, or whose ends have saturated lists: those are
-    enlarged, and compared with their whole component. With the components ``known`` the ends of such a link
-    must be in one."""
+def _recall(lists: DataFrame, truth: DataFrame, threshold: float, length: int, known: DataFrame) -> float:
+    """Share of true links that are in a list of either end, or whose ends have saturated lists and are in one
+    component of ``known``: such lists are enlarged, and compared with the whole component."""
     links = lists.where(F.col("s") >= threshold)
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    full = _saturated(lists, threshold, length)
-    full = full.withColumn("c", F.lit(0)) if known is None else known.join(full, "u", "left_semi").select("u", "c")
+    full = known.join(_saturated(lists, threshold, length), "u", "left_semi").select("u", "c")
     found = truth.join(both.withColumn("f", F.lit(1)), ["u", "v"], "left")
     found = found.join(full.withColumnRenamed("c", "x"), "u", "left")
     found = found.join(full.select(F.col("u").alias("v"), F.col("c").alias("y")), "v", "left")
@@ -304,10 +345,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, length: in
 
     Vectors that are null, empty, zero or hold a null or non-finite number have no link; their component is
     their own ``vec_id``. Vectors of different length have none with each other. Repeated vectors are linked to
-    each other. An empty table stays empty; other columns are not read.
+    each other. Fails where the audited recall of links stays short. An empty table stays empty; other columns are not read.
     """
     rows, points = nodes(vectors)
-    lists, known, _ = neighbour_graph(points, threshold, length)
+    lists, known, length, _ = neighbour_graph(points, threshold, length)
     links = lists.where(F.col("s") >= threshold).select("u", "v")
     both = links.union(links.select("v", "u")).distinct()
     crowded = _saturated(lists, threshold, length).join(known, "u").select("c").distinct()

@@ -293,6 +293,34 @@ def test_embeddings_in_two_tight_groups(spark):
     same(embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), want)
 
 
+def test_embeddings_with_rare_links(spark):
+    """Isolated near pairs among unrelated vectors; first lists and audit must find them."""
+    rng = np.random.default_rng(9)
+    vectors = list(rng.standard_normal((3000, 64)))
+    for k in range(12):
+        side = rng.standard_normal(64)
+        vectors.append(vectors[k] / np.linalg.norm(vectors[k]) + 0.3 * side / np.linalg.norm(side))
+    want = brute_force_links(vectors)
+    assert sum(w[1] for w in want) >= 20
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    points = embedding_dedup.nodes(df)[1]
+    assert embedding_dedup.true_links(points, 0.95, 100)[1] == sum(w[1] for w in want)  # not those of 100 nodes only
+    same(embedding_dedup.near_duplicates(df), want)
+
+
+def test_embedding_orders_follow_the_size():
+    few, many = (embedding_dedup.orders_for(n, 0.95) for n in (5_000, 5_000_000))
+    assert many[0] > few[0] + 8 and many[1] > few[1]
+
+
+def test_embeddings_fail_when_recall_stays_short(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "_recall", lambda *a: 0.5)
+    monkeypatch.setattr(embedding_dedup, "ATTEMPTS", 1)
+    df = spark.createDataFrame([(i, [1.0, 0.01 * i]) for i in range(5)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="recall"):
+        embedding_dedup.near_duplicates(df)
+
+
 def removed(units_of, hide):
     """Brute force: units covered by a window that starts in a row with a smaller identifier."""
     first, out = {}, []
