@@ -6,6 +6,10 @@ right from the anchor, and, read backwards, to the left. A merge sort compares t
 over prefix polynomial hashes for their common extension, and then by one byte. Extensions of neighbours are
 verified byte by byte after the sort; an order that a hash collision spoilt is made anew from the bytes. From
 the extensions to both sides follows which windows around the anchors are equal.
+
+The suffixes of one anchor are sorted in one task. An anchor with very many runs is found by a sample of the
+documents; its runs are taken apart into their windows, of which a task sends each different one once, and which
+meet by a hash of all their bytes. Such a window has at most one row for each batch of a task.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
 #: Rows of suffixes sorted at once, anchors being kept together.
 SORTED = 60_000
+#: Runs of one anchor above which it is taken apart; one of so many documents is looked at to find such anchors.
+HOT, SAMPLE = 15_000, 16
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -80,13 +86,36 @@ class Anchors:
 
 
 _FOUND = "a int, doc_id long, th int, pos int, n int, raw binary"
-#: The anchor of a run, as a hash of its bytes.
-_KEY = f"xxhash64(substring(raw, a + 1, {ANCHOR}))"
+#: The anchor of a run, as a hash of its bytes; of a window of a frequent anchor (its ``n`` is 1), all its bytes.
+_KEY = f"if(n = 1, xxhash64(raw, 1), xxhash64(substring(raw, a + 1, {ANCHOR})))"
+
+
+def _runs(p, left: np.ndarray, key: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """First of each run of windows with one anchor; windows in ``apart`` are runs of their own."""
+    at, doc = p.at[left], p.doc[left]
+    return np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]) | apart[1:]])
+
+
+def frequent_anchors(docs: DataFrame, filters: list, hot: int, sample: int) -> np.ndarray:
+    """Sorted anchors of about ``hot`` runs at least, by a sample of the documents."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        anchors = Anchors()
+        for b in batches:
+            for p, s, left in anchors.candidates(raw_texts(b), [f.value for f in filters]):
+                key = anchors.keys(s, ANCHOR)[p.at[left]]
+                v, n = np.unique(key[_runs(p, left, key, np.zeros(len(left), bool))] & ~_PLACE, return_counts=True)
+                yield pd.DataFrame({"v": v.view(np.int64), "n": n})
+
+    some = documents(docs).where(F.pmod(F.xxhash64("doc_id", F.lit(SAMPLE)), F.lit(sample)) == 0)
+    counts = some.mapInPandas(count, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") * sample >= hot).select("v").toPandas()["v"]
+    return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
-def _pieces_of(batches: Iterator[pd.DataFrame], filters: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-    """Runs of windows with one anchor that is repeated, with their bytes. Of equal runs gathered by a task only
-    those of the smallest identifier go on; the windows of the others are removed here."""
+def _pieces_of(batches: Iterator[pd.DataFrame], filters: list[np.ndarray], frequent: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Runs of windows with one anchor that is repeated, with their bytes; single windows where the anchor is
+    frequent. Of equal runs gathered by a task only those of the smallest identifier go on; the windows of the
+    others are removed here."""
     anchors = Anchors()
     held, size = [], 0
 
@@ -102,7 +131,8 @@ def _pieces_of(batches: Iterator[pd.DataFrame], filters: list[np.ndarray]) -> It
         f = ~on
         if f.any():
             yield pd.DataFrame({"a": None, "doc_id": ids[f], "th": keys[f], "pos": pos[f], "n": n[f], "raw": None})
-        yield pd.DataFrame({"a": a[on], "doc_id": ids[on], "th": keys[on], "pos": pos[on], "n": None,
+        yield pd.DataFrame({"a": a[on], "doc_id": ids[on], "th": keys[on], "pos": pos[on],
+                            "n": pd.Series(np.where(np.isin(v[on], frequent), 1, None), dtype="Int32"),
                             "raw": [r for r, k in zip(raws, on.tolist()) if k]})
 
     for b in batches:
@@ -111,7 +141,7 @@ def _pieces_of(batches: Iterator[pd.DataFrame], filters: list[np.ndarray]) -> It
         for p, s, left in anchors.candidates(texts, filters):
             at = p.at[left]
             key = anchors.keys(s, ANCHOR)[at]
-            cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1) | (p.doc[left][1:] != p.doc[left][:-1])])
+            cut = _runs(p, left, key, np.isin(key & ~_PLACE, frequent))
             n = np.diff(np.r_[cut, len(left)])
             first, k = at[cut], left[cut]
             text = p.units.tobytes()
@@ -278,7 +308,9 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
 
         found = repeated_values(docs, values, f"bytes-{length}")
         filters.append(docs.sparkSession.sparkContext.broadcast(found))
-    found = documents(docs).mapInPandas(lambda batches: _pieces_of(batches, [f.value for f in filters]), _FOUND)
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_anchors(docs, filters, HOT, SAMPLE))
+    found = documents(docs).mapInPandas(
+        lambda batches: _pieces_of(batches, [f.value for f in filters], frequent.value), _FOUND)
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0

@@ -354,6 +354,35 @@ def test_suffixes(docs, empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 40])
+def test_suffixes_of_a_frequent_anchor(spark, docs, monkeypatch, hot):
+    """Runs of frequent anchors are taken apart: no key but a few rows for each task, and the same result."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
+    test_suffixes(docs, docs.limit(0))
+    rng = random.Random(4)
+    noise = lambda: "".join(rng.choice("abcdefgh") for _ in range(30))
+    line = "one line of more than fifty bytes that many documents have, " * 2
+    texts = [noise() + line + noise() for _ in range(300)]
+    many = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sent, seen = [], suffix_dedup.F.expr(suffix_dedup._KEY)
+    def spread(df):
+        keys = df.where("raw IS NOT NULL").groupBy(seen.alias("k")).count()
+        sent.append(keys.agg({"count": "max"}).first()[0])
+
+    frame = type(many)
+    plain = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: (spread(self) if "raw" in self.columns else None, plain(self, *a))[1])
+    first, want = {}, {}
+    for i, t in enumerate(texts):
+        lost = [first.setdefault(t[k:k + 50], i) < i for k in range(len(t) - 49)]
+        gone = [any(lost[max(0, c - 49):c + 1]) for c in range(len(t))]
+        want[i] = sum(gone)
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.suffix_dedup(many).collect()}
+    assert got == want
+    assert max(sent) <= 30
+
+
 def test_suffix_order():
     rng = random.Random(2)
     raw = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 50))) for _ in range(300)]
