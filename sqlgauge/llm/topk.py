@@ -167,7 +167,7 @@ def _best(i, j, score, bucket, k):
 def _best_of_all(mine, score, allowed, bucket, k):
     """The same for a matrix of products; equal scores, however many, are decided in one step."""
     n = score.shape[1]
-    if n <= k or np.abs(score).max(initial=0.0) * n >= float(1 << 62):
+    if n <= k or float(np.abs(score).max(initial=0)) * len(bucket.r) >= float(1 << 62):
         i, j = np.nonzero(allowed)
         return _best(mine[i], j, score[i, j], bucket, k)
     none = np.iinfo(np.int64).min
