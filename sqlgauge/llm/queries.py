@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sqlgauge.llm import embedding_dedup, exact_dedup, merkle, mixing, packing, quality, simhash, substring_dedup
-from sqlgauge.llm import suffix_dedup, tokens, topk, url_filter
+from sqlgauge.llm import embedding_dedup, exact_dedup, merkle, mixing, packing, quality, repair, simhash
+from sqlgauge.llm import substring_dedup, suffix_dedup, tokens, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         quality.op1_quality_classifier, url_filter.op2_url_filter, packing.op3_best_fit_packing,
         tokens.op4_token_counts, mixing.op5_mixing, exact_dedup.op6_exact_dedup, simhash.op7_simhash_near_dedup,
         embedding_dedup.op8_embedding_near_dedup, substring_dedup.op9_substring_dedup, suffix_dedup.op10_suffix_dedup,
-        topk.op11_exact_topk, merkle.op13_merkle_manifest,
+        topk.op11_exact_topk, repair.op12_conversation_repair, merkle.op13_merkle_manifest,
     )
 }
 
