@@ -25,18 +25,8 @@ def _session(spark: SparkSession, sf: str) -> SparkSession:
 
 
 def _run(spark: SparkSession, sf: str, statements: DataFrame, sql: str, execute: bool = True) -> runner.Corpus:
-    """Run in a session of its own; statements are handed over as a stored table."""
-    session = _session(spark, sf)
-    todo = materialize(runner.statement_table(statements, sql), "statements")
-    path = todo.inputFiles()
-    handed = session.read.schema(todo.schema).parquet(*path) if path else session.createDataFrame([], todo.schema)
-    return runner.run_statements(session, handed, execute)
-
-
-def _here(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Stored outcome tables as tables of the calling session."""
-    return spark.createDataFrame([], df.schema) if not df.inputFiles() else spark.read.schema(
-        df.schema).parquet(*df.inputFiles())
+    """Run in a session of its own."""
+    return runner.run_statements(_session(spark, sf), runner.statement_table(statements, sql), execute)
 
 
 # --- one statement per region ---------------------------------------------------------
@@ -51,17 +41,11 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionke
 def run_statements(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.lit(_REGION_SQL[0]), F.col("r_regionkey").cast("string"), F.lit(_REGION_SQL[1]))
     asked = table(spark, sf, "region").select("r_regionkey", text.alias("sql"))
-    corpus = _run(spark, sf, asked, "sql")
-    rows = spark.read.schema(corpus.rows.schema).option(
-        "basePath", _base(corpus.rows)).parquet(*corpus.rows.inputFiles())
+    rows = _run(spark, sf, asked, "sql").rows
     return asked.withColumn("sql_key", prompt_key(F.col("sql"))).join(rows, "sql_key").select(
         "r_regionkey", row_text(F.col("cells")).alias("row"))
 
 
-def _base(rows: DataFrame) -> str:
-    return rows.inputFiles()[0].split("/sql_key=")[0]
-
-
 # Forms of a statement about one nation, with the expected condition, fault and category.
 _FORMS = (
     ("SELECT count(*) AS n FROM customer WHERE c_nationkey = {k}", None, None, None),
@@ -99,7 +83,7 @@ def statement_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     texts = [F.replace(F.lit(f[0]), F.lit("{k}"), key) for f in _FORMS]
     asked = table(spark, sf, "nation").select(
         "n_nationkey", I.pick(F.col("n_nationkey") % len(_FORMS), *texts).alias("sql"))
-    outcomes = _here(spark, _run(spark, sf, asked, "sql").outcomes)
+    outcomes = _run(spark, sf, asked, "sql").outcomes
     return asked.withColumn("sql_key", prompt_key(F.col("sql"))).join(outcomes, "sql_key").withColumn(
         "f", runner.fault_category(F.col("condition"))).select(
         "n_nationkey", "ok", "condition", F.col("f.fault").alias("fault"), F.col("f.category").alias("category"))
@@ -114,7 +98,7 @@ def statement_validity(spark: SparkSession, sf: str) -> DataFrame:
                   F.concat(F.lit("SELECT c_nome FROM customer WHERE c_nationkey = "), key),
                   F.concat(F.lit("SELECT 1 / 0 AS x, c_name FROM customer WHERE c_nationkey = "), key))
     asked = table(spark, sf, "nation").select("n_nationkey", text.alias("sql"))
-    outcomes = _here(spark, _run(spark, sf, asked, "sql", execute=False).outcomes)
+    outcomes = _run(spark, sf, asked, "sql", execute=False).outcomes
     return asked.withColumn("sql_key", prompt_key(F.col("sql"))).join(outcomes, "sql_key").select(
         "n_nationkey", F.col("ok").alias("valid"))
 
@@ -154,7 +138,7 @@ def multi_step_rows(spark: SparkSession, sf: str) -> DataFrame:
         "no")), "replies")
     responses = first.unionByName(second)
     candidates = materialize(M.steps_candidates(draws, responses), "candidates")
-    outcomes = _here(spark, _run(spark, sf, candidates, "sql").outcomes)
+    outcomes = _run(spark, sf, candidates, "sql").outcomes
     judges = candidates.withColumn("judge_id", F.explode(F.sequence(F.lit(0), F.lit(1))))
     reply = I.pick(hash_bucket(F.concat("prompt_key", F.col("judge_id").cast("string")), 3), '{"is_correct": true}',
                    '```json\n{"is_correct": true}\n```', '{"is_correct": false}')
@@ -190,7 +174,7 @@ def reflection_rows(spark: SparkSession, sf: str) -> DataFrame:
     stored = _stored_seeds(spark, sf)
     first = materialize(I.replies(M.fault_seeds(stored), M.fault_request(), _fault_reply()), "replies")
     broken = materialize(M.broken_statements(stored, first), "broken")
-    outcomes = _here(spark, _run(spark, sf, broken, "error_sql").outcomes)
+    outcomes = _run(spark, sf, broken, "error_sql").outcomes
     failing = materialize(M.failing_statements(broken, outcomes), "failing")
     second = I.replies(failing, M.reflection_request(), F.lit("found it\n"))
     rows = M.reflection_rows(failing, second)

@@ -51,6 +51,51 @@ def test_runner(spark):
     assert [c["col"] for c in twice] == ["a#0", "a#1"]
 
 
+FAMILIES = [
+    "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_custkey = {} GROUP BY o_orderstatus",
+    "SELECT count(*) AS n, sum(o_totalprice) AS v FROM orders WHERE o_custkey={}",
+    "SELECT count(*) AS n FROM orders WHERE o_custkey = {} HAVING count(*) > 9",
+    "SELECT o_orderkey FROM orders WHERE o_custkey = {} AND o_orderstatus = 'F' AND o_orderkey <> 5",
+    "SELECT o_orderkey FROM orders WHERE o_custkey = {} ORDER BY 1 DESC LIMIT 2",
+    "SELECT o_custkey = {} FROM orders WHERE o_orderkey < 40",
+    "SELECT 'it = 5' AS t, 1 / (o_custkey - 3) AS x FROM orders WHERE o_custkey = {}",
+    "SELECT n_name, k FROM nation JOIN (SELECT count(*) AS k FROM orders WHERE o_custkey = {}) ON n_nationkey = k",
+    "SELECT nope FROM orders WHERE o_custkey = {}",
+    "WITH m AS (SELECT o_custkey AS c, max(o_totalprice) AS Top FROM orders WHERE o_custkey = {} GROUP BY 1) SELECT * FROM m",
+    "SELECT n_regionkey, n_name AS Name FROM nation WHERE n_name = 'NATION_{}'",
+    "SELECT count(*) AS n FROM nation WHERE n_name = 'it''s {}' OR n_name >= 'NATION_9' OR n_name == 'NATION_1'",
+]
+
+
+def test_families_come_out_as_their_members_do(spark):
+    sf = "/root/testdata/sf0.001"
+    session = runner.guarded_session(spark, {n: f"{sf}/{n}.parquet" for n in ("orders", "nation")})
+    texts = [(f.format(k),) for f in FAMILIES for k in range(1, 13)]
+    statements = runner.statement_table(spark.createDataFrame(texts, "sql string"), "sql")
+    found = runner.with_family(statements).groupBy("family").count().where("family is not null")
+    assert {r["count"] for r in found.collect()} == {12} and found.count() == 10
+
+    def results(family):
+        corpus = runner.run_statements(session, statements, family=family)
+        rows = corpus.rows.groupBy("sql_key").agg(F.array_sort(F.collect_list(F.to_json("cells"))).alias("rows"))
+        out = statements.join(corpus.outcomes, "sql_key").join(rows, "sql_key", "left")
+        return {r["sql_text"]: (r["ok"], r["condition"], r["rows"]) for r in out.collect()}
+
+    each, together = results(10**6), results(8)
+    assert len(each) == len(texts) and each == together
+    assert each["SELECT 'it = 5' AS t, 1 / (o_custkey - 3) AS x FROM orders WHERE o_custkey = 3"][1] == "DIVIDE_BY_ZERO"
+    assert sum(not ok for ok, *_ in each.values()) == 13
+
+
+def test_time_limit_is_an_outcome(spark):
+    session = runner.guarded_session(spark, {})
+    slow = "SELECT count(*) AS n FROM range(0, 100000000000) WHERE sqrt(id) < 0"
+    statements = runner.statement_table(spark.createDataFrame([(slow,), ("SELECT 1 AS a",)], "sql string"), "sql")
+    got = {r["sql_text"]: r["condition"] for r in statements.join(
+        runner.run_statements(session, statements, timeout=4.0).outcomes, "sql_key").collect()}
+    assert got == {slow: "TIME_LIMIT", "SELECT 1 AS a": None}
+
+
 def test_analysis_does_not_run(spark):
     got, corpus, _ = run(spark, "SELECT 1/0 AS x", "SELECT nope FROM nation", execute=False)
     assert corpus.rows is None
