@@ -12,8 +12,10 @@ from sqlgauge.functions.templates import render
 from sqlgauge.functions.text import (
     data_section, domain_section, is_blank, join_key, knowledge_section, question_text, schema_section,
 )
-from sqlgauge.operators.resultsets import EMPTY_PREVIEW, result_preview
+from sqlgauge.operators.resultsets import EMPTY_PREVIEW, result_preview, staged_verdict
 from sqlgauge.operators.votes import majority_vote
+from sqlgauge.plans.execution import PairRuns, with_pair
+from sqlgauge.session import materialize
 from sqlgauge.sources.exchange import attach_responses
 
 
@@ -59,30 +61,68 @@ def gold_error(route: Column) -> Column:
     )
 
 
+def routed(rows: DataFrame) -> DataFrame:
+    """Prepared rows with the reason why they cannot be evaluated, if there is one."""
+    return prepare(rows).withColumn("error", gold_error(F.col("route")))
+
+
 NO_SQL = "model SQL missing SELECT"
 
 
 def judge_gate(verdicts: DataFrame, tasks: DataFrame, max_rows: int = S.JUDGE_ROW_GATE) -> DataFrame:
     """Mismatches a judge may still accept: multi-step rows with two small results."""
+    return verdicts.filter(_open_to_judges(max_rows)).join(
+        tasks.filter(F.col("task") == "multi_step").select("case_id"), "case_id", "left_semi")
+
+
+def _open_to_judges(max_rows: int) -> Column:
     small = (F.col("n_gold") < max_rows) & (F.col("n_pred") < max_rows)
-    open_cases = verdicts.filter(F.col("stage").isin("row_count_mismatch", "value_mismatch") & small)
-    return open_cases.join(tasks.filter(F.col("task") == "multi_step").select("case_id"),
-                           "case_id", "left_semi")
+    return F.col("stage").isin("row_count_mismatch", "value_mismatch") & small
+
+
+def executable(rows: DataFrame) -> DataFrame:
+    """Prepared rows whose two statements are run and compared, with the name of their pair."""
+    mine = rows.filter((F.col("route") == "exec") & F.col("error").isNull() & contains_select(F.col("pred")))
+    return with_pair(mine)
+
+
+def execution_verdicts(rows: DataFrame, runs: PairRuns, dims: int | None = None) -> DataFrame:
+    """``(row_id, case_id, task, query, n_gold, n_pred, stage, verdict)`` of executable rows.
+
+    Pairs are compared once; their verdict is that of every row with the pair.
+    """
+    verdicts = materialize(staged_verdict(runs.pairs, runs.outcomes, runs.rows, dims), "verdicts")
+    return rows.select("row_id", "case_id", "task", "query").join(verdicts, "case_id")
 
 
-def result_judge_requests(cases: DataFrame, rows: DataFrame) -> DataFrame:
-    """``(case_id, prompt)`` for a result judge. ``cases``: case_id, query."""
-    shown = result_preview(rows.join(cases.select("case_id"), "case_id", "left_semi"))
-    side = lambda s: shown.filter(F.col("side") == s).select(
-        "case_id", F.col("preview").alias(f"{s}_preview"))
+def result_judge_requests(verdicts: DataFrame, rows: DataFrame, max_rows: int = S.JUDGE_ROW_GATE) -> DataFrame:
+    """``(row_id, prompt)`` for a result judge: both previews of the rows that are open to judges.
+
+    ``verdicts``: of ``execution_verdicts``; ``rows``: result rows of the pairs.
+    """
+    asked = verdicts.filter(_open_to_judges(max_rows) & (F.col("task") == "multi_step"))
+    shown = result_preview(rows.join(asked.select("case_id").distinct(), "case_id", "left_semi"))
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col("preview")))
+    previews = shown.groupBy("case_id").agg(side("gold").alias("gold_preview"), side("pred").alias("pred_preview"))
     q = F.col("query")
     prompt = render(
         "judge_results", question=question_text(q), schema=schema_section(q),
         knowledge=knowledge_section(q), domain=domain_section(q), data=data_section(q),
         result_a=F.coalesce("gold_preview", F.lit(EMPTY_PREVIEW)),
         result_b=F.coalesce("pred_preview", F.lit(EMPTY_PREVIEW)))
-    return (cases.join(side("gold"), "case_id", "left").join(side("pred"), "case_id", "left")
-            .select("case_id", prompt.alias("prompt")))
+    return asked.join(previews, "case_id", "left").select("row_id", prompt.alias("prompt"))
+
+
+def with_result_judgements(verdicts: DataFrame, requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """``(row_id, stage, verdict)``: what the judge says to a row's request decides; no readable reply is false.
+
+    ``requests``: row_id, prompt. ``responses``: prompt_key, text; equal requests share their reply.
+    """
+    judged = attach_responses(requests, F.col("prompt"), responses).select(
+        "row_id", result_judgement(F.col("reply"))["verdict"].alias("v"), F.lit(True).alias("asked"))
+    return verdicts.join(judged, "row_id", "left").select(
+        "row_id", F.when(F.col("asked"), F.lit("judge")).otherwise(F.col("stage")).alias("stage"),
+        F.when(F.col("asked"), F.coalesce("v", F.lit(False))).otherwise(F.col("verdict")).alias("verdict"))
 
 
 def with_judge_verdicts(verdicts: DataFrame, judged: DataFrame) -> DataFrame:
@@ -99,10 +139,13 @@ def with_judge_verdicts(verdicts: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def exec_route(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``(row_id, equivalent, message)`` of the rows whose results are compared."""
+    """``(row_id, equivalent, message)`` of the rows whose results are compared.
+
+    ``verdicts``: row_id, stage, verdict.
+    """
     mine = rows.filter((F.col("route") == "exec") & F.col("error").isNull())
     has_sql = contains_select(F.col("pred"))
-    joined = mine.join(verdicts.withColumnRenamed("case_id", "row_id"), "row_id", "left")
+    joined = mine.join(verdicts.select("row_id", "stage", "verdict"), "row_id", "left")
     return joined.select("row_id", F.when(has_sql, F.col("verdict")).alias("equivalent"),
                          F.when(has_sql, F.col("stage")).otherwise(F.lit(NO_SQL)).alias("message"))
 
@@ -157,10 +200,10 @@ def evaluation_table(rows: DataFrame, verdicts: DataFrame, votes: DataFrame,
                      responses: DataFrame) -> DataFrame:
     """All routes put together: one row per input row, seven added columns.
 
-    ``rows``: row_id, query, response, answer, type. The three routes touch disjoint rows.
+    ``rows``: row_id, query, response, answer, type. ``verdicts``: row_id, stage, verdict of the executed rows.
+    The three routes touch disjoint rows.
     """
-    ready = prepare(rows)
-    ready = ready.withColumn("error", gold_error(F.col("route")))
+    ready = routed(rows)
     judged = judge_route(sql_judge_candidates(ready), votes)
     semantic = semantic_route(sentence_judge_request(ready), responses)
     empty, text = F.lit(None).cast("boolean"), F.lit(None).cast("string")
