@@ -75,19 +75,24 @@ def _assign(true_vecs: pd.Series, pred_vecs: pd.Series) -> pd.Series:
 def align_columns(columns: DataFrame) -> DataFrame:
     """``(case_id, true_col, pred_col, sim)`` of the best assignment above the threshold.
 
-    ``columns``: case_id, side, col_no, col, vec. One group holds the columns of one pair of
-    result schemas, so its size is bounded by the width of a result, not by the data.
+    ``columns``: case_id, side, col_no, col, vec; a column without a vector is matched with nothing. Cases with
+    the same pair of schemas share one assignment. A group holds the columns of one case, so its size is bounded
+    by the width of a result, not by the data.
     """
     def listed(side: str):
         return F.array_sort(F.collect_list(F.when(
             F.col("side") == side, F.struct("col_no", "col", "vec"))))
 
-    cases = columns.groupBy("case_id").agg(listed("gold").alias("gold"), listed("pred").alias("pred"))
+    cases = columns.where("vec is not null").groupBy("case_id").agg(
+        listed("gold").alias("gold"), listed("pred").alias("pred"))
+    # 128 bits name a pair of schemas
+    cases = cases.withColumns({"_k": F.xxhash64("gold", "pred"), "_l": F.xxhash64(F.lit(1), "pred", "gold")})
     vecs = lambda c: F.transform(c, lambda x: x["vec"].cast("array<double>"))
-    pairs = cases.select("case_id", "gold", "pred",
-                         F.inline(_assign(vecs("gold"), vecs("pred"))).alias("t", "p", "sim"))
-    return pairs.select("case_id", F.get("gold", "t")["col"].alias("true_col"),
-                        F.get("pred", "p")["col"].alias("pred_col"), "sim")
+    schemas = cases.dropDuplicates(["_k", "_l"]).select(
+        "_k", "_l", "gold", "pred", F.inline(_assign(vecs("gold"), vecs("pred"))).alias("t", "p", "sim"))
+    pairs = schemas.groupBy("_k", "_l").agg(F.collect_list(F.struct(
+        F.get("gold", "t")["col"].alias("true_col"), F.get("pred", "p")["col"].alias("pred_col"), "sim")).alias("pairs"))
+    return cases.select("case_id", "_k", "_l").join(pairs, ["_k", "_l"]).select("case_id", F.inline("pairs"))
 
 
 def schema_scores(columns: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlgauge import settings as S
-from sqlgauge.functions.replies import strict_answer
+from sqlgauge.functions.replies import sole_answer, strict_answer
 from sqlgauge.functions.scores import (
     cosine, dense_score, exact_reward, format_reward, grammar_reward, length_reward, row_count_score,
     rule_score, set_score, similarity_reward, total_reward,
 )
-from sqlgauge.functions.sqltext import fuzzy_table_score, sql_features
-from sqlgauge.functions.text import strip
+from sqlgauge.functions.sqltext import fuzzy_table_score, is_sql_answer, sql_features
+from sqlgauge.functions.text import join_key, strip
 from sqlgauge.operators.alignment import align_columns, schema_scores
-from sqlgauge.operators.resultsets import value_scores
+from sqlgauge.operators.resultsets import staged_verdict, value_scores
+from sqlgauge.plans.execution import run_pairs, validity, with_pair
+from sqlgauge.session import materialize
+from sqlgauge.sources.exchange import attach_vectors
 
 
 def with_rule_score(rows: DataFrame, pred: str = "pred", gold: str = "gold",
@@ -42,7 +45,7 @@ def dense_scores(rows: DataFrame, columns: DataFrame) -> DataFrame:
 
     ``rows``: result rows; ``columns``: case_id, side, col_no, col, vec.
     """
-    mapping = align_columns(columns)
+    mapping = materialize(align_columns(columns), "mapping")
     schema = schema_scores(columns, mapping)
     counts = rows.groupBy("case_id").agg(
         F.count_if(F.col("side") == "gold").alias("n_gold"),
@@ -61,6 +64,45 @@ def dense_scores(rows: DataFrame, columns: DataFrame) -> DataFrame:
         dense_score(schema_part, row_score, value_part, (n_gold == 0) & (n_pred == 0)).alias("dense_score"))
 
 
+def result_columns(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``(case_id, side, col_no, col, vec)`` of result rows; ``vectors`` (text_key, vec) of the column names."""
+    names = rows.groupBy("case_id", "side").agg(F.any_value("cells").alias("cells")).select(
+        "case_id", "side", F.posexplode(F.transform("cells", lambda c: c["col"])).alias("col_no", "col"))
+    return attach_vectors(names, "col", vectors, "vec")
+
+
+def with_validity(session: SparkSession, completions: DataFrame, **options) -> DataFrame:
+    """Add ``valid`` to ``(task, content, …)``: can the engine analyse the only answer of the completion?
+
+    Asked where the grammar reward needs it: for answers that look like SQL and for degenerate dimensions.
+    """
+    answer = sole_answer(F.col("content"))
+    needed = is_sql_answer(answer) | F.col("task").eqNullSafe("degenerate_dim")
+    rows = completions.withColumn("_sql", F.when(needed, answer))
+    known = validity(session, rows, "_sql", **options)
+    keyed = rows.withColumn("sql_key", join_key(F.col("_sql"), *rows.columns))
+    return keyed.join(known, "sql_key", "left").drop("sql_key", "_sql")
+
+
+def executed_evidence(session: SparkSession, completions: DataFrame, vectors: DataFrame, **options) -> DataFrame:
+    """``(key, matched, dense)`` of completions that are rewarded for the result of their statement.
+
+    ``completions``: key, task, content, gold. Each different pair of gold statement and answer is run and
+    compared once. ``dense`` is null where one of the two runs failed.
+    """
+    wanted = F.col("task").isin(*S.EXECUTED_TASKS)
+    rows = completions.where(wanted).select(
+        "key", strip(F.col("gold")).alias("gold"), strict_answer(F.col("content")).alias("pred"))
+    rows = materialize(with_pair(rows.where("gold is not null and pred is not null")), "executed")
+    runs = run_pairs(session, rows, same_text=True, **options)
+    verdicts = staged_verdict(runs.pairs, runs.outcomes, runs.rows).select("case_id", F.col("verdict").alias("matched"))
+    scores = dense_scores(runs.rows, result_columns(runs.rows, vectors)).select("case_id", "dense_score")
+    ran = runs.outcomes.where("gold_ok and pred_ok").join(scores, "case_id", "left").select(
+        # two results without rows have no columns to score
+        "case_id", F.coalesce("dense_score", F.lit(0.0)).alias("dense"))
+    return rows.select("key", "case_id").join(verdicts, "case_id").join(ran, "case_id", "left").drop("case_id")
+
+
 def sql_reward(matched: Column, similarity: Column) -> Column:
     """Full reward for matching results, else half the similarity."""
     return F.when(F.coalesce(matched, F.lit(False)), F.lit(1.0)).otherwise(

@@ -8,27 +8,28 @@ from pyspark.sql import functions as F
 from sqlgauge import settings as S
 from sqlgauge.functions import scores as C
 from sqlgauge.functions.sqltext import fuzzy_table_score, sql_features
-from sqlgauge.functions.text import hash_bucket
+from sqlgauge.functions.text import hash_bucket, prompt_key
 from sqlgauge.operators.alignment import align_columns, schema_scores
 from sqlgauge.operators.resultsets import value_scores
 from sqlgauge.plans import reward as W
 from sqlgauge.querybook import inputs as I
 from sqlgauge.querybook.registry import query, rounded, table
 from sqlgauge.querybook.results import _NUMBER, sql_walk
+from sqlgauge.sources import runner
 
 
-def _flag(name: str) -> Column:
-    return hash_bucket(F.concat("key", F.lit(name)), 2) == 0
+def scored_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Completions with a token count in the range of the penalty."""
+    return I.completions(spark, sf).withColumn("n_tokens", F.col("n_tokens") * 20)
 
 
-def _sql_flag(name: str) -> str:
-    return f"{I.sql_bucket(f'key || {I.q(name)}', 2)} = 0"
+def _session(spark: SparkSession, sf: str) -> SparkSession:
+    return runner.guarded_session(spark, {"orders": f"{sf}/orders.parquet"})
 
 
-def scored_inputs(spark: SparkSession, sf: str) -> DataFrame:
-    """Completions with the validity flag and a token count in the range of the penalty."""
-    return I.completions(spark, sf).withColumns({
-        "valid": _flag("g"), "n_tokens": F.col("n_tokens") * 20})
+def validated_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the validity of the answers, told by the engine."""
+    return W.with_validity(_session(spark, sf), scored_inputs(spark, sf))
 
 
 # Hand-derived from the forms: format and answers of each form of a completion.
@@ -39,9 +40,11 @@ _BODY = f"""CASE WHEN task_no < 4 THEN {I.sql_pick("body_no", "gold",
     "'select o.o_orderstatus from customer_orders_hf o where o.o_custkey = ' || conv_id || ' -- all'",
     "'SELECT count(*) AS n FROM orders ORDER BY 1 LIMIT 10'", "text")}
   ELSE {I.sql_pick("body_no", "text", "text || ' ok'", "'SELECT 1'", "'no ' || text")} END"""
+# Which bodies the engine can analyse: not the one about an unknown table, and no prose.
+_VALID = "CASE WHEN t3.task_no < 4 THEN c.body_no IN (0, 2) ELSE c.body_no = 2 END"
 _LENGTH = "least(-(n_tokens * 20 - (2048 - 409)) / 409.0::DOUBLE, 0)::DOUBLE"
 _ROWS = f"""{I.COMPLETIONS},
-r AS (SELECT c.*, t3.conv_id, t3.task_no, t3.body, {_sql_flag('g')} AS valid FROM completions c JOIN t3 USING (key)),
+r AS (SELECT c.*, t3.conv_id, t3.task_no, t3.body, {_VALID} AS valid FROM completions c JOIN t3 USING (key)),
 s AS (SELECT *, {_FORMAT} AS format_reward, {_LENGTH} AS length_reward,
   CASE WHEN NOT ({_SOLE}) THEN 0.0::DOUBLE WHEN task = 'degenerate_dim' THEN (NOT valid)::INTEGER::DOUBLE
     WHEN upper(body) LIKE '%SELECT%' THEN valid::INTEGER::DOUBLE WHEN upper(gold) LIKE '%SELECT%' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS grammar_reward FROM r)"""
@@ -54,7 +57,7 @@ def format_rewards(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("grammar_rewards", "W2", f"WITH {_ROWS} SELECT key, grammar_reward FROM s")
 def grammar_rewards(spark: SparkSession, sf: str) -> DataFrame:
-    return scored_inputs(spark, sf).select("key", C.grammar_reward(
+    return validated_inputs(spark, sf).select("key", C.grammar_reward(
         F.col("content"), F.col("gold"), F.col("task"), F.col("valid")).alias("grammar_reward"))
 
 
@@ -275,7 +278,8 @@ def value_score_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 NAME_VECTORS = {"amount": (1.0, 0.0, 0.0), "idx": (0.0, 1.0, 0.0), "status": (0.0, 0.0, 1.0),
-                "state": (0.0, 0.3, 0.95), "extra": (0.5, 0.5, 0.5)}
+                "state": (0.0, 0.3, 0.95), "extra": (0.5, 0.5, 0.5), "n": (0.0, 1.0, 0.0),
+                "o_orderstatus": (0.0, 0.0, 1.0)}
 
 
 def _case_columns(spark: SparkSession, sf: str) -> DataFrame:
@@ -315,17 +319,24 @@ def dense_score_rows(spark: SparkSession, sf: str) -> DataFrame:
 # --- dispatch and totals -----------------------------------------------------------------
 
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Result match, dense score and answer vectors of every completion."""
+    """Result match and dense score of the statements that were run, and answer vectors of every completion."""
     pairs = I.vector_pairs(spark, sf).withColumnRenamed("pair_id", "prompt_id")
-    dense = hash_bucket(F.concat("key", F.lit("d")), 101) / F.lit(100.0)
-    return I.completions(spark, sf).select(
-        "key", "prompt_id", _flag("m").alias("matched"), dense.alias("dense")).join(
+    names = spark.createDataFrame([(n, list(v)) for n, v in NAME_VECTORS.items()], "col string, vec array<double>")
+    vectors = names.select(prompt_key(F.col("col")).alias("text_key"), "vec")
+    ran = W.executed_evidence(_session(spark, sf), I.completions(spark, sf), vectors)
+    return I.completions(spark, sf).select("key", "prompt_id").join(ran, "key", "left").join(
         pairs, "prompt_id", "left").drop("prompt_id")
 
 
+# Results of the gold statement of each conversation, against those of the body that counts all orders: one column
+# of two is shared, its one value is a hit if a group's count is within a hundredth of it.
+_RAN = """grouped AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL),
+ran AS (SELECT o_custkey, count(*) AS n_rows, bool_or(abs((SELECT count(*) FROM orders) - n) / n::DOUBLE < 0.01) AS hit FROM grouped GROUP BY o_custkey)"""
+_DENSE = """CASE WHEN n_rows IS NULL THEN 0.0::DOUBLE WHEN body_no = 0 THEN 1.0::DOUBLE WHEN body_no = 2 THEN
+  round(0.4::DOUBLE * 0.5 + 0.1::DOUBLE / (1 + 0.3::DOUBLE * ln(n_rows::DOUBLE)) + 0.5::DOUBLE * CASE WHEN hit THEN 1.0::DOUBLE / (1 + n_rows) ELSE 0 END, 4) ELSE 0.0::DOUBLE END"""
 _SIM = "CASE WHEN emb_pred IS NULL THEN 0 ELSE list_cosine_similarity(emb_pred, emb_gold) END"
-_SCORED = f"""{_ROWS}, {I.PAIRS}, x AS (SELECT s.*, {_sql_flag('m')} AS matched, {I.sql_bucket("key || 'd'", 101)} / 100.0::DOUBLE AS dense,
-  ({_SIM})::DOUBLE AS sim, ({_RULE})::DOUBLE AS rule FROM s LEFT JOIN pairs ON pair_id = prompt_id),
+_SCORED = f"""{_ROWS}, {I.PAIRS}, {_RAN}, x AS (SELECT s.*, body_no = 0 AS matched, {_DENSE} AS dense,
+  ({_SIM})::DOUBLE AS sim, ({_RULE})::DOUBLE AS rule FROM s LEFT JOIN pairs ON pair_id = prompt_id LEFT JOIN ran ON o_custkey = conv_id),
 y AS (SELECT *, (CASE WHEN NOT ({_STRICT}) THEN 0 WHEN task IN ('sql', 'reflection') THEN CASE WHEN matched THEN 1 ELSE 0.5 * rule END
   WHEN task = 'multi_step' THEN 0.5::DOUBLE * rule + 0.5::DOUBLE * dense WHEN task = 'degenerate_dim' THEN rule
   WHEN task IN ('metric_reject', 'constraint_ask') THEN (body = gold)::INTEGER
@@ -334,7 +345,7 @@ z AS (SELECT *, 1.5::DOUBLE * accuracy_reward + 1.0::DOUBLE * format_reward + 0.
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    rows = W.with_accuracy(scored_inputs(spark, sf), evidence(spark, sf))
+    rows = W.with_accuracy(validated_inputs(spark, sf), evidence(spark, sf))
     return W.with_rewards(rows)
 
 

@@ -56,6 +56,8 @@ TASKS = (
     "dim_reject",
 )
 SQL_TASKS = ("sql", "reflection", "multi_step", "degenerate_dim")
+#: Rewarded for what their statement returns.
+EXECUTED_TASKS = ("sql", "reflection", "multi_step")
 BOUNDARY_TASKS = ("metric_reject", "constraint_ask", "clarify", "dim_reject")
 
 EVAL_ROUTES = {

@@ -46,10 +46,11 @@ TIME_LIMIT = "TIME_LIMIT"
 
 # A comparison with a constant, a text, or anything else; together the pieces are the whole statement.
 _EQUALS = r"(?<![<>!=])=\s*"
-_PIECE = rf"(?s)({_EQUALS}(?:'[^'\\]*'(?!')|\d{{1,9}}(?![\w.]))|'(?:[^'\\]|'')*'|[^'=]+|.)"
+_COMMENT = r"--[^\n]*|/\*(?!\+).*?\*/"
+_PIECE = rf"(?s)({_COMMENT}|{_EQUALS}(?:'[^'\\]*'(?!')|\d{{1,9}}(?![\w.]))|'(?:[^'\\]|'')*'|[^'=/-]+|.)"
 _CONSTANT = r"\A=\s*['\d]"
 # What a lateral join would read in another way, or keeps no order of: such statements run by themselves.
-_ALONE = (r"(?is)--|/\*|[`\"\\]|\b(?:order|limit|offset|fetch|over|union|except|minus|intersect|tablesample|lateral|"
+_ALONE = (r"(?is)/\*\+|[`\"\\]|\b(?:order|limit|offset|fetch|over|union|except|minus|intersect|tablesample|lateral|"
           r"rand|randn|random|uuid|shuffle|monotonically_increasing_id|from_json)\b")
 _TEXT_MARK, _NUMBER_MARK = "= {text}", "= {number}"
 
@@ -80,7 +81,7 @@ def with_family(statements: DataFrame) -> DataFrame:
     pieces = F.regexp_extract_all("sql_text", F.lit(_PIECE), 1)
     is_constant = lambda p: p.rlike(_CONSTANT)
     bare = lambda p: F.regexp_replace(p, r"\A=\s*", "")
-    mark = lambda p: F.when(~is_constant(p), p).when(
+    mark = lambda p: F.when(p.rlike(r"\A(?:--|/\*)"), F.lit(" ")).when(~is_constant(p), p).when(
         bare(p).startswith("'"), F.lit(_TEXT_MARK)).otherwise(F.lit(_NUMBER_MARK))
     found = statements.withColumn("_pieces", pieces)
     # a mark that the text holds by itself would be taken for a constant
