@@ -58,11 +58,37 @@ def _canonical_token(t: Column) -> Column:
     )
 
 
-def token_text(c: Column) -> Column:
-    """Statement without comments, single blanks, upper keywords, lower names."""
+def tokens_of(c: Column) -> Column:
+    """Tokens of a statement without comments: upper keywords, lower names."""
     tokens = F.regexp_extract_all(c, F.lit(TOKEN_PATTERN), 1)
     kept = F.filter(tokens, lambda t: ~(t.startswith("--") | t.startswith("/*")))
-    return F.array_join(F.transform(kept, _canonical_token), " ")
+    return F.transform(kept, _canonical_token)
+
+
+def token_text(c: Column) -> Column:
+    """Statement without comments, single blanks, upper keywords, lower names."""
+    return F.array_join(tokens_of(c), " ")
+
+
+def changed_tokens(old: Column, new: Column) -> Column:
+    """``lost`` and ``added`` tokens between the longest common beginning and end of two statements."""
+    def shared(a: Column, b: Column) -> Column:
+        """Number of tokens that two arrays begin with alike."""
+        differs = F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y))
+        first = F.array_position(differs, True)
+        return F.when(first > 0, first - 1).otherwise(F.size(differs)).cast("int")
+
+    def between(pair: Column) -> Column:
+        a, b = pair["a"], pair["b"]
+        # the common end lies behind the common beginning in both
+        room = lambda head: F.least(F.size(a), F.size(b)) - head
+        tail = lambda head: F.least(shared(F.reverse(a), F.reverse(b)), room(head))
+        cut = lambda c, n: F.slice(c, n["head"] + 1, F.size(c) - n["head"] - n["tail"])
+        return bind(shared(a, b), lambda h: bind(
+            F.struct(h.alias("head"), tail(h).alias("tail")),
+            lambda n: F.struct(cut(a, n).alias("lost"), cut(b, n).alias("added"))))
+
+    return bind(F.struct(tokens_of(old).alias("a"), tokens_of(new).alias("b")), between)
 
 
 def canonical_sql(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sqlgauge import settings as S
 from sqlgauge.functions.text import hash_bucket, prompt_key
 from sqlgauge.plans import mutate as M
+from sqlgauge.plans.execution import validity
 from sqlgauge.operators.resultsets import row_text
 from sqlgauge.querybook import inputs as I
 from sqlgauge.querybook.mutations import _DRAWS, _b, _draws, _stored_seeds
@@ -24,83 +25,94 @@ def _session(spark: SparkSession, sf: str) -> SparkSession:
     return runner.guarded_session(spark, views)
 
 
-def _run(spark: SparkSession, sf: str, statements: DataFrame, sql: str, execute: bool = True) -> runner.Corpus:
+def _run(spark: SparkSession, sf: str, statements: DataFrame, sql: str) -> runner.Corpus:
     """Run in a session of its own."""
-    return runner.run_statements(_session(spark, sf), runner.statement_table(statements, sql), execute)
+    return runner.run_statements(_session(spark, sf), runner.statement_table(statements, sql))
 
 
-# --- one statement per region ---------------------------------------------------------
+# --- statements about customers -----------------------------------------------------------
 
-_REGION_SQL = ("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = ",
-               " GROUP BY n_name")
+_RESULT_SQL = ("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_custkey = ", " GROUP BY o_orderstatus")
 
 
 @query("run_statements", "S7", """
-SELECT r_regionkey, '[{"col":"n","val":"' || count(*) || '"},{"col":"n_name","val":"' || n_name || '"}]' AS row
-FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey, n_name""")
+SELECT o_custkey, '[{"col":"n","val":"' || count(*) || '"},{"col":"o_orderstatus","val":"' || o_orderstatus || '"}]' AS row
+FROM orders GROUP BY o_custkey, o_orderstatus""")
 def run_statements(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.concat(F.lit(_REGION_SQL[0]), F.col("r_regionkey").cast("string"), F.lit(_REGION_SQL[1]))
-    asked = table(spark, sf, "region").select("r_regionkey", text.alias("sql"))
+    """A statement for every customer who ordered; the rows of all results."""
+    text = F.concat(F.lit(_RESULT_SQL[0]), F.col("o_custkey").cast("string"), F.lit(_RESULT_SQL[1]))
+    asked = table(spark, sf, "orders").select("o_custkey").distinct().withColumn("sql", text)
     rows = _run(spark, sf, asked, "sql").rows
     return asked.withColumn("sql_key", prompt_key(F.col("sql"))).join(rows, "sql_key").select(
-        "r_regionkey", row_text(F.col("cells")).alias("row"))
+        "o_custkey", row_text(F.col("cells")).alias("row"))
 
 
-# Forms of a statement about one nation, with the expected condition, fault and category.
+# Right statement, what becomes of it, the engine's condition, fault and category. {c} is a customer, so there is
+# a statement for each; {n} is a nation, of which there are few.
+_COUNT = "SELECT count(*) AS n FROM customer WHERE c_custkey = {c}"
+_NAMES = "SELECT c_name FROM customer WHERE c_mktsegment = 'F' AND c_custkey = {c}"
 _FORMS = (
-    ("SELECT count(*) AS n FROM customer WHERE c_nationkey = {k}", None, None, None),
-    ("SELEC count(*) AS n FROM customer WHERE c_nationkey = {k}", "PARSE_SYNTAX_ERROR", "keyword_misspelling", "syntax"),
-    ("SELECT cuont(*) AS n FROM customer WHERE c_nationkey = {k}", "UNRESOLVED_ROUTINE", "function_misspelling", "syntax"),
-    ("SELECT @c_name FROM customer WHERE c_nationkey = {k}", "PARSE_SYNTAX_ERROR", "keyword_misspelling", "syntax"),
-    ("SELECT c_name FROM customer WHERE c_mktsegment 'F' AND c_nationkey = {k}", "UNSUPPORTED_TYPED_LITERAL",
+    (_COUNT, _COUNT, None, None, None),
+    (_COUNT, "SELEC count(*) AS n FROM customer WHERE c_custkey = {c}", "PARSE_SYNTAX_ERROR", "keyword_misspelling", "syntax"),
+    (_COUNT, "SELECT cuont(*) AS n FROM customer WHERE c_custkey = {c}", "UNRESOLVED_ROUTINE", "function_misspelling", "syntax"),
+    (_NAMES, "SELECT @c_name FROM customer WHERE c_mktsegment = 'F' AND c_custkey = {c}", "PARSE_SYNTAX_ERROR",
+     "illegal_character", "syntax"),
+    (_NAMES, "SELECT c_name FROM customer WHERE c_mktsegment 'F' AND c_custkey = {c}", "UNSUPPORTED_TYPED_LITERAL",
      "operator_deletion", "syntax"),
-    ("SELECT c_name FROM customer UNION ALL SELECT c_name, {k} FROM customer", "NUM_COLUMNS_MISMATCH",
+    (_COUNT, "SELECT count(* AS n FROM customer WHERE c_custkey = {c}", "PARSE_SYNTAX_ERROR", "operator_deletion", "syntax"),
+    ("SELECT c_name FROM customer WHERE c_custkey = {c}",
+     "SELECT c_name FROM customer WHERE c_custkey = {c} UNION ALL SELECT c_name, 1 FROM customer", "NUM_COLUMNS_MISMATCH",
      "union_column_mismatch", "syntax"),
-    ("SELECT row_number() AS r FROM customer WHERE c_nationkey = {k}", "WINDOW_FUNCTION_WITHOUT_OVER_CLAUSE",
+    (_COUNT, "SELECT row_number() AS r FROM customer WHERE c_custkey = {c}", "WINDOW_FUNCTION_WITHOUT_OVER_CLAUSE",
      "window_without_over", "syntax"),
-    ("SELECT c_custkey FROM customer a JOIN customer b ON a.c_custkey = b.c_custkey + {k}", "AMBIGUOUS_REFERENCE",
-     "ambiguous_column", "identifier"),
-    ("SELECT 1 / (c_nationkey - {k}) AS x FROM customer", "DIVIDE_BY_ZERO", "division_by_zero", "runtime"),
-    ("SELECT c_mktsegment + {k} AS x FROM customer", "CAST_INVALID_INPUT", "type_conversion", "runtime"),
-    ("SELECT c_name, count(*) AS n FROM customer WHERE c_nationkey = {k} GROUP BY c_nationkey", "MISSING_AGGREGATION",
+    (_COUNT, "SELECT c_custkey FROM customer a JOIN customer b ON a.c_custkey = b.c_custkey WHERE a.c_custkey = {c}",
+     "AMBIGUOUS_REFERENCE", "ambiguous_column", "identifier"),
+    (_COUNT, "SELECT 1 / (c_nationkey - c_nationkey) AS x FROM customer WHERE c_nationkey = {n}", "DIVIDE_BY_ZERO",
+     "division_by_zero", "runtime"),
+    (_COUNT, "SELECT c_mktsegment + {n} AS x FROM customer", "CAST_INVALID_INPUT", "type_conversion", "runtime"),
+    (_COUNT, "SELECT c_name, count(*) AS n FROM customer WHERE c_custkey = {c} GROUP BY c_nationkey", "MISSING_AGGREGATION",
      "invalid_group_by", "runtime"),
-    ("DROP TABLE customer_{k}", "PARSE_SYNTAX_ERROR", "keyword_misspelling", "syntax"),
-    ("SELECT reflect('java.lang.Math', 'abs', {k}) AS x", "FORBIDDEN_CALL", None, None),
-    (" \n", "BLANK_STATEMENT", None, None),
-    ("SELECT nope FROM customer WHERE c_nationkey = {k}", "UNRESOLVED_COLUMN.WITH_SUGGESTION", None, "identifier"),
-    ("SELECT {k} AS a; SELECT 2 AS b", "PARSE_SYNTAX_ERROR", "keyword_misspelling", "syntax"),
-    ("SELECT * FROM parquet.`/nation_{k}`", "TABLE_OR_VIEW_NOT_FOUND", None, "identifier"),
+    (None, "DROP TABLE customer_{n}", "PARSE_SYNTAX_ERROR", None, "syntax"),
+    (None, "SELECT {n} AS a; SELECT 2 AS b", "PARSE_SYNTAX_ERROR", None, "syntax"),
+    (_COUNT, "SELECT reflect('java.lang.Math', 'abs', {n}) AS x", "FORBIDDEN_CALL", None, None),
+    (_COUNT, " \n", "BLANK_STATEMENT", None, None),
+    (_COUNT, "SELECT nope FROM customer WHERE c_custkey = {c}", "UNRESOLVED_COLUMN.WITH_SUGGESTION", None, "identifier"),
+    (_COUNT, "SELECT * FROM parquet.`/nation_{n}`", "TABLE_OR_VIEW_NOT_FOUND", None, "identifier"),
 )
 _FORM_ROWS = ", ".join(
-    f"({i}, {', '.join(I.q(v) if v else 'NULL' for v in f[1:])})" for i, f in enumerate(_FORMS))
+    f"({i}, {', '.join(I.q(v) if v else 'NULL' for v in f[2:])})" for i, f in enumerate(_FORMS))
 
 
 @query("statement_outcomes", "S7, S8, M6", f"""
 WITH f(form, condition, fault, category) AS (VALUES {_FORM_ROWS})
-SELECT n_nationkey, condition IS NULL AS ok, condition, fault, category FROM nation JOIN f ON form = n_nationkey % {len(_FORMS)}""")
+SELECT c_custkey, condition IS NULL AS ok, condition, fault, category FROM customer JOIN f ON form = c_custkey % {len(_FORMS)}""")
 def statement_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.col("n_nationkey").cast("string")
-    texts = [F.replace(F.lit(f[0]), F.lit("{k}"), key) for f in _FORMS]
-    asked = table(spark, sf, "nation").select(
-        "n_nationkey", I.pick(F.col("n_nationkey") % len(_FORMS), *texts).alias("sql"))
+    """A statement for every customer, broken in some way, and what is wrong with it."""
+    def filled(text: str | None) -> Column:
+        cust, nation = (F.col(c).cast("string") for c in ("c_custkey", "c_nationkey"))
+        return F.replace(F.replace(F.lit(text), F.lit("{c}"), cust), F.lit("{n}"), nation)
+
+    form = F.col("c_custkey") % len(_FORMS)
+    asked = table(spark, sf, "customer").select(
+        "c_custkey", I.pick(form, *[filled(f[0]) for f in _FORMS]).alias("right"),
+        I.pick(form, *[filled(f[1]) for f in _FORMS]).alias("sql"))
     outcomes = _run(spark, sf, asked, "sql").outcomes
     return asked.withColumn("sql_key", prompt_key(F.col("sql"))).join(outcomes, "sql_key").withColumn(
-        "f", runner.fault_category(F.col("condition"))).select(
-        "n_nationkey", "ok", "condition", F.col("f.fault").alias("fault"), F.col("f.category").alias("category"))
+        "f", runner.fault_category(F.col("condition"), F.col("sql"), F.col("right"))).select(
+        "c_custkey", "ok", "condition", F.col("f.fault").alias("fault"), F.col("f.category").alias("category"))
 
 
 @query("statement_validity", "S7, W2", """
-SELECT n_nationkey, n_nationkey % 3 <> 1 AS valid FROM nation""")
+SELECT c_custkey, c_custkey % 3 <> 1 AS valid FROM customer""")
 def statement_validity(spark: SparkSession, sf: str) -> DataFrame:
     """Analyse only: wrong names are found, wrong values are not."""
-    key = F.col("n_nationkey").cast("string")
-    text = I.pick(F.col("n_nationkey") % 3, F.concat(F.lit("SELECT c_name FROM customer WHERE c_nationkey = "), key),
-                  F.concat(F.lit("SELECT c_nome FROM customer WHERE c_nationkey = "), key),
-                  F.concat(F.lit("SELECT 1 / 0 AS x, c_name FROM customer WHERE c_nationkey = "), key))
-    asked = table(spark, sf, "nation").select("n_nationkey", text.alias("sql"))
-    outcomes = _run(spark, sf, asked, "sql", execute=False).outcomes
-    return asked.withColumn("sql_key", prompt_key(F.col("sql"))).join(outcomes, "sql_key").select(
-        "n_nationkey", F.col("ok").alias("valid"))
+    key = F.col("c_custkey").cast("string")
+    text = I.pick(F.col("c_custkey") % 3, F.concat(F.lit("SELECT c_name FROM customer WHERE c_custkey = "), key),
+                  F.concat(F.lit("SELECT c_nome FROM customer WHERE c_custkey = "), key),
+                  F.concat(F.lit("SELECT 1 / 0 AS x, c_name FROM customer WHERE c_custkey = "), key))
+    asked = table(spark, sf, "customer").select("c_custkey", text.alias("sql"))
+    known = validity(_session(spark, sf), asked, "sql")
+    return asked.withColumn("sql_key", prompt_key(F.col("sql"))).join(known, "sql_key").select("c_custkey", "valid")
 
 
 # --- multi-step rows ------------------------------------------------------------------------

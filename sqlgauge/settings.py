@@ -68,48 +68,46 @@ EVAL_ROUTES = {
     "clarify": "semantic",
 }
 
-# Short definitions offered to a reader that must rule out the other task types.
+# What tells a task type from the others, for a reader that must rule them out.
 TASK_DEFINITIONS = {
-    "constraint_ask": "answered by asking for a business condition the metric requires",
-    "metric_reject": "refused: the requested metric is defined nowhere",
-    "dim_reject": "refused: the requested dimension has no matching field",
-    "clarify": "answered by asking which of several readings of a known term is meant",
-    "sql": "answered by one executable SQL statement",
+    "clarify": "a word of the question is known but has several readings, so the reply asks for the one meant",
+    "constraint_ask": "a metric is only defined under a condition that is missing, so the reply asks for it",
+    "dim_reject": "no field of the schema can filter or group as asked, so the reply declines",
+    "metric_reject": "nothing given says how to compute the quantity asked for, so the reply declines",
+    "sql": "the reply is a statement that can be run",
 }
 
 
 @dataclass(frozen=True)
 class FaultType:
-    category: str
+    """A way in which a statement fails: the engine's error condition, and how to bring it about."""
+
+    condition: str
     name: str
+    category: str
     instruction: str
 
 
-# Ten ways of breaking a statement, in three categories.
+# By error condition. One condition stands for several faults where only the text tells them apart.
 FAULT_TYPES = (
-    FaultType("syntax", "keyword_misspelling", "Misspell one SQL keyword."),
-    FaultType("syntax", "function_misspelling", "Misspell the name of one function."),
-    FaultType("syntax", "illegal_character", "Put a special character where none is legal."),
-    FaultType("syntax", "operator_deletion", "Delete one operator or bracket that is needed."),
-    FaultType("syntax", "union_column_mismatch", "Append a UNION ALL of a different width."),
-    FaultType("syntax", "window_without_over", "Add a window function and leave out OVER."),
-    FaultType("identifier", "ambiguous_column", "Use a shared column without its table alias."),
-    FaultType("runtime", "division_by_zero", "Add an expression that divides by zero."),
-    FaultType("runtime", "type_conversion", "Do arithmetic on a column that holds words."),
-    FaultType("runtime", "invalid_group_by", "Select a column neither grouped nor aggregated."),
+    FaultType("AMBIGUOUS_REFERENCE", "ambiguous_column", "identifier", "Let a name fit columns of two joined relations."),
+    FaultType("CAST_INVALID_INPUT", "type_conversion", "runtime", "Add a number to a column that holds words."),
+    FaultType("DIVIDE_BY_ZERO", "division_by_zero", "runtime", "Divide by something that is zero in some row."),
+    FaultType("MISSING_AGGREGATION", "invalid_group_by", "runtime", "Show a bare column beside groups of another one."),
+    FaultType("NUM_COLUMNS_MISMATCH", "union_column_mismatch", "syntax", "Unite it with a query that is wider or narrower."),
+    FaultType("PARSE_SYNTAX_ERROR", "illegal_character", "syntax", "Write a sign such as @ before a token."),
+    FaultType("PARSE_SYNTAX_ERROR", "keyword_misspelling", "syntax", "Lose or swap letters of a reserved word."),
+    FaultType("PARSE_SYNTAX_ERROR", "operator_deletion", "syntax", "Leave out a comma, bracket or comparison sign."),
+    FaultType("UNRESOLVED_ROUTINE", "function_misspelling", "syntax", "Call a function by a name that no function has."),
+    FaultType("WINDOW_FUNCTION_WITHOUT_OVER_CLAUSE", "window_without_over", "syntax", "Number rows without a window."),
 )
 
-# Error conditions raised by the SQL engine -> fault type they stand for.
-FAULT_CONDITIONS = {
-    "PARSE_SYNTAX_ERROR": "keyword_misspelling",
-    "UNRESOLVED_ROUTINE": "function_misspelling",
-    "UNSUPPORTED_TYPED_LITERAL": "operator_deletion",
-    "NUM_COLUMNS_MISMATCH": "union_column_mismatch",
-    "WINDOW_FUNCTION_WITHOUT_OVER_CLAUSE": "window_without_over",
-    "AMBIGUOUS_REFERENCE": "ambiguous_column",
-    "DIVIDE_BY_ZERO": "division_by_zero",
-    "CAST_INVALID_INPUT": "type_conversion",
-    "MISSING_AGGREGATION": "invalid_group_by",
+# Conditions that only have a category.
+FAULT_CATEGORIES = {
+    "PARSE_SYNTAX_ERROR": "syntax",
+    "TABLE_OR_VIEW_NOT_FOUND": "identifier",
+    "UNRESOLVED_COLUMN": "identifier",
+    "UNSUPPORTED_TYPED_LITERAL": "syntax",
 }
 
 # Parts of required knowledge per stage, by section name.

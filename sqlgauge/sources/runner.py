@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from sqlgauge import settings as S
-from sqlgauge.functions.sqltext import masked, token_text
-from sqlgauge.functions.text import is_blank, prompt_key
+from sqlgauge.functions.sqltext import KEYWORDS, changed_tokens, masked, token_text
+from sqlgauge.functions.text import bind, is_blank, prompt_key
 from sqlgauge.operators.resultsets import to_result_rows
 from sqlgauge.session import scratch_path
 
@@ -327,13 +327,40 @@ def run_statements(session: SparkSession, statements: DataFrame, execute: bool =
     return Corpus(outcomes, rows.join(ended, "job", "left_semi").select("sql_key", "row_no", "cells"))
 
 
-def fault_category(condition: Column) -> Column:
-    """Fault type and category of an engine error condition (its class, before any dot)."""
-    found_name, found_category = F.lit(None).cast("string"), F.lit(None).cast("string")
-    by_name = {f.name: f.category for f in S.FAULT_TYPES}
+def _faults_of(condition: str) -> list[S.FaultType]:
+    return [f for f in S.FAULT_TYPES if f.condition == condition]
+
+
+def fault_category(condition: Column, broken: Column | None = None, right: Column | None = None) -> Column:
+    """Fault type and category of an engine error condition (its class, before any dot).
+
+    What a parser error comes from is told by aligning the tokens of the broken statement with those of the
+    right one: a reserved word lost for one other word, a sign added, or an operator lost. Without a right
+    statement, or after any other change, such an error has a category only.
+    """
     head = F.substring_index(condition, ".", 1)
-    for cond, name in S.FAULT_CONDITIONS.items():
-        found_name = F.when(head == cond, F.lit(name)).otherwise(found_name)
-        found_category = F.when(head == cond, F.lit(by_name[name])).otherwise(found_category)
-    other = F.when(head.isin("UNRESOLVED_COLUMN", "TABLE_OR_VIEW_NOT_FOUND"), F.lit("identifier"))
-    return F.struct(found_name.alias("fault"), F.coalesce(found_category, other).alias("category"))
+    none = F.lit(None).cast("string")
+    name = category = none
+    for cond in dict.fromkeys(f.condition for f in S.FAULT_TYPES):
+        if len(faults := _faults_of(cond)) == 1:
+            name = F.when(head == cond, F.lit(faults[0].name)).otherwise(name)
+            category = F.when(head == cond, F.lit(faults[0].category)).otherwise(category)
+    for cond, of in S.FAULT_CATEGORIES.items():
+        category = F.when(head == cond, F.lit(of)).otherwise(category)
+    if broken is not None and right is not None:
+        name = bind(changed_tokens(right, broken), lambda d: F.when(
+            head.isin("PARSE_SYNTAX_ERROR", "UNSUPPORTED_TYPED_LITERAL"), _fault_of_change(d["lost"], d["added"])
+        ).otherwise(name))
+    return F.struct(name.alias("fault"), category.alias("category"))
+
+
+def _fault_of_change(lost: Column, added: Column) -> Column:
+    one_lost, one_added = F.get(lost, F.lit(0)), F.get(added, F.lit(0))
+    is_word = lambda t: t.rlike(r"\A[\p{L}_$]")
+    swapped = (F.size(lost) == 1) & (F.size(added) == 1)
+    return (
+        F.when(swapped & one_lost.isin(*KEYWORDS) & is_word(one_added), F.lit("keyword_misspelling"))
+        .when((F.size(lost) == 0) & (F.size(added) == 1) & ~one_added.rlike(r"\A[\p{L}\p{N}_$'\"`]"),
+              F.lit("illegal_character"))
+        .when((F.size(lost) == 1) & (F.size(added) == 0) & ~one_lost.rlike(r"\A[\p{L}\p{N}_$'\"`]"),
+              F.lit("operator_deletion")))
