@@ -21,7 +21,7 @@ from sqlgauge.functions.replies import (
 from sqlgauge.functions.templates import CLARIFY_CATEGORIES, render
 from sqlgauge.functions.text import (
     SECTIONS, context_before_examples, insert_constraint, is_blank, join_key, missing_sections, prompt_key,
-    replace_question, strip, with_sections,
+    question_text, replace_question, strip, with_sections,
 )
 from sqlgauge.operators.sampling import attach_example, fault_for, swap_metric
 from sqlgauge.operators.votes import unanimous_vote
@@ -301,7 +301,46 @@ def reflection_rows(failing: DataFrame, responses: DataFrame) -> DataFrame:
 
 # --- one corpus ----------------------------------------------------------------------
 
-def training_corpus(families: Mapping[str, DataFrame]) -> DataFrame:
-    """All families under one schema with a task label; missing columns are null."""
-    labelled = [df.withColumn("task", F.lit(task)) for task, df in families.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), labelled)
+#: Columns of the corpus; all texts. ``source`` tells the family that made a row, ``task`` partitions the table.
+CORPUS_COLUMNS = ("task", "source", "status", "prompt", "question", "answer", "reasoning", "wrong_sql", "fault")
+
+# Where each family keeps them; what a family does not have is null.
+_FAMILIES = {
+    "clarify": {"prompt": "original_prompt", "question": "ambiguous_question", "answer": "clarification_question",
+                "reasoning": "cot_process"},
+    "metric_reject": {"prompt": "original_prompt", "question": "swapped_question", "answer": "conclusion", "reasoning": "cot_process"},
+    "constraint_ask": {"prompt": "modified_prompt", "question": "original_question", "answer": "added_constraint", "reasoning": "cot_process"},
+    "multi_step": {"prompt": "original_prompt", "question": "question", "answer": "sql", "reasoning": "cot_process"},
+    "reflection": {"prompt": "original_prompt", "question": "question", "answer": "correct_sql",
+                   "reasoning": "reflection_process", "wrong_sql": "error_sql", "fault": "error_type"},
+}
+
+
+def corpus_family(rows: DataFrame, task: str, source: str, columns: Mapping[str, str] | None = None) -> DataFrame:
+    """Rows of one family in the columns of the corpus; a family without a status holds finished rows only."""
+    given = {"status": "status", **(_FAMILIES[task] if columns is None else columns)}
+    text = lambda c: (F.col(given[c]) if given.get(c) in rows.columns else F.lit(None)).cast("string")
+    named = {"task": F.lit(task), "source": F.lit(source), "status": F.coalesce(text("status"), F.lit("ok"))}
+    return rows.select(*[named.get(c, text(c)).alias(c) for c in CORPUS_COLUMNS])
+
+
+def seed_rows(seeds: DataFrame) -> DataFrame:
+    """Seeds that hold a statement, as plain SQL rows of the corpus."""
+    rows = seeds.select("query", question_text(F.col("query")).alias("question"),
+                        sql_in_reply(F.col("response")).alias("sql"),
+                        F.nullif(first_think(F.col("response")), F.lit("")).alias("think")).where("sql is not null")
+    return corpus_family(rows, "sql", "seed", {
+        "prompt": "query", "question": "question", "answer": "sql", "reasoning": "think"})
+
+
+def given_rows(rows: DataFrame, tasks: tuple[str, ...] = ("degenerate_dim", "dim_reject")) -> DataFrame:
+    """Rows of tasks that no family makes: ``(task, prompt, answer, reasoning)`` as they were given."""
+    return reduce(DataFrame.unionByName, [
+        corpus_family(rows.where(F.col("task") == t), t, "given", {
+            "prompt": "prompt", "answer": "answer", "reasoning": "reasoning"}) for t in tasks])
+
+
+def training_corpus(families: Mapping[str, DataFrame], *more: DataFrame) -> DataFrame:
+    """One table over all families (by task) and rows already in its columns."""
+    made = [corpus_family(df, task, "mutation") for task, df in families.items()]
+    return reduce(DataFrame.unionByName, [*made, *more])

@@ -1,7 +1,7 @@
 """All registered queries: importing the modules fills the registry."""
 
 from sqlgauge.querybook import (  # noqa: F401
-    answers, arrivals, business, evaluations, mutations, prompts, results, rewards, statements,
+    answers, arrivals, business, corpus, evaluations, mutations, prompts, results, rewards, statements,
 )
 from sqlgauge.querybook.registry import ORACLES, QUERIES, SURVEY_IDS
 

@@ -212,19 +212,3 @@ def constrained(spark: SparkSession, sf: str) -> DataFrame:
 @query("constraint_rows", "M3, F4", f"WITH {I.SECTIONED}, {_CONSTRAINT} SELECT * EXCLUDE seed_id FROM constrained")
 def constraint_rows(spark: SparkSession, sf: str) -> DataFrame:
     return constrained(spark, sf)
-
-
-# --- one corpus ---------------------------------------------------------------------------
-
-@query("training_corpus", "M7", f"""
-WITH {I.SECTIONED}, {_CLARIFY}, {_SWAP}, {_REJECT}, {_CONSTRAINT}
-SELECT 'clarify' AS task, status, count(*) AS n_rows, count(cot_process) AS n_reasoned FROM clarified WHERE status = 'ok' GROUP BY ALL
-UNION ALL SELECT 'metric_reject', status, count(*), count(cot_process) FROM rejected WHERE status = 'ok' GROUP BY ALL
-UNION ALL SELECT 'constraint_ask', status, count(*), count(cot_process) FROM constrained WHERE status IN ('success', 'skip', 'cannot_extract') GROUP BY ALL""")
-def training_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    corpus = M.training_corpus({
-        "clarify": clarified(spark, sf).filter("status = 'ok'"),
-        "metric_reject": rejected(spark, sf).filter("status = 'ok'"),
-        "constraint_ask": M.finished_constraints(constrained(spark, sf)),
-    })
-    return corpus.groupBy("task", "status").agg(F.count("*").alias("n_rows"), F.count("cot_process").alias("n_reasoned"))

@@ -183,11 +183,15 @@ c AS (SELECT *, unnest(['a', 'b']) AS error_type, unnest([{I.sql_bucket("k || '1
 SELECT query AS original_prompt, question, correct_sql, {I.sql_pick('w', *[I.q(x) for x in _WRONG])} AS error_sql, error_type,
   true AS has_message, 'found it' AS reflection_process, schema AS schema_info, knowledge AS knowledge_info, domain AS domain_info FROM c WHERE w <> 1""")
 def reflection_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = reflected(spark, sf)
+    return rows.withColumn("has_message", F.length("error_message") > 0).drop("error_message")
+
+
+def reflected(spark: SparkSession, sf: str) -> DataFrame:
     stored = _stored_seeds(spark, sf)
     first = materialize(I.replies(M.fault_seeds(stored), M.fault_request(), _fault_reply()), "replies")
     broken = materialize(M.broken_statements(stored, first), "broken")
     outcomes = _run(spark, sf, broken, "error_sql").outcomes
     failing = materialize(M.failing_statements(broken, outcomes), "failing")
     second = I.replies(failing, M.reflection_request(), F.lit("found it\n"))
-    rows = M.reflection_rows(failing, second)
-    return rows.withColumn("has_message", F.length("error_message") > 0).drop("error_message")
+    return M.reflection_rows(failing, second)

@@ -65,6 +65,17 @@ def append_rows(df: DataFrame, path: str) -> None:
         df.write.mode("append").parquet(path)
 
 
+def write_by_task(df: DataFrame, path: str) -> DataFrame:
+    """Store a corpus in one folder for each task, and read it back: a reader of one task opens that folder only.
+
+    Rows are dealt to files by task and a part of their prompt, so a task that holds most rows is many files.
+    """
+    spark = df.sparkSession
+    parts = F.pmod(F.xxhash64("prompt"), F.lit(spark.sparkContext.defaultParallelism))
+    df.repartition("task", parts).write.partitionBy("task").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_annotated(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write an annotated table. Row order is the ``row_id`` column, not the file order."""
     if "row_id" not in df.columns:
