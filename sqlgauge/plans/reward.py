@@ -13,7 +13,7 @@ from sqlgauge.functions.scores import (
     cosine, dense_score, exact_reward, format_reward, grammar_reward, length_reward, row_count_score,
     rule_score, set_score, similarity_reward, total_reward,
 )
-from sqlgauge.functions.sqltext import fuzzy_table_score, is_sql_answer, sql_features
+from sqlgauge.functions.sqltext import is_sql_answer, sql_features, with_table_score
 from sqlgauge.functions.text import join_key, strip
 from sqlgauge.operators.alignment import align_columns, schema_scores
 from sqlgauge.operators.resultsets import staged_verdict, value_scores
@@ -33,11 +33,12 @@ def with_rule_score(rows: DataFrame, pred: str = "pred", gold: str = "gold",
     gold_parsed = F.coalesce(F.col("_g.parsable"), F.lit(False))
     p = {n: F.col(f"_p.{n}") for n in S.RULE_PARTS}
     g = {n: F.when(gold_parsed, F.col(f"_g.{n}")).otherwise(none) for n in S.RULE_PARTS}
+    out = with_table_score(out.withColumns({"_gt": g["tables"], "_pt": F.coalesce(p["tables"], none)}), "_gt", "_pt", "_tables")
     score = rule_score(
-        fuzzy_table_score(p["tables"], g["tables"]), set_score(p["columns"], g["columns"]),
+        F.col("_tables"), set_score(p["columns"], g["columns"]),
         set_score(p["keywords"], g["keywords"], "jaccard"), set_score(p["literals"], g["literals"]),
         F.coalesce(F.col("_p.parsable"), F.lit(False)) if parsed is None else parsed)
-    return out.withColumns({name: score, "gold_parsed": gold_parsed}).drop("_p", "_g")
+    return out.withColumns({name: score, "gold_parsed": gold_parsed}).drop("_p", "_g", "_gt", "_pt", "_tables")
 
 
 def dense_scores(rows: DataFrame, columns: DataFrame) -> DataFrame:

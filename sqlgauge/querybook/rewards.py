@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sqlgauge import settings as S
 from sqlgauge.functions import scores as C
-from sqlgauge.functions.sqltext import fuzzy_table_score, sql_features
+from sqlgauge.functions.sqltext import sql_features, with_table_score
 from sqlgauge.functions.text import hash_bucket, prompt_key
 from sqlgauge.operators.alignment import align_columns, schema_scores
 from sqlgauge.operators.resultsets import value_scores
@@ -15,6 +15,7 @@ from sqlgauge.plans import reward as W
 from sqlgauge.querybook import inputs as I
 from sqlgauge.querybook.registry import query, rounded, table
 from sqlgauge.querybook.results import _NUMBER, sql_walk
+from sqlgauge.session import spread
 from sqlgauge.sources import runner
 
 
@@ -111,33 +112,48 @@ def _statements(spark: SparkSession, sf: str) -> DataFrame:
               "ON o.o_custkey = c.c_custkey WHERE c.c_name = 'It''s "), key,
         F.lit("' GROUP BY o.o_custkey) SELECT DISTINCT ck FROM m ORDER BY total DESC LIMIT 5"))
     small = F.concat(F.lit("select count(distinct p_brand) from db.part p where p.p_size > 1.5 -- "), key)
-    return table(spark, sf, "customer").select(
-        "c_custkey", I.pick(hash_bucket(key, 3), simple, rich, small).alias("sql"))
+    listed = F.concat(F.lit("SELECT a.c_name FROM customer a JOIN nation b ON a.c_nationkey = b.n_nationkey, region "
+                            "WHERE a.c_custkey = "), key)
+    nested = F.concat(
+        F.lit("SELECT substring(c_phone FROM 1 FOR 2) AS p, trim(both 'x' FROM c_name) FROM (SELECT * FROM customer) s, "
+              "orders o TABLESAMPLE (5 PERCENT) WHERE o.o_custkey = "), key)
+    return spread(table(spark, sf, "customer").select("c_custkey")).select(
+        "c_custkey", I.pick(hash_bucket(key, 5), simple, rich, small, listed, nested).alias("sql"))
 
 
 @query("statement_features", "W8", f"""
-WITH c AS (SELECT c_custkey, {I.sql_bucket('c_custkey::VARCHAR', 3)} AS form FROM customer)
-SELECT c_custkey, {I.sql_pick('form', "'orders'", "'customer,m,orders'", "'part'")} AS tables,
-  {I.sql_pick('form', "'o_custkey,o_orderstatus'", "'c_custkey,c_name,ck,o_custkey,o_totalprice,total'", "'p_brand,p_size'")} AS columns,
-  {I.sql_pick('form', "'GROUP BY,WHERE'", "'CTE,DISTINCT,GROUP BY,JOIN,LIMIT,ORDER BY,WHERE'", "'DISTINCT,WHERE'")} AS keywords,
-  {I.sql_pick('form', "c_custkey::VARCHAR", "'5,Its ' || c_custkey", "'1.5'")} AS literals FROM c""")
+WITH c AS (SELECT c_custkey, {I.sql_bucket('c_custkey::VARCHAR', 5)} AS form FROM customer)
+SELECT c_custkey, {I.sql_pick('form', "'orders'", "'customer,m,orders'", "'part'", "'customer,nation,region'", "'customer,orders'")} AS tables,
+  {I.sql_pick('form', "'o_custkey,o_orderstatus'", "'c_custkey,c_name,ck,o_custkey,o_totalprice,total'", "'p_brand,p_size'",
+    "'c_custkey,c_name,c_nationkey,n_nationkey'", "'c_name,c_phone,o_custkey'")} AS columns,
+  {I.sql_pick('form', "'GROUP BY,WHERE'", "'CTE,DISTINCT,GROUP BY,JOIN,LIMIT,ORDER BY,WHERE'", "'DISTINCT,WHERE'", "'JOIN,WHERE'", "'JOIN,WHERE'")} AS keywords,
+  {I.sql_pick('form', "c_custkey::VARCHAR", "'5,Its ' || c_custkey", "'1.5'", "c_custkey::VARCHAR",
+    "array_to_string(list_sort(list_distinct(['1', '2', '5', 'x', c_custkey::VARCHAR])), ',')")} AS literals FROM c""")
 def statement_features(spark: SparkSession, sf: str) -> DataFrame:
     rows = _statements(spark, sf).withColumn("f", sql_features(F.col("sql")))
     return rows.select("c_custkey", *[
         F.array_join(F.array_sort(f"f.{n}"), ",").alias(n) for n in ("tables", "columns", "keywords", "literals")])
 
 
-_TABLES = ("dim_brand_series_df", "dim_brand_series_hf", "orders", "orders_hf")
-# Hand-derived for gold {dim_brand_series_df, orders} against the one predicted table.
-_TABLE_SCORES = ("0.5", "0.4", "0.5", "0.0")
+# A table named after each customer, and what a prediction makes of it. Letters in one run on both sides are all
+# that the two names share, so their ratio follows from the lengths.
+_NAME = "lower(replace(c_name, '#', '_'))"
 
 
 @query("table_scores", "W9", f"""
-SELECT c_custkey, ({I.sql_pick(I.sql_bucket('c_custkey::VARCHAR', 4), *_TABLE_SCORES)})::DOUBLE AS score FROM customer""")
+WITH n AS (SELECT c_custkey, length({_NAME}) AS l, {I.sql_bucket('c_custkey::VARCHAR', 6)} AS form FROM customer),
+r AS (SELECT *, CASE form WHEN 1 THEN 2 * l / (2 * l + 3) WHEN 2 THEN 2 * (l - 1) / (2 * l - 1) WHEN 3 THEN 2 * (l - 4) / (2 * l) ELSE 0 END AS ratio FROM n)
+SELECT c_custkey, CASE form WHEN 5 THEN 0.0::DOUBLE ELSE round((1 + CASE WHEN form = 0 THEN 1 WHEN ratio > 0.85 THEN 0.8 ELSE 0 END) / 2, 6)::DOUBLE END AS score FROM r""")
 def table_scores(spark: SparkSession, sf: str) -> DataFrame:
-    gold = F.array(F.lit("dim_brand_series_df"), F.lit("orders"))
-    pred = F.array(I.pick(hash_bucket(F.col("c_custkey").cast("string"), 4), *_TABLES))
-    return table(spark, sf, "customer").select("c_custkey", fuzzy_table_score(pred, gold).alias("score"))
+    named = F.lower(F.replace("c_name", F.lit("#"), F.lit("_")))
+    rows = table(spark, sf, "customer").select("c_custkey", named.alias("n"))
+    form, n, other = hash_bucket(F.col("c_custkey").cast("string"), 6), F.col("n"), F.lit("orders")
+    listed = F.array(
+        F.array(other, n), F.array(F.concat(n, F.lit("_hf")), other), F.array(n.substr(F.lit(1), F.length(n) - 1), other),
+        F.array(F.concat(F.lit("####"), n.substr(F.lit(5), F.length(n))), other), F.array(F.lit("####"), other),
+        F.array().cast("array<string>"))
+    rows = rows.select("c_custkey", F.array(n, other).alias("gold"), F.get(listed, form.cast("int")).alias("pred"))
+    return with_table_score(rows, "gold", "pred", "score").select("c_custkey", rounded("score").alias("score"))
 
 
 # Hand-derived rule scores of the four bodies of a SQL task.

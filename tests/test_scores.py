@@ -1,10 +1,13 @@
 """Hand-derived cases of the scalar scores."""
 
+import random
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
 from sqlgauge.functions import scores as C
-from sqlgauge.functions.sqltext import fuzzy_table_score
+from sqlgauge.functions.sqltext import near_names, with_table_score
 from sqlgauge.plans import reward as W
 
 lit = F.lit
@@ -37,10 +40,25 @@ def test_set_score(evaluate, pred, gold, mode, want):
     assert evaluate(lambda _: C.set_score(_set(*pred), _set(*gold), mode), "x") == pytest.approx(want)
 
 
-@pytest.mark.parametrize("gold, pred, want", [
-    ("dim_ai_brand_series_df_xy", "dim_ai_brand_series_hf_xy", 0.8), ("orders", "orders_hf", 0), ("t", "t", 1)])
-def test_fuzzy_tables(evaluate, gold, pred, want):
-    assert evaluate(lambda g, p: fuzzy_table_score(F.array(p), F.array(g)), gold, pred) == pytest.approx(want)
+def test_table_scores(spark):
+    """Exact names count 1, near ones a fixed credit; the same as the plain definition over odd and hot names."""
+    rng = random.Random(6)
+    base = ["dim_ai_brand_series_df", "dim_ai_brand_series_hf", "orders", "orders_hf", "t", "ab", "ba", "x" * 230,
+            "x" * 229 + "y", "customer_1", "customer_2", "1_remotsuc", ""]
+    rows = [(i, rng.sample(base, rng.randint(0, 4)), rng.sample(base, rng.randint(0, 4))) for i in range(200)]
+    rows += [(1000 + i, ["customer_1", "t"], ["customer_2"]) for i in range(50)]
+
+    def credit(g, preds):
+        return g in preds or 0.8 * any(SequenceMatcher(None, g, p).ratio() > 0.85 for p in preds)
+
+    df = spark.createDataFrame(rows, "k int, gold array<string>, pred array<string>")
+    got = {r["k"]: r["score"] for r in with_table_score(df, "gold", "pred", "score").collect()}
+    assert len(got) == len(rows)
+    for k, gold, pred in rows:
+        want = 1 if not gold else 0 if not pred else sum(credit(g, pred) for g in gold) / len(gold)
+        assert got[k] == pytest.approx(want), (gold, pred)
+    pairs = [(r["gold_name"], r["pred_name"]) for r in near_names(df, "gold", "pred").collect()]
+    assert len(pairs) == len(set(pairs)) and ("customer_1", "customer_2") in pairs and ("ab", "ba") not in pairs
 
 
 def test_rule_score(evaluate):

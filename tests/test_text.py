@@ -95,3 +95,24 @@ def test_features_of_common_forms(evaluate):
     assert f["literals"] == ["1.5e3"] and "e3" not in f["columns"] and "JOIN" not in f["keywords"]
     f = evaluate(Q.sql_features, "SELECT k FROM orders LEFT SEMI JOIN customer USING (k)")
     assert sorted(f["tables"]) == ["customer", "orders"] and f["columns"] == ["k"]
+
+
+SCOPED = [
+    ("SELECT a.x FROM a JOIN b ON a.x = b.x, c WHERE c.z > 1", "a b c", "x z"),
+    ("SELECT s.k FROM (SELECT k, max(v) m FROM t GROUP BY k) s, orders o WHERE o.k = s.k", "orders t", "k v"),
+    ("SELECT x FROM t TABLESAMPLE (5 PERCENT), u", "t u", "x"),
+    ("SELECT substring(a FROM 2 FOR 3), trim(both 'x' FROM b), trim(leading FROM e), extract(day FROM d) FROM t", "t", "a b d e"),
+    ("WITH m AS (SELECT p FROM q), n (c1, c2) AS (SELECT r, s FROM t) SELECT c1 FROM m JOIN n USING (k)", "m n q t", "c1 k p r s"),
+    ("SELECT CASE WHEN a IS DISTINCT FROM b THEN 1 END AS c, CAST(d AS decimal(9,2)) e, f::int FROM g.h AS i", "h", "a b d f"),
+    ("SELECT x FROM a WHERE y IN (SELECT z FROM b, c) AND EXISTS (SELECT 1 FROM d WHERE d.w = a.w) ORDER BY v", "a b c d", "v w x y z"),
+    ("SELECT row_number() OVER (PARTITION BY p, q ORDER BY r) AS n FROM (a JOIN b ON a.k = b.k), `S`.`Tab` z", "a b tab", "k p q r"),
+    ("SELECT a FROM t UNION ALL (SELECT b FROM u) LIMIT 3", "t u", "a b"),
+    ("SELECT count(*) n, date '2024-01-01' d FROM range(3) r, t x JOIN u ON (x.i = u.i) WHERE j > interval 3 day", "t u", "i j"),
+]
+
+
+@pytest.mark.parametrize("sql, tables, columns", SCOPED)
+def test_names_are_told_by_where_they_stand(evaluate, sql, tables, columns):
+    f = evaluate(Q.sql_features, sql)
+    assert sorted(f["tables"]) == tables.split() and sorted(f["columns"]) == columns.split()
+    assert ("JOIN" in f["keywords"]) == (" JOIN " in sql or len(tables.split()) > 1 and "UNION" not in sql)
