@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from sqlgauge.llm.common import table
 from sqlgauge.llm.windows import (
-    GATHERED, WINDOW, covered, documents, in_filter, mixed, pieces, ranges, raw_texts, repeated_values, sliding_min,
-    text_keys, without_spans,
+    GATHERED, WINDOW, covered, dealt_bits, documents, in_filter, mixed, pieces, ranges, raw_texts, repeated_values,
+    sliding_min, text_bytes, text_keys, without_spans,
 )
 
 #: Lengths in words, each at most twice the one before.
@@ -88,13 +88,14 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """``doc_id, th, pos, n``: runs of windows that also start in a document with a smaller ``doc_id``."""
     context = docs.sparkSession.sparkContext
     filters: list = []
+    dealt = dealt_bits(text_bytes(docs))
     for length in COUNTED:
         shared = [f for f in filters]
 
         def values(texts: list[bytes], shared=shared) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             return _values([f.value for f in shared])(texts)
 
-        filters.append(context.broadcast(repeated_values(docs, values, f"words-{length}")))
+        filters.append(context.broadcast(repeated_values(docs, values, f"words-{length}", dealt)))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = [f.value for f in filters]

@@ -7,6 +7,9 @@ over prefix polynomial hashes for their common extension, and then by one byte.
 verified byte by byte after the sort; an order that a hash collision spoilt is made anew from the bytes. From
 the extensions to both sides follows which windows around the anchors are equal.
 
+Runs of windows with one anchor are dealt to buckets by its hash. A task sends what it has for a bucket as one
+compressed row; the number of buckets follows the size of the texts, and a task sorts one bucket at a time.
+
 The suffixes of one anchor are sorted in one task. An anchor with very many runs is found by a sample of the
 documents; its runs are taken apart into their windows, of which a task sends each different one once, and which
 meet by a hash of all their bytes. Such a window has at most one row for each batch of a task.
@@ -19,13 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlgauge.llm.common import table
 from sqlgauge.llm.windows import (
-    GATHERED, UNITS, WINDOW, covered, documents, in_filter, mixed, pieces, ranges, raw_texts, repeated_values, sliding_min,
-    text_keys, without_spans,
+    GATHERED, UNITS, WINDOW, _turned, covered, dealt_bits, documents, in_filter, mixed, pieces, ranges, raw_texts,
+    repeated_values, sliding_min, text_bytes, text_keys, without_spans,
 )
 
 #: Bytes of an anchor; lengths of which the repeated strings are counted before windows are looked at.
@@ -34,8 +38,8 @@ ANCHOR, COUNTED = 16, (25, 40)
 _PLACE = np.uint64((1 << 22) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
-#: Rows of suffixes sorted at once, anchors being kept together.
-SORTED = 60_000
+#: Bytes of text for each bucket; rows of suffixes sorted at once, anchors being kept together.
+BUCKET_BYTES, SORTED = 1 << 23, 60_000
 #: Runs of one anchor above which it is taken apart; one of so many documents is looked at to find such anchors.
 HOT, SAMPLE = 15_000, 16
 
@@ -85,9 +89,27 @@ class Anchors:
             yield p.doc[left], self.keys(s, length)[p.at[left]] & ~_PLACE
 
 
-_FOUND = "a int, doc_id long, th int, pos int, n int, raw binary"
-#: The anchor of a run, as a hash of its bytes; of a window of a frequent anchor (its ``n`` is 1), all its bytes.
-_KEY = f"if(n = 1, xxhash64(raw, 1), xxhash64(substring(raw, a + 1, {ANCHOR})))"
+_PACKED = "bucket long, known boolean, packed binary"
+#: Columns of a packed row: kind of number, and whether neighbours are alike in all their bytes but the last ones.
+_COLUMNS = (("v", "<u8"), ("a", "<u2"), ("doc_id", "<i8"), ("th", "<i4"), ("pos", "<i4"), ("n", "<u2"))
+_FROM_BYTES = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _pack(small: zstandard.ZstdCompressor, columns: list[np.ndarray], text: bytes) -> bytes:
+    """Columns and the bytes of their runs one after another, compressed; bytes of one weight stand together."""
+    held = [_turned(np.ascontiguousarray(x.astype(kind)).view(np.uint8), np.dtype(kind).itemsize)
+            for x, (_, kind) in zip(columns, _COLUMNS)]
+    return small.compress(len(columns[0]).to_bytes(8, "little") + b"".join(held) + text)
+
+
+def _unpack(large: zstandard.ZstdDecompressor, packed: bytes) -> tuple[list[np.ndarray], bytes]:
+    raw = large.decompress(packed)
+    n, at, columns = int.from_bytes(raw[:8], "little"), 8, []
+    for _, kind in _COLUMNS:
+        width = np.dtype(kind).itemsize
+        columns.append(np.frombuffer(_turned(np.frombuffer(raw, np.uint8, n * width, at), n), kind))
+        at += n * width
+    return columns, raw[at:]
 
 
 def _runs(p, left: np.ndarray, key: np.ndarray, apart: np.ndarray) -> np.ndarray:
@@ -112,11 +134,12 @@ def frequent_anchors(docs: DataFrame, filters: list, hot: int, sample: int) -> n
     return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
-def _pieces_of(batches: Iterator[pd.DataFrame], filters: list[np.ndarray], frequent: np.ndarray) -> Iterator[pd.DataFrame]:
+def _pieces_of(batches: Iterator[pd.DataFrame], filters: list[np.ndarray], frequent: np.ndarray,
+               buckets: int) -> Iterator[pd.DataFrame]:
     """Runs of windows with one anchor that is repeated, with their bytes; single windows where the anchor is
     frequent. Of equal runs gathered by a task only those of the smallest identifier go on; the windows of the
-    others are removed here."""
-    anchors = Anchors()
+    others are removed here. What goes to one bucket is one packed row."""
+    anchors, small = Anchors(), zstandard.ZstdCompressor(level=1)
     held, size = [], 0
 
     def flush() -> Iterator[pd.DataFrame]:
@@ -126,14 +149,22 @@ def _pieces_of(batches: Iterator[pd.DataFrame], filters: list[np.ndarray], frequ
         order = np.lexsort((ids, same, a, v))
         new = np.r_[True, (v[order][1:] != v[order][:-1]) | (a[order][1:] != a[order][:-1]) | (same[order][1:] != same[order][:-1])]
         owner = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        on = np.zeros(len(order), bool)
-        on[order] = ids[order] == owner
-        f = ~on
-        if f.any():
-            yield pd.DataFrame({"a": None, "doc_id": ids[f], "th": keys[f], "pos": pos[f], "n": n[f], "raw": None})
-        yield pd.DataFrame({"a": a[on], "doc_id": ids[on], "th": keys[on], "pos": pos[on],
-                            "n": pd.Series(np.where(np.isin(v[on], frequent), 1, None), dtype="Int32"),
-                            "raw": [r for r, k in zip(raws, on.tolist()) if k]})
+        sent = ids[order] == owner
+        # the smallest of strings is no even number, so its bits are spread again
+        bucket = ((mixed(v) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        out = []
+        gone = order[~sent]
+        if len(gone):  # what is removed already goes along in a bucket of its own
+            columns = [x[gone] for x in (v, a, ids, keys, pos, n)]
+            out.append((int(bucket[gone[0]]), True, _pack(small, columns, b"")))
+        on = order[sent]
+        on = on[np.argsort(bucket[on], kind="stable")]
+        cut = np.flatnonzero(np.r_[True, bucket[on][1:] != bucket[on][:-1], True])
+        for i, j in zip(cut, cut[1:]):
+            rows = on[i:j]
+            out.append((int(bucket[rows[0]]), False, _pack(
+                small, [x[rows] for x in (v, a, ids, keys, pos, n)], b"".join([raws[k] for k in rows.tolist()]))))
+        yield pd.DataFrame(out, columns=["bucket", "known", "packed"])
 
     for b in batches:
         texts = raw_texts(b)
@@ -141,12 +172,16 @@ def _pieces_of(batches: Iterator[pd.DataFrame], filters: list[np.ndarray], frequ
         for p, s, left in anchors.candidates(texts, filters):
             at = p.at[left]
             key = anchors.keys(s, ANCHOR)[at]
-            cut = _runs(p, left, key, np.isin(key & ~_PLACE, frequent))
+            apart = np.isin(key & ~_PLACE, frequent)
+            cut = _runs(p, left, key, apart)
             n = np.diff(np.r_[cut, len(left)])
             first, k = at[cut], left[cut]
             text = p.units.tobytes()
             raws = [text[i:j] for i, j in zip(first.tolist(), (first + n + WINDOW - 1).tolist())]
-            held.append((key[cut] & ~_PLACE, (key[cut] & _PLACE).astype(np.int64) - first, ids[p.doc[k]], keys[p.doc[k]],
+            # runs meet by their anchor, windows of a frequent one by all their bytes
+            whole = mixed((s[first + WINDOW] - s[first]) * anchors.back[first]) ^ _FROM_BYTES
+            v = np.where(apart[cut], whole, key[cut] & ~_PLACE)
+            held.append((v, (key[cut] & _PLACE).astype(np.int64) - first, ids[p.doc[k]], keys[p.doc[k]],
                          p.pos[k], n, raws))
             size += len(cut)
             if size > GATHERED // 4:
@@ -302,45 +337,53 @@ def repeated_starts(v, a, ids, raws) -> tuple[np.ndarray, np.ndarray]:
 def repeated_strings(docs: DataFrame) -> DataFrame:
     """``doc_id, th, pos, n``: runs of windows that also start in a document with a smaller ``doc_id``."""
     filters: list = []
+    size = text_bytes(docs)
     for length in COUNTED:
         def values(texts: list[bytes], length=length, before=tuple(filters)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             return Anchors().values(texts, [f.value for f in before], length)
 
-        found = repeated_values(docs, values, f"bytes-{length}")
+        found = repeated_values(docs, values, f"bytes-{length}", dealt_bits(size))
         filters.append(docs.sparkSession.sparkContext.broadcast(found))
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_anchors(docs, filters, HOT, SAMPLE))
+    buckets = max(1, -(-size // BUCKET_BYTES))
     found = documents(docs).mapInPandas(
-        lambda batches: _pieces_of(batches, [f.value for f in filters], frequent.value), _FOUND)
+        lambda batches: _pieces_of(batches, [f.value for f in filters], frequent.value, buckets), _PACKED)
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-
-        def done(b: pd.DataFrame) -> pd.DataFrame:
-            b = b.sort_values("v", kind="stable")
-            ids, th = b["doc_id"].to_numpy(np.int64), b["th"].to_numpy(np.int64)
-            row, place = repeated_starts(b["v"].to_numpy(np.int64), b["a"].to_numpy(np.int64), ids, b["raw"].tolist())
-            k, first, n = ranges(row, place)
-            return pd.DataFrame({"doc_id": ids[k], "th": th[k], "pos": b["pos"].to_numpy(np.int64)[k] + first, "n": n})
+        large, held, now = zstandard.ZstdDecompressor(), [], None
+
+        def removed(ids, th, pos, n) -> pd.DataFrame:
+            return pd.DataFrame({"doc_id": ids, "th": th, "pos": pos, "n": n.astype(np.int32)})
+
+        def done() -> Iterator[pd.DataFrame]:
+            v, a, ids, th, pos, n = (np.concatenate([h[0][i] for h in held]) for i in range(len(_COLUMNS)))
+            text, length = b"".join([h[1] for h in held]), n.astype(np.int64) + WINDOW - 1
+            start, order = np.cumsum(length) - length, np.argsort(v, kind="stable")
+            new = np.flatnonzero(np.r_[True, v[order][1:] != v[order][:-1], True])
+            i = 0
+            while i < len(new) - 1:  # whole anchors, so many rows at once
+                j = max(i + 1, int(np.searchsorted(new, new[i] + SORTED, "right")) - 1)
+                rows, i = order[new[i]:new[j]], j
+                raws = [text[x:y] for x, y in zip(start[rows].tolist(), (start[rows] + length[rows]).tolist())]
+                row, place = repeated_starts(v[rows], a[rows].astype(np.int64), ids[rows], raws)
+                k, first, many = ranges(row, place)
+                yield removed(ids[rows][k], th[rows][k], pos[rows][k] + first, many)
 
         for b in batches:
-            known = b["raw"].isna()
-            yield b.loc[known, ["doc_id", "th", "pos", "n"]]
-            b = b[~known]
-            held.append(b)
-            size += len(b)
-            if size >= SORTED:
-                b = pd.concat(held, ignore_index=True)
-                last = b["v"].to_numpy() == b["v"].iloc[-1]
-                yield done(b[~last])
-                held = [b[last]]
-                size = len(held[0])
-        if size:
-            yield done(pd.concat(held, ignore_index=True))
-
-    # what is removed already goes along under keys of its own
-    key = F.when(F.col("raw").isNotNull(), F.expr(_KEY))
-    found = found.repartition(F.coalesce(key, F.xxhash64("doc_id", "pos")))
-    found = found.withColumn("v", key).sortWithinPartitions("v")  # not sent, made again where it arrives
+            for bucket, known, packed in zip(b["bucket"], b["known"], b["packed"]):
+                columns, text = _unpack(large, packed)
+                if known:
+                    yield removed(*columns[2:])
+                    continue
+                if held and bucket != now:
+                    yield from done()
+                    held = []
+                now = bucket
+                held.append((columns, text))
+        if held:
+            yield from done()
+
+    found = found.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return found.mapInPandas(sort, "doc_id long, th int, pos int, n int")
 
 

@@ -25,8 +25,9 @@ from sqlgauge.llm.common import materialize, text_or_empty, whole_texts
 WINDOW = 50
 #: Units worked on at once; values a task gathers before it sends them.
 UNITS, GATHERED = 500_000, 1_000_000
-#: Bits by which values are dealt to tasks, and bits of an address in the filter, at most (256 MB).
-DEALT, FILTER_BITS = 8, 31
+#: Bits by which values are dealt to groups, at least, bytes of text for each group, and bits of an address in the
+#: filter, at most (256 MB).
+DEALT, GROUP_BYTES, FILTER_BITS = 8, 1 << 22, 31
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -93,14 +94,24 @@ def _turned(b: np.ndarray, width: int) -> bytes:
     return b.reshape(-1, width).T.tobytes()
 
 
-def _deal(values: np.ndarray, twice: bool) -> pd.DataFrame:
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
+
+
+def dealt_bits(size: int) -> int:
+    """Bits by which the values of so many bytes of text are dealt: a group is as large in a large corpus as in a
+    small one."""
+    return max(DEALT, (max(size - 1, 0) // GROUP_BYTES).bit_length())
+
+
+def _deal(values: np.ndarray, twice: bool, dealt: int) -> pd.DataFrame:
     """Sorted values as one row per bucket: 32 bits of each, the bucket being the ones before. Their first bytes
     come first, then their second ones and so on: the first are in order and compress well."""
     v = np.sort(values)
     if twice:  # more than two of a value say no more than two
         v = v[np.r_[np.ones(min(2, len(v)), bool), v[2:] != v[:-2]]]
-    bucket = (v >> np.uint64(64 - DEALT)).astype(np.int64)
-    low = (v >> np.uint64(32 - DEALT)).astype("<u4")
+    bucket = (v >> np.uint64(64 - dealt)).astype(np.int64)
+    low = (v >> np.uint64(32 - dealt)).astype("<u4")
     cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(v) else np.zeros(1, int)
     return pd.DataFrame({"bucket": bucket[cut[:-1]], "v": [_turned(low[i:j].view(np.uint8), 4) for i, j in zip(cut, cut[1:])]})
 
@@ -111,10 +122,10 @@ def documents(docs: DataFrame) -> DataFrame:
 
 
 def repeated_values(docs: DataFrame, values_of: Callable[[list[bytes]], Iterator[tuple[np.ndarray, np.ndarray]]],
-                    name: str) -> np.ndarray:
+                    name: str, dealt: int = DEALT) -> np.ndarray:
     """The filter of all values that occur in two documents at least (few others may pass).
 
-    ``values_of`` yields rows of the batch and values, piece by piece.
+    ``values_of`` yields rows of the batch and values, piece by piece. ``dealt``: of ``dealt_bits``.
     """
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -128,10 +139,10 @@ def repeated_values(docs: DataFrame, values_of: Callable[[list[bytes]], Iterator
                 held.append(v[new])
                 size += len(held[-1])
                 if size > GATHERED:
-                    yield _deal(np.concatenate(held), True)
+                    yield _deal(np.concatenate(held), True, dealt)
                     held, size = [], 0
         if size:
-            yield _deal(np.concatenate(held), True)
+            yield _deal(np.concatenate(held), True, dealt)
 
     def again(key, b: pd.DataFrame) -> pd.DataFrame:
         v = np.sort(np.concatenate([np.frombuffer(_turned(np.frombuffer(x, np.uint8), len(x) // 4), "<u4") for x in b["v"]]))
@@ -139,22 +150,22 @@ def repeated_values(docs: DataFrame, values_of: Callable[[list[bytes]], Iterator
         v = v[np.r_[np.ones(min(1, len(v)), bool), v[1:] != v[:-1]]]
         return pd.DataFrame({"bucket": [key[0]], "n": [len(v)], "v": [v.tobytes()]})
 
-    dealt = documents(docs).mapInPandas(gather, "bucket long, v binary")
-    found = materialize(dealt.groupBy("bucket").applyInPandas(again, "bucket long, n long, v binary"), name)
+    sent = documents(docs).mapInPandas(gather, "bucket long, v binary")
+    found = materialize(sent.groupBy("bucket").applyInPandas(again, "bucket long, n long, v binary"), name)
     n = found.agg(F.sum("n")).first()[0] or 0
-    bits = int(np.clip(np.ceil(np.log2(16 * max(n, 1))), DEALT + 6, FILTER_BITS))
+    bits = int(np.clip(np.ceil(np.log2(16 * max(n, 1))), dealt + 6, FILTER_BITS))
 
     def segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for v in b["v"]:
-                flags = np.zeros(1 << (bits - DEALT), np.uint8)
-                flags[np.frombuffer(v, "<u4") >> np.uint32(32 - (bits - DEALT))] = 1
+                flags = np.zeros(1 << (bits - dealt), np.uint8)
+                flags[np.frombuffer(v, "<u4") >> np.uint32(32 - (bits - dealt))] = 1
                 out.append(np.packbits(flags, bitorder="little").tobytes())
             yield pd.DataFrame({"bucket": b["bucket"], "s": out})
 
     whole = np.zeros(1 << (bits - 3), np.uint8)
-    step = 1 << (bits - DEALT - 3)
+    step = 1 << (bits - dealt - 3)
     for r in found.select("bucket", "v").mapInPandas(segment, "bucket long, s binary").toLocalIterator():
         whole[r["bucket"] * step:(r["bucket"] + 1) * step] = np.frombuffer(r["s"], np.uint8)
     return whole

@@ -10,12 +10,13 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from compare import TABLES, differences
 
 import corpus_pipeline
 from sqlgauge.llm import (
     components, embedding_dedup, exact_dedup, mixing, packing, quality, queries, simhash, substring_dedup, suffix_dedup,
-    tokens, url_filter,
+    tokens, url_filter, windows,
 )
 
 SF = "/root/testdata/sf0.001"
@@ -365,14 +366,15 @@ def test_suffixes_of_a_frequent_anchor(spark, docs, monkeypatch, hot):
     line = "one line of more than fifty bytes that many documents have, " * 2
     texts = [noise() + line + noise() for _ in range(300)]
     many = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    sent, seen = [], suffix_dedup.F.expr(suffix_dedup._KEY)
+    sent = []
+
     def spread(df):
-        keys = df.where("raw IS NOT NULL").groupBy(seen.alias("k")).count()
-        sent.append(keys.agg({"count": "max"}).first()[0])
+        rows = [suffix_dedup._unpack(zstandard.ZstdDecompressor(), r["packed"]) for r in df.where("not known").collect()]
+        sent.append(np.unique(np.concatenate([columns[0] for columns, _ in rows]), return_counts=True)[1].max())
 
     frame = type(many)
     plain = frame.repartition
-    monkeypatch.setattr(frame, "repartition", lambda self, *a: (spread(self) if "raw" in self.columns else None, plain(self, *a))[1])
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: (spread(self) if "packed" in self.columns else None, plain(self, *a))[1])
     first, want = {}, {}
     for i, t in enumerate(texts):
         lost = [first.setdefault(t[k:k + 50], i) < i for k in range(len(t) - 49)]
@@ -383,6 +385,15 @@ def test_suffixes_of_a_frequent_anchor(spark, docs, monkeypatch, hot):
     assert max(sent) <= 30
 
 
+def test_many_buckets_and_groups(docs, monkeypatch):
+    """Sizes that follow the texts: the same results with as many buckets as there are lines of text."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 1 << 9)
+    monkeypatch.setattr(windows, "GROUP_BYTES", 1 << 6)
+    assert windows.dealt_bits(1 << 16) == 10 and windows.dealt_bits(0) == windows.DEALT
+    test_suffixes(docs, docs.limit(0))
+    test_substrings(docs, docs.limit(0))
+
+
 def test_suffix_order():
     rng = random.Random(2)
     raw = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 50))) for _ in range(300)]
