@@ -239,3 +239,44 @@ def manifest(docs: DataFrame, every: int = 7, levels: int = LEVELS) -> DataFrame
 
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0} END"
+_LEAF = " || ".join(_FIELD.format(c) for c in FIELDS)
+_TAMPERED = " || ".join(_FIELD.format("(n_chars + 1)" if c == "n_chars" else c) for c in FIELDS)
+# bit by bit, from the digits of the identifier
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def _sql_tower(name: str, nodes: str) -> str:
+    """All nodes ``(seq, lvl, i, h)`` above those of level 0, until one is left in each sequence."""
+    return f"""{name} AS (SELECT seq, 0 AS lvl, i, h FROM {nodes} UNION ALL
+  SELECT seq, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY seq) AS n FROM {name}) WHERE n > 1
+  GROUP BY seq, lvl, i // 2)"""
+
+
+def _sql_steps(name: str, members: str, tower: str) -> str:
+    """The way of each member through its tower, as texts: side and sibling, level by level."""
+    return f"""{name} AS (SELECT m.r, list(CASE WHEN s.h IS NULL THEN 'S' WHEN s.i < m.i >> u.lvl THEN 'L' || s.h ELSE 'R' || s.h END ORDER BY u.lvl) AS steps
+  FROM {members} m JOIN (SELECT seq, lvl, max(lvl) OVER (PARTITION BY seq) AS top FROM {tower} GROUP BY seq, lvl) u ON u.seq = m.seq AND u.lvl < u.top
+  LEFT JOIN {tower} s ON s.seq = m.seq AND s.lvl = u.lvl AND s.i = xor(m.i >> u.lvl, 1) GROUP BY m.r)"""
+
+
+SQL = f"""
+WITH RECURSIVE rows AS (SELECT *, row_number() OVER () AS r, coalesce('=' || lang, '') AS seq, sha256({_LEAF}) AS h,
+  CASE WHEN n_chars IS NOT NULL AND {_CRC} % 7 = 0 THEN sha256({_TAMPERED}) ELSE sha256({_LEAF}) END AS held FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM rows),
+{_sql_tower('up', 'leaves')},
+subroots AS (SELECT seq AS name, arg_max(h, lvl) AS h FROM up WHERE i = 0 GROUP BY seq),
+names AS (SELECT '' AS seq, name, name AS r, h, row_number() OVER (ORDER BY name) - 1 AS i FROM subroots),
+{_sql_tower('crown', 'names')},
+top AS (SELECT arg_max(h, lvl) AS root FROM crown WHERE i = 0),
+{_sql_steps('low', 'leaves', 'up')},
+{_sql_steps('high', 'names', 'crown')},
+ways AS (SELECT l.doc_id, l.h AS leaf, l.held, s.h AS subroot, root, list_concat(coalesce(a.steps, []), coalesce(b.steps, [])) AS steps
+  FROM leaves l JOIN subroots s ON s.name = l.seq CROSS JOIN top LEFT JOIN low a ON a.r = l.r LEFT JOIN high b ON b.r = l.seq),
+folded AS (SELECT *, sha256(list_aggregate(list_prepend('', list_transform(steps, lambda x: x[2:])), 'string_agg', '')) AS proof_sha256,
+  list_reduce(list_prepend(held, steps), lambda h, x: CASE x[1] WHEN 'L' THEN sha256(x[2:] || h) WHEN 'R' THEN sha256(h || x[2:]) ELSE sha256(h) END) AS folded_root FROM ways)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""

@@ -51,4 +51,5 @@ ORACLES: dict[str, str] = {
     "op8_embedding_near_dedup": _EMBEDDINGS,
     "op9_substring_dedup": _WORDS,
     "op11_exact_topk": topk.SQL,
+    "op13_merkle_manifest": merkle.SQL,
 }
