@@ -2,18 +2,22 @@
 
 ``facts`` has entity columns, a period column (a date) and numeric measures. Every pattern
 first reduces the facts to one row per entity and period, combined before the shuffle;
-windows then run over that small series: one partition holds the periods of an entity or
-the entities of a period. Figures of the whole (means, totals, maxima) are scalar
-subqueries, never windows over everything.
+windows then run over that small series: one partition holds the periods of an entity. The
+entities of a period may be any number: their total is an aggregate that is joined back, their
+ranks are counted in ranges of values and shifted by the ranges before. Figures of the whole
+(means, totals, maxima) are scalar subqueries, never windows over everything.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sqlgauge.session import materialize
+
 Entity = Sequence[str]
 
 
@@ -64,10 +68,16 @@ def year_on_year(facts: DataFrame, entity: Entity, period: str, measure: str) ->
 
 def shares(facts: DataFrame, entity: Entity, period: str, measure: str,
            within: Entity = ()) -> DataFrame:
-    """Share of each entity in the total of its period (and of ``within``)."""
-    whole = Window.partitionBy(period, *within)
+    """Share of each entity in the total of its period (and of ``within``).
+
+    The totals are a row for each period and group, summed from the series before they meet it.
+    """
     series = totals(facts, [*within, *entity], period, measure)
-    return series.withColumn("share", _share(F.col(measure), F.sum(measure).over(whole)))
+    part = [period, *within]
+    whole = series.groupBy(*[F.col(c).alias(f"_{c}") for c in part]).agg(F.sum(measure).alias("_whole"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in part])
+    joined = series.join(whole, same)
+    return joined.select(*series.columns, _share(F.col(measure), F.col("_whole")).alias("share"))
 
 
 def share_gain(facts: DataFrame, entity: Entity, period: str, measure: str, min_points: float) -> DataFrame:
@@ -92,10 +102,31 @@ def top_share(facts: DataFrame, entity: Entity, period: str, measure: str, n: in
         "place", F.rank().over(best)).filter(F.col("place") <= n)
 
 
+def distributed_rank(rows: DataFrame, within: Entity, by: str, name: str) -> DataFrame:
+    """Add ``name``: the rank of a row by falling ``by`` among the rows with the same ``within``, ties alike,
+    nulls last.
+
+    Rows are dealt to ranges of ``(within, by)``, so equal values share a range. A rank is counted inside the
+    range and shifted by the rows of the same group in the ranges before: no task holds a group, only a range.
+    """
+    order = [*[F.col(c).asc_nulls_first() for c in within], F.col(by).desc_nulls_last()]
+    ranged = materialize(
+        rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_range", *within).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("_range").alias("_r"), *[F.col(c).alias(f"_{c}") for c in within],
+                          F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_range", *within).orderBy(F.col(by).desc_nulls_last())
+    counted = ranged.withColumn("_place", F.rank().over(inside))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in within],
+                  F.col("_range") == F.col("_r"))
+    return counted.join(starts, same).select(
+        *rows.columns, (F.col("_start") + F.col("_place")).cast("int").alias(name))
+
+
 def rank_moves(facts: DataFrame, entity: Entity, period: str, measure: str) -> DataFrame:
     """Rank per period and its change (positive: moved up)."""
-    by_size = Window.partitionBy(period).orderBy(F.desc(measure))
-    ranked = totals(facts, entity, period, measure).withColumn("place", F.rank().over(by_size))
+    ranked = distributed_rank(totals(facts, entity, period, measure), [period], measure, "place")
     return ranked.withColumn("move", F.lag("place").over(_series(entity, period)) - F.col("place"))
 
 
