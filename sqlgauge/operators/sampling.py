@@ -11,6 +11,8 @@ from sqlgauge import settings as S
 from sqlgauge.functions.text import hash_bucket, prompt_key
 
 INDEX_BUCKETS = 1024
+#: Keys that picks from a pool are spread over at least; a smaller pool is copied under salts.
+PICK_KEYS = 4096
 
 
 def not_yet_done(todo: DataFrame, done: DataFrame, key: str = "query",
@@ -54,12 +56,21 @@ def draw_with_replacement(seeds: DataFrame, key: str, n_wanted: int, n_present:
 
 
 def attach_example(rows: DataFrame, key: Column, pool: DataFrame, pool_key: str) -> DataFrame:
-    """One reproducible pick from ``pool`` for every row, by an equi-join on its index."""
+    """One reproducible pick from ``pool`` for every row, by an equi-join on its index.
+
+    In a small pool an index is picked by a large share of the rows. Such a pool is copied under salts until
+    there are ``PICK_KEYS`` keys, so at most twice as many rows are copied and a key has its share of the picks.
+    Whether the pool is small enough to be broadcast is left to the sizes that are measured when it runs.
+    """
     n = pool.count()
     if n == 0:
         raise ValueError("the example pool is empty")
-    picked = rows.withColumn("row_index", hash_bucket(key, n))
-    return picked.join(dense_index(pool, pool_key), "row_index").drop("row_index")
+    copies = -(-PICK_KEYS // n)
+    salted = F.concat(key, F.lit("/salt"))
+    picked = rows.withColumns({"row_index": hash_bucket(key, n), "_salt": hash_bucket(salted, copies)})
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint")))
+    offered = dense_index(pool, pool_key).withColumn("_salt", salts)
+    return picked.join(offered, ["row_index", "_salt"]).drop("row_index", "_salt")
 
 
 def fault_for(key: Column) -> Column:
