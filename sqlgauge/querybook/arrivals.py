@@ -41,12 +41,12 @@ def stream_scores_once(spark: SparkSession, sf: str) -> DataFrame:
     schema = talks.schema
 
     def run() -> None:
-        arriving = _long(completion_stream(spark, f"{drops}/*", schema, files_per_batch=1))
+        arriving = _long(completion_stream(spark, f"{drops}/*", schema, files_per_batch=8))
         score_stream(arriving, out, progress).awaitTermination()
 
-    talks.filter("turn < 2").coalesce(1).write.parquet(f"{drops}/first")
+    talks.filter("turn < 2").write.parquet(f"{drops}/first")
     run()
-    talks.filter("turn < 4").coalesce(1).write.parquet(f"{drops}/second")
-    talks.coalesce(1).write.parquet(f"{drops}/third")
+    talks.filter("turn < 4").write.parquet(f"{drops}/second")
+    talks.write.parquet(f"{drops}/third")
     run()
     return _scores(spark, out)

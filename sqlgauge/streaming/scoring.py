@@ -2,8 +2,9 @@
 
 Every micro-batch goes to its own folder of the result table (run of the checkpoint, number
 of the batch), written with overwrite, so a batch that is replayed after a failure replaces
-itself and nothing else. Keys that were scored before are
-dropped by joining with the results of the other batches; no state grows in the stream.
+itself and nothing else. Keys that this checkpoint has scored are held in Spark's state store,
+spread by key: a batch looks up its own keys only, whatever was scored before. Results of other
+checkpoints are listed once, when the stream starts, and joined only if there are any.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from hashlib import sha256
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -38,28 +40,33 @@ def completion_stream(spark: SparkSession, path: str, schema: StructType,
     return reader.parquet(path)
 
 
-def _scored_before(spark: SparkSession, out: str, run: str, batch_id: int) -> DataFrame:
-    """Keys of all other batches; the current one is left out in case it is replayed."""
+def _scored_elsewhere(spark: SparkSession, out: str, run: str) -> DataFrame | None:
+    """Keys in the results of other checkpoints, None if there are none."""
     try:
         done = spark.read.schema("key string, run string, batch bigint").parquet(out)
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return spark.createDataFrame([], "key string")
-        raise
-    return done.filter((F.col("run") != run) | (F.col("batch") != batch_id)).select("key")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    others = done.filter(F.col("run") != run).select("key")
+    return None if others.isEmpty() else others
 
 
 def score_stream(completions: DataFrame, out: str, checkpoint: str, score: Score = basic_scores,
                  once_per_key: bool = True) -> StreamingQuery:
-    """Score everything available now, append to ``out`` and stop. Run again for more."""
+    """Score everything available now, append to ``out`` and stop. Run again for more.
+
+    With ``once_per_key`` streams of different checkpoints write to one ``out`` one after the other, not at once.
+    """
     run = "r" + sha256(checkpoint.encode()).hexdigest()[:16]
+    if once_per_key:
+        elsewhere = _scored_elsewhere(completions.sparkSession, out, run)
+        if elsewhere is not None:
+            completions = completions.join(elsewhere, "key", "left_anti")
+        completions = completions.dropDuplicates(["key"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch
-        if once_per_key:
-            before = _scored_before(batch.sparkSession, out, run, batch_id)
-            fresh = batch.dropDuplicates(["key"]).join(before, "key", "left_anti")
-        score(fresh).write.mode("overwrite").parquet(f"{out}/run={run}/batch={batch_id}")
+        score(batch).write.mode("overwrite").parquet(f"{out}/run={run}/batch={batch_id}")
 
     return (
         completions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
