@@ -84,12 +84,16 @@ VALUE_CLOSENESS = Closeness(S.VALUE_REL_TOL, S.VALUE_ZERO_TOL, _value_near, _val
 
 
 def first_fit_hits(items: DataFrame, keys: Sequence[str], closeness: Closeness, dims: int,
-                   fold_limit: int = FOLD_LIMIT, group_limit: int = GROUP_LIMIT) -> DataFrame:
+                   fold_limit: int = FOLD_LIMIT, group_limit: int = GROUP_LIMIT,
+                   complete: bool = False) -> DataFrame:
     """``(keys, n_left, n_right, hits)``: items per side and left items that find a partner.
 
     ``items`` has the keys, ``side`` ('left' or 'right'), ``pos`` (order within the side),
     ``block`` (exact part, text) and ``vec`` (numbers, at most ``dims`` of them). An item that
     can match nothing has a null block.
+
+    ``complete``: the caller only asks which keys match item for item. A component with unequal sides leaves
+    an item over, so its key is settled and not played through: its hits are a lower bound, below its items.
     """
     keys = list(keys)
     stored = materialize(items.withColumnRenamed("block", "grp"), "first-fit")
@@ -97,10 +101,14 @@ def first_fit_hits(items: DataFrame, keys: Sequence[str], closeness: Closeness,
                                        F.count_if(F.col("side") == "right").alias("n_right"))
     solved, todo = [], stored.filter("grp is not null")
     for dim in range(max(dims, 1)):
-        marked = _mark_components(todo, keys, closeness, dim, max(dims, 1))
+        marked = materialize(_mark_components(todo, keys, closeness, dim, max(dims, 1)), "components")
         solved.append(marked.filter("decided and cell = run").select(
             *keys, F.least("n_left", "n_right").alias("hits")))
-        todo = materialize(_undecided(todo, marked, keys, closeness, dim), "first-fit")
+        left = _undecided(todo, marked, keys, closeness, dim)
+        if complete:
+            uneven = marked.filter("cell = run and n_left <> n_right").select(*keys).distinct()
+            left = left.join(uneven, keys, "left_anti")
+        todo = materialize(left, "first-fit")
         largest = todo.agg(F.max("n_items")).first()[0] or 0
         if largest <= fold_limit:  # nothing left, or small enough without further splitting
             break

@@ -78,23 +78,23 @@ def rows_close(gold: Column, pred: Column) -> Column:
 
 
 def _fuzzy_items(rows: DataFrame) -> DataFrame:
-    """Split rows into exact part and numbers. A row with a NaN cell matches nothing."""
+    """Split rows into exact part and numbers."""
     is_number = lambda c: F.coalesce(c["val"].rlike(NUMBER_PATTERN), F.lit(False))
     exact = F.transform(F.col("cells"), lambda c: F.struct(
         c["col"].alias("col"), is_number(c).alias("num"),
         F.when(~is_number(c), c["val"]).alias("val")))
     numbers = F.transform(F.filter("cells", is_number), lambda c: numeric(c["val"]))
-    matchable = ~F.exists("cells", lambda c: c["val"].eqNullSafe("NaN"))
     return rows.select(
         "case_id", F.when(_is("gold"), "left").otherwise("right").alias("side"),
         F.col("row_no").alias("pos"),
-        F.when(matchable, F.sha2(F.to_json(exact), 256)).alias("block"), numbers.alias("vec"))
+        F.sha2(F.to_json(exact), 256).alias("block"), numbers.alias("vec"))
 
 
-def fuzzy_matches(rows: DataFrame, dims: int | None = None, **limits: int) -> DataFrame:
+def fuzzy_matches(rows: DataFrame, dims: int | None = None, **limits: int | bool) -> DataFrame:
     """``(case_id, n_matched)``: gold rows that first-fit matching pairs with a close row.
 
-    ``dims`` is the largest number of numeric cells in a row, counted if not given.
+    ``dims`` is the largest number of numeric cells in a row, counted if not given. With ``complete`` only
+    cases in which all rows match are counted in full; others show less than their rows.
     """
     items = _fuzzy_items(rows)
     if dims is None:
@@ -118,7 +118,7 @@ def staged_verdict(pairs: DataFrame, outcomes: DataFrame, rows: DataFrame,
     todo = rows.join(ran.select("case_id"), "case_id", "left_semi")
     strict = materialize(strict_equality(todo), "strict")
     undecided = strict.filter(~F.col("strict_equal") & (F.col("n_gold") == F.col("n_pred")))
-    matched = fuzzy_matches(todo.join(undecided.select("case_id"), "case_id", "left_semi"), dims)
+    matched = fuzzy_matches(todo.join(undecided.select("case_id"), "case_id", "left_semi"), dims, complete=True)
     count = lambda c: F.coalesce(F.col(c), F.lit(0))
     n_gold, n_pred = count("n_gold"), count("n_pred")
     stage = (
