@@ -25,9 +25,9 @@ def within(x: Column, y: Column, rel: float = S.CELL_REL_TOL, tol: float = S.CEL
 
 
 def cells_close(a: Column, b: Column, rel: float = S.CELL_REL_TOL, tol: float = S.CELL_ABS_TOL) -> Column:
-    """Equal text or close numbers; null equals null only; NaN equals nothing."""
+    """Equal text or close numbers; null equals null only. ``NaN`` is a text here, so it equals itself only."""
     close = F.coalesce(within(numeric(a), numeric(b), rel, tol), F.lit(False))
-    return F.when(a.eqNullSafe("NaN") | b.eqNullSafe("NaN"), F.lit(False)).otherwise(a.eqNullSafe(b) | close)
+    return a.eqNullSafe(b) | close
 
 
 def value_hit(pred: Column, gold: Column) -> Column:

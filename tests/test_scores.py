@@ -14,7 +14,7 @@ lit = F.lit
 
 
 @pytest.mark.parametrize("a, b, want", [
-    ("1", "1.0009", True), ("1", "1.0011", False), ("0", "1e-7", True), ("NaN", "NaN", False),
+    ("1", "1.0009", True), ("1", "1.0011", False), ("0", "1e-7", True), ("NaN", "NaN", True), ("NaN", "nan", False), ("NaN", "1", False),
     ("100", "100.0", True), (None, None, True), ("None", None, False), ("1d", "1", False), (" 7 ", "7", True)])
 def test_cells_close(evaluate, a, b, want):
     assert evaluate(C.cells_close, a, b) is want
