@@ -2,7 +2,7 @@
 
 Every source has a weight that changes over the training time 0 to 1. Integrated, it says how many of the
 source's words have been asked for at each time. The words of a source stand in a fixed order (by a hash of
-``doc_id``), repeated as often as needed; a document's training position is the time at which the demand
+``doc_id`` and text), repeated as often as needed; a document's training position is the time at which the demand
 reaches its first word: the integral inverted. Documents are then range-sorted by position.
 """
 
@@ -29,7 +29,7 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
-        F.xxhash64("doc_id").alias("_order"))
+        F.xxhash64("doc_id", "text").alias("_order"))
 
 
 def _cycle(values, rank: Column) -> Column:
@@ -65,7 +65,8 @@ def curriculum(rows: DataFrame, n_rows: int, weights=WEIGHTS, ramps=RAMPS, most:
 
     Words are taken whole: ``taken`` sums to the rounded target of the source, so the last document used may
     be taken in part. Null sources are one source, the last in order; documents without words are never taken.
-    Rows with one ``doc_id`` are ordered by size. Prefix sums are made in buckets of a source's order, then
+    The order is a hash of ``doc_id`` and text, so rows without ``doc_id`` are spread too, and only rows that are
+    alike in both can change places. Prefix sums are made in buckets of a source's order, then
     over the buckets, so a source may hold any share of the rows.
     """
     buckets = max(LEAST_BUCKETS, n_rows // BUCKET_ROWS)
@@ -95,7 +96,7 @@ def curriculum(rows: DataFrame, n_rows: int, weights=WEIGHTS, ramps=RAMPS, most:
     rows = rows.withColumn("occurrences", uses)
     taken = F.aggregate("occurrences", F.lit(0).cast("long"), lambda n, u: n + u["words"])
     return rows.select("_doc", "_id", F.col("_size").alias("size"), "source_size", "target",
-                       taken.alias("taken"), "occurrences")
+                       taken.alias("taken"), "occurrences", "_order")
 
 
 def training_order(docs: DataFrame, **options) -> DataFrame:
@@ -118,5 +119,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(measured(docs).drop("_doc").withColumn("_doc", F.lit(None).cast("string")), "mix-sizes")
     mix = curriculum(rows, rows.count())
     mix = mix.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken",
-                     F.try_element_at("occurrences", F.lit(1))["position"].alias("position"))
-    return mix.repartitionByRange("position").sortWithinPartitions("position")
+                     F.try_element_at("occurrences", F.lit(1))["position"].alias("position"), "_order")
+    # documents that are not taken have no position: they come last, by identifier, in ranges like the others
+    by = [F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last(), F.col("_order")]
+    return mix.repartitionByRange(*by).sortWithinPartitions(*by).drop("_order")
