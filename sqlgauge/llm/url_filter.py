@@ -118,9 +118,10 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return lower, F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def keys_of(host: Column, path: Column, lengths: Sequence[int]) -> Column:
-    """Rules that could fit, the longest first."""
-    parts = F.split(host, r"\.")
+def keys_of(host: Column, path: Column, lengths: Sequence[int], labels: int) -> Column:
+    """Rules that could fit, the longest first: suffixes of the host of up to ``labels`` labels (no rule has
+    more), prefixes of the path of the ``lengths`` that rules have. Their number does not depend on the url."""
+    parts = F.split(F.substring_index(host, ".", -labels), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(
         F.slice(parts, i, F.size(parts)), "."))
     prefixes = F.flatten(F.array(*[F.when(F.length(path) >= n, F.array(path.substr(F.lit(1), F.lit(n))))
@@ -132,7 +133,8 @@ def keys_of(host: Column, path: Column, lengths: Sequence[int]) -> Column:
 def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, unlisted: str = UNLISTED) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for each row of ``pages``.
 
-    Without rules, or where none fits, the rule is null and the verdict ``unlisted``; repeated rows stay; other
+    Without rules, or where none fits, the rule is null and the verdict ``unlisted``; repeated rows stay, rows
+    without ``page_id`` too; a host of any number of labels has no more keys than the longest rule; other
     columns are not read.
     """
     spark = pages.sparkSession
@@ -140,19 +142,22 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, unli
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
     verdicts = {h + p: v for h, p, v in rules}
     lengths = sorted({len(p) for _, p, _ in rules}) or [0]
-    urls = urls.withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths))
+    labels = max((h.count(".") + 1 for h, _, _ in rules), default=1)
+    urls = urls.withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths, labels))
     universe = materialize(urls.select(F.explode("keys").alias("key")).distinct(), "url-keys")
 
     def listed(wanted: list[str]) -> DataFrame:
         return spark.createDataFrame([(k,) for k in wanted], "key string")
 
-    rest = universe.where(~F.col("key").isin(list(verdicts))) if verdicts else universe
+    rest = universe.join(listed(list(verdicts)), "key", "left_anti")
     known = cascade(listed(list(verdicts)), len(verdicts), rest, rest.count())
     split = {v: [k for k in verdicts if verdicts[k] == v] for v in ("block", "allow")}
     blocks = cascade(listed(split["block"]), len(split["block"]), listed(split["allow"]), len(split["allow"]))
+    filters = spark.sparkContext.broadcast((known, blocks))  # O(rules x log(keys / rules)) bits
 
     @F.pandas_udf("struct<rule string, verdict string>")
     def judge(keys: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        known, blocks = filters.value
         sizes = np.array([len(k) for k in keys], np.int64)
         flat = [k for row in keys for k in row]
         levels = max(len(known), len(blocks), 1)
