@@ -20,6 +20,9 @@ from sqlgauge.llm.common import materialize, table, text_or_empty, whole_texts
 
 #: Share of the pooled covariance, and of the multiple of the identity, in a class covariance.
 POOLED, SPHERE = 0.05, 0.02
+#: Least mean variance (in units of the pooled one) that the identity is taken by: above the rounding of sums of
+#: products, so that a class whose documents are all alike has a factor too.
+LEAST_SPHERE = 1e-2
 #: Documents with this score are accepted; one of so many folds is held out.
 THRESHOLD, FOLDS = 0.3, 5
 
@@ -130,7 +133,7 @@ def fit(features: DataFrame, labels: DataFrame) -> Discriminant:
     for k in (0, 1):
         share = max(POOLED, min(1.0, d / n[k]))  # few rows lean on the pooled one
         c = ((1 - share) * covs[k] + share * pooled) / np.outer(scale, scale)
-        c = (1 - SPHERE) * c + SPHERE * max(np.trace(c) / d, 1e-6) * np.eye(d)
+        c = (1 - SPHERE) * c + SPHERE * max(np.trace(c) / d, LEAST_SPHERE) * np.eye(d)
         low = np.linalg.cholesky(c)
         factors.append(np.linalg.inv(low) / scale)
         offsets.append(float(np.log(n[k] / n.sum()) - np.log(np.diag(low)).sum()))
@@ -138,7 +141,8 @@ def fit(features: DataFrame, labels: DataFrame) -> Discriminant:
 
 
 def scored(features: DataFrame, model: Discriminant) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for each row of ``vectors``; an empty table stays empty."""
+    """``doc_id, held_out, score, predicted`` for each row of ``vectors``; an empty table stays empty. Repeated
+    rows are scored each, and count each where they are labelled."""
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.array(x.tolist(), float).reshape(-1, len(FEATURES))))
