@@ -30,7 +30,8 @@ WITH b AS (SELECT o_orderkey, o_orderstatus, {I.sql_bucket('o_orderkey::VARCHAR'
 c AS (SELECT *, CASE WHEN o_orderstatus = 'P' AND form IN (3, 5) THEN CASE form WHEN 3 THEN NULL ELSE 'NaN' END ELSE p END AS a FROM b),
 d AS (SELECT *, {I.sql_pick('form', *_CELL_FORMS)} AS b FROM c),
 n AS (SELECT *, CASE WHEN regexp_matches(a, {_NUMBER}) THEN trim(a)::DOUBLE END AS x, CASE WHEN regexp_matches(b, {_NUMBER}) THEN trim(b)::DOUBLE END AS y FROM d)
-SELECT o_orderkey, a IS NOT DISTINCT FROM b OR coalesce({sql_near('x', 'y')}, false) AS is_close FROM n""")
+SELECT o_orderkey, CASE WHEN a IS NOT DISTINCT FROM 'NaN' OR b IS NOT DISTINCT FROM 'NaN' THEN false
+  ELSE a IS NOT DISTINCT FROM b OR coalesce({sql_near('x', 'y')}, false) END AS is_close FROM n""")
 def cell_closeness(spark: SparkSession, sf: str) -> DataFrame:
     form = hash_bucket(F.col("o_orderkey").cast("string"), 8)
     rows = table(spark, sf, "orders").select(
@@ -42,7 +43,8 @@ def cell_closeness(spark: SparkSession, sf: str) -> DataFrame:
     scaled = lambda k: (a.try_cast("double") * k).cast("string")
     b = I.pick(F.col("form"), a, scaled(1.0009), scaled(1.0011), F.lit(None).cast("string"), "None", "NaN",
                F.concat(F.lit(" "), a, F.lit(" ")), F.col("o_orderstatus"))
-    return rows.select("o_orderkey", cells_close(a, b).alias("is_close"))
+    # prices are numbers: one that reads NaN is no text
+    return rows.select("o_orderkey", cells_close(a, b, numbers=True).alias("is_close"))
 
 
 @query("row_closeness", "E2", f"""

@@ -1,6 +1,11 @@
 """Tables as folders, statements in numbers, files and texts of any size."""
 
+import pytest
+from pyspark.sql import functions as F
+
+from sqlgauge.functions import scores as C
 from sqlgauge.querybook import arrivals
+from sqlgauge.querybook.results import cell_closeness
 from sqlgauge.session import scratch_path
 
 
@@ -18,3 +23,20 @@ def test_stream_reads_a_table_that_is_one_file(spark, tmp_path):
     talks = spark.createDataFrame([(7, 1, "assistant", "a")], "conv_id bigint, turn int, role string, text string")
     talks.toPandas().to_parquet(tmp_path / "conversations.parquet")
     assert [r["key"] for r in arrivals.stream_scores(spark, str(tmp_path)).collect()] == ["7-1"]
+
+
+@pytest.mark.parametrize("a, b, want", [
+    ("NaN", "NaN", False), ("NaN", "1", False), ("nan", "nan", True), (None, None, True), (None, "NaN", False), ("1", "1.0", True)])
+def test_cells_of_number_columns_that_read_nan_are_close_to_nothing(evaluate, a, b, want):
+    assert evaluate(lambda x, y: C.cells_close(x, y, numbers=True), a, b) is want
+
+
+def test_prices_that_are_no_numbers_are_not_close(spark):
+    sf = scratch_path(spark, "tables")
+    orders = spark.range(64).select(F.col("id").alias("o_orderkey"), F.lit("P").alias("o_orderstatus"), F.lit(2.5).alias("o_totalprice"))
+    orders.write.parquet(f"{sf}/orders.parquet")
+    form = F.conv(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 15), 16, 10).cast("bigint") % 8
+    got = cell_closeness(spark, sf).withColumn("form", form).collect()
+    assert {r["is_close"] for r in got if r["form"] == 5} == {False}
+    assert {r["is_close"] for r in got if r["form"] in (0, 1, 3, 6)} == {True}
+
