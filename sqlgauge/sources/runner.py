@@ -7,9 +7,10 @@ the engine are refused.
 Statements that differ only in constants they compare with (``... = 17``, ``... = 'F'``) are a
 family. A family of some size is analysed once, and runs as one lateral join of the table of its
 constants with the statement: one job, however many members it has, and their texts never come
-to the driver. The other statements run in pages, a page as one union in one job. A job that
-fails is halved until the statement that makes it fail is alone; its error is its outcome, as is
-a run that takes longer than a limit.
+to the driver. A family that a lateral join would change is only analysed as one: if its first
+and its last member fail alike, so do all. The other statements run in pages, a page as one union
+in one job. A job that fails is halved until the statement that makes it fail is alone; its error
+is its outcome, as is a run that takes longer than a limit.
 
 All jobs write to one table, in a part of their own each; the parts of jobs that ended are read.
 """
@@ -49,8 +50,10 @@ _EQUALS = r"(?<![<>!=])=\s*"
 _COMMENT = r"--[^\n]*|/\*(?!\+).*?\*/"
 _PIECE = rf"(?s)({_COMMENT}|{_EQUALS}(?:'[^'\\]*'(?!')|\d{{1,9}}(?![\w.]))|'(?:[^'\\]|'')*'|[^'=/-]+|.)"
 _CONSTANT = r"\A=\s*['\d]"
+# What pieces are not told in: such statements have no family.
+_UNREAD = r"/\*\+|[`\"\\]"
 # What a lateral join would read in another way, or keeps no order of: such statements run by themselves.
-_ALONE = (r"(?is)/\*\+|[`\"\\]|\b(?:order|limit|offset|fetch|over|union|except|minus|intersect|tablesample|lateral|"
+_ALONE = (r"(?is)\b(?:order|limit|offset|fetch|over|union|except|minus|intersect|tablesample|lateral|"
           r"rand|randn|random|uuid|shuffle|monotonically_increasing_id|from_json)\b")
 _TEXT_MARK, _NUMBER_MARK = "= {text}", "= {number}"
 
@@ -77,7 +80,11 @@ def statement_table(statements: DataFrame, sql: str) -> DataFrame:
 
 
 def with_family(statements: DataFrame) -> DataFrame:
-    """Add ``family`` (the text with marks for its constants, null if it must run alone) and ``constants``."""
+    """Add ``family`` (the text with marks for its constants, null if it must run alone) and ``constants``.
+
+    ``alike`` is such a text for the statements that must run alone, followed by which of the constants are the
+    same; null if the constants cannot be told.
+    """
     pieces = F.regexp_extract_all("sql_text", F.lit(_PIECE), 1)
     is_constant = lambda p: p.rlike(_CONSTANT)
     bare = lambda p: F.regexp_replace(p, r"\A=\s*", "")
@@ -85,11 +92,16 @@ def with_family(statements: DataFrame) -> DataFrame:
         bare(p).startswith("'"), F.lit(_TEXT_MARK)).otherwise(F.lit(_NUMBER_MARK))
     found = statements.withColumn("_pieces", pieces)
     # a mark that the text holds by itself would be taken for a constant
-    plain = ~F.col("sql_text").rlike(_ALONE) & ~F.col("sql_text").rlike(r"= \{(?:text|number)\}")
-    return found.withColumns({
-        "family": F.when(plain & F.exists("_pieces", is_constant), F.array_join(F.transform("_pieces", mark), "")),
+    plain = ~F.col("sql_text").rlike(_UNREAD) & ~F.col("sql_text").rlike(r"= \{(?:text|number)\}")
+    text = F.when(plain & F.exists("_pieces", is_constant), F.array_join(F.transform("_pieces", mark), ""))
+    alone = F.col("sql_text").rlike(_ALONE)
+    found = found.withColumns({
+        "family": F.when(~alone, text),
+        "alike": F.when(alone, text),
         "constants": F.transform(F.filter("_pieces", is_constant), lambda p: F.regexp_replace(bare(p), "\\A'|'\\z", "")),
     }).drop("_pieces")
+    same = F.array_join(F.transform("constants", lambda c: F.array_position("constants", c).cast("string")), ",")
+    return found.withColumn("alike", F.concat("alike", F.lit("\n-- "), same))
 
 
 def guarded_session(spark: SparkSession, views: Mapping[str, str] | None = None) -> SparkSession:
@@ -227,7 +239,11 @@ class _Run:
         try:
             names = as_query(self.session, family["sample"]).columns
         except Exception as error:
-            return [tell(1, 0, False, _failure(key, error))]
+            failure = _failure(key, error)
+            return [tell(1, 0, False, failure) if family["family"] or self.fails_alike(family["last"], failure)
+                    else tell(1, 0, None)]
+        if not family["family"]:
+            return [tell(1, 0, None)]
         if not self.execute:
             return [tell(1, 0, True)]
 
@@ -246,6 +262,13 @@ class _Run:
 
         return part(1, 0)
 
+    def fails_alike(self, sql: str, failure: Row) -> bool:
+        try:
+            as_query(self.session, sql)
+        except Exception as error:
+            return _failure(failure["sql_key"], error) == failure
+        return False
+
     def members(self, family: Row, expected: list[str], pieces: int, piece: int) -> DataFrame | None:
         """Result rows of a piece of a family; null if its columns are named after the constants."""
         given = self.session.read.parquet(f"{self.base}/statements").where(
@@ -292,12 +315,14 @@ def run_statements(session: SparkSession, statements: DataFrame, execute: bool =
     """
     spark = statements.sparkSession
     run = _Run(session, scratch_path(spark, "statements"), execute, timeout)
-    keyed = with_family(statements).withColumn("family_key", F.sha2("family", 256))
+    keyed = with_family(statements).withColumn(
+        "family_key", F.sha2(F.coalesce("family", "alike"), 256)).drop("alike")
     keyed.write.parquet(f"{run.base}/statements")
     stored = spark.read.schema(keyed.schema).parquet(f"{run.base}/statements")
     todo = stored.where("refused is null")
-    families = todo.where("family is not null").groupBy("family_key", "family").agg(
-        F.count(F.lit(1)).alias("n"), F.min("sql_text").alias("sample"), F.max(F.size("constants")).alias("width"))
+    families = todo.where("family_key is not null").groupBy("family_key", "family").agg(
+        F.count(F.lit(1)).alias("n"), F.min("sql_text").alias("sample"), F.max("sql_text").alias("last"),
+        F.max(F.size("constants")).alias("width"))
 
     def keep(name: str, schema: str, parts: Iterator[list[Row]]) -> DataFrame:
         """Store rows that the driver makes, part by part."""

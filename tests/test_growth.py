@@ -7,6 +7,7 @@ from sqlgauge.functions import scores as C
 from sqlgauge.querybook import arrivals
 from sqlgauge.querybook.results import cell_closeness
 from sqlgauge.session import scratch_path
+from sqlgauge.sources import runner
 
 
 def test_stream_reads_a_table_that_is_a_folder(spark):
@@ -40,3 +41,24 @@ def test_prices_that_are_no_numbers_are_not_close(spark):
     assert {r["is_close"] for r in got if r["form"] == 5} == {False}
     assert {r["is_close"] for r in got if r["form"] in (0, 1, 3, 6)} == {True}
 
+
+
+def test_statements_that_fail_alike_are_not_analysed_one_by_one(spark, monkeypatch):
+    texts = [f"SELECT n_name FROM nation WHERE n_nationkey = {k} UNION ALL SELECT n_name, 1 FROM nation" for k in range(40)]
+    texts += [f"SELECT n_name FROM nation WHERE n_nationkey = {k} ORDER BY n_name" for k in range(12)]
+    # members whose constants are the same in other places fail in other ways
+    texts += [f"SELECT n_regionkey = {k}, count(*) FROM nation GROUP BY n_regionkey = {k + k % 2} LIMIT 5" for k in range(20)]
+    session = runner.guarded_session(spark, {"nation": "/root/testdata/sf0.001/nation.parquet"})
+    statements = runner.statement_table(spark.createDataFrame([(t,) for t in texts], "sql string"), "sql")
+    paged = []
+    page = runner._Run.page
+    monkeypatch.setattr(runner._Run, "page", lambda self, rows: paged.extend(r["sql_text"] for r in rows) or page(self, rows))
+
+    def outcomes(family):
+        found = statements.join(runner.run_statements(session, statements, family=family).outcomes, "sql_key")
+        return {r["sql_text"]: (r["ok"], r["condition"]) for r in found.collect()}
+
+    each = outcomes(10**6)
+    paged.clear()
+    assert outcomes(8) == each and len(each) == len(texts)
+    assert sum(not ok for ok, _ in each.values()) == 50 and not [t for t in paged if "UNION" in t]
