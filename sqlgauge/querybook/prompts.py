@@ -29,11 +29,16 @@ def sql_render(template_id: str, **values: str) -> str:
     return "(" + " || ".join(parts) + ")"
 
 
+#: Rows of a CSV file at most.
+CSV_ROWS = 50_000
+
+
 # --- sources and sinks ----------------------------------------------------------
 
 def _round_trip(df: DataFrame, name: str) -> str:
+    """Written in files of a bounded number of rows: a file with line ends in its fields is read by one task."""
     path = scratch_path(df.sparkSession, name)
-    df.write.options(header=True, quote='"', escape='"').csv(path)
+    df.write.options(header=True, quote='"', escape='"', maxRecordsPerFile=CSV_ROWS).csv(path)
     return path
 
 
