@@ -12,6 +12,7 @@ from sqlgauge.operators import votes as V
 from sqlgauge.plans import evaluate as E
 from sqlgauge.querybook import inputs as I
 from sqlgauge.querybook.registry import query, rounded, table
+from sqlgauge.session import dealt
 
 _NUMBER = r"'^\s*[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?\s*$'"
 
@@ -75,7 +76,7 @@ WITH {I.CASE_ROWS}, {_STRICT}, f AS (SELECT case_id, row, min(pos) AS first_pos
 SELECT case_id, sum(g - p)::BIGINT AS n_only_gold, arg_min(row, first_pos) AS sample_row
 FROM counts JOIN f USING (case_id, row) WHERE g > p GROUP BY case_id""")
 def only_in_gold(spark: SparkSession, sf: str) -> DataFrame:
-    return R.only_in_gold(I.case_rows(spark, sf))
+    return R.only_in_gold(dealt(I.stored_case_rows(spark, sf), "case_id"))
 
 
 _GOLD_JSON = """'{"amount":"' || v.amount || '","idx":"' || v.idx || '","status":"' || v.status || '"}'"""
@@ -92,7 +93,7 @@ SELECT case_id, side, any_value(n_rows) AS n_rows, 'rows: ' || any_value(n_rows)
   || CASE WHEN any_value(n_rows) > 10 THEN chr(10) || '(more rows not shown)' ELSE '' END AS preview
 FROM r JOIN c USING (case_id, side) WHERE n <= 10 GROUP BY case_id, side""")
 def result_preview(spark: SparkSession, sf: str) -> DataFrame:
-    return R.result_preview(I.case_rows(spark, sf))
+    return R.result_preview(dealt(I.stored_case_rows(spark, sf), "case_id"))
 
 
 def sql_walk(near: str, lefts: str, rights: str, keys: str = "case_id") -> str:
