@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlgauge import settings as S
-from sqlgauge.functions.text import hash_bucket, prompt_key
+from sqlgauge.functions.text import bind, hash_bucket, prompt_key
 
 INDEX_BUCKETS = 1024
 #: Keys that picks from a pool are spread over at least; a smaller pool is copied under salts.
@@ -90,11 +90,18 @@ def swap_metric(question: Column, key: Column, metrics: Sequence[str]) -> Column
     ordered = sorted(metrics, key=lambda m: (-len(m), m))
     names = F.array(*[F.lit(m) for m in ordered])
     pattern = "(" + "|".join("\\Q" + m + "\\E" for m in ordered) + ")"
-    hit = F.regexp_extract(question, pattern, 1)
     step = hash_bucket(key, len(ordered) - 1) + 1
-    other = F.get(names, ((F.array_position(names, hit) - 1 + step) % len(ordered)).cast("int"))
-    at = F.instr(question, hit)
-    swapped = F.concat(F.substr(question, F.lit(1), at - 1), other,
-                       F.substr(question, at + F.length(hit)))
-    changed = (hit != "") & (swapped != question)
-    return F.struct(F.when(changed, swapped).alias("question"), F.when(changed, other).alias("metric"))
+
+    def other(hit: Column) -> Column:
+        metric = F.get(names, ((F.array_position(names, hit) - 1 + step) % len(ordered)).cast("int"))
+        return F.when(hit != "", F.struct(hit.alias("hit"), F.instr(question, hit).alias("at"), metric.alias("metric")))
+
+    def swapped(o: Column) -> Column:
+        text = F.concat(F.substr(question, F.lit(1), o["at"] - 1), o["metric"],
+                        F.substr(question, o["at"] + F.length(o["hit"])))
+        return F.struct(text.alias("question"), o["metric"].alias("metric"))
+
+    none = F.lit(None).cast("string")
+    return bind(bind(bind(F.regexp_extract(question, pattern, 1), other), swapped), lambda s: F.struct(
+        F.when(s["question"] != question, s["question"]).otherwise(none).alias("question"),
+        F.when(s["question"] != question, s["metric"]).otherwise(none).alias("metric")))

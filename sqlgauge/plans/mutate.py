@@ -3,6 +3,9 @@
 Each function is one declarative plan from seeds and a response table (see
 ``sources.exchange``) to rows with a ``status``. A seed that drops out keeps its reason, so
 nothing disappears silently; ``status = 'ok'`` (or ``'success'``) marks finished rows.
+
+A step that needs replies of its own may be stored and passed on in place of the seeds: columns it
+has made already are not made again.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from sqlgauge.functions.text import (
 )
 from sqlgauge.operators.sampling import attach_example, fault_for, swap_metric
 from sqlgauge.operators.votes import unanimous_vote
+from sqlgauge.session import once
 from sqlgauge.sources.exchange import attach_responses
 
 
@@ -67,14 +71,14 @@ def clarify_rewrites(seeds: DataFrame, responses: DataFrame) -> DataFrame:
     """Seeds with the parsed rewrite ``r`` and whether it can be used."""
     asked = attach_responses(with_gaps(seeds, "clarify"), clarify_request(), responses, "rewrite")
     usable = ~is_blank(F.col("r.ambiguous_question")) & ~F.col("r.rewrite_logic").contains(S.CANNOT_REWRITE)
-    return asked.withColumn("r", json_fields(F.col("rewrite"), REWRITE_FIELDS)).withColumn(
+    return once(asked, r=json_fields(F.col("rewrite"), REWRITE_FIELDS)).withColumn(
         "rewritten", (F.col("gaps") == "") & F.coalesce((F.col("r.status") == "ok") & usable, F.lit(False)))
 
 
 def clarify_rows(seeds: DataFrame, responses: DataFrame) -> DataFrame:
-    rows = attach_responses(clarify_rewrites(seeds, responses), clarify_reasoning_request(),
-                            responses, "reasoning")
-    rows = rows.withColumn("c", tagged_blocks(F.col("reasoning"), S.CLARIFY_TAG))
+    rewrites = seeds if "rewritten" in seeds.columns else clarify_rewrites(seeds, responses)
+    rows = attach_responses(rewrites, clarify_reasoning_request(), responses, "reasoning")
+    rows = once(rows, c=tagged_blocks(F.col("reasoning"), S.CLARIFY_TAG))
     status = (
         F.coalesce(_gap_status(),
                    F.when(F.col("rewrite").isNull(), F.lit("no_reply"))
@@ -98,12 +102,13 @@ def reject_request() -> Column:
 
 def metric_swaps(seeds: DataFrame, metrics: Sequence[str]) -> DataFrame:
     swap = swap_metric(F.col("question"), F.col("query"), metrics)
-    return with_gaps(seeds, "metric_reject").withColumn("swap", F.when(F.col("gaps") == "", swap))
+    return once(with_gaps(seeds, "metric_reject"), swap=F.when(F.col("gaps") == "", swap))
 
 
 def reject_rows(seeds: DataFrame, responses: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    rows = attach_responses(metric_swaps(seeds, metrics), reject_request(), responses)
-    rows = rows.withColumn("c", tagged_blocks(F.col("reply"), S.CONCLUSION_TAG, S.REFUSAL_SENTENCE))
+    swaps = seeds if "swap" in seeds.columns else metric_swaps(seeds, metrics)
+    rows = attach_responses(swaps, reject_request(), responses)
+    rows = once(rows, c=tagged_blocks(F.col("reply"), S.CONCLUSION_TAG, S.REFUSAL_SENTENCE))
     status = F.coalesce(
         _gap_status(),
         F.when(F.col("swap.question").isNull(), F.lit("no_metric"))
@@ -140,10 +145,10 @@ def constraint_reasoning_request() -> Column:
 def constraint_steps(seeds: DataFrame, responses: DataFrame) -> DataFrame:
     """Seeds with the extracted constraint ``x``, the check reply and the extended prompt."""
     rows = attach_responses(with_gaps(seeds, "constraint_ask"), constraint_request(), responses, "extract")
-    rows = rows.withColumn("x", fenced_json_fields(F.col("extract"), EXTRACT_FIELDS))
+    rows = once(rows, x=fenced_json_fields(F.col("extract"), EXTRACT_FIELDS))
     rows = attach_responses(rows, constraint_check_request(), responses, "check")
     open_case = constraint_check_request().isNotNull() & ~constraint_met(F.col("check"))
-    return rows.withColumn("open_case", F.coalesce(open_case, F.lit(False))).withColumn(
+    return once(rows, open_case=F.coalesce(open_case, F.lit(False))).withColumn(
         "modified_prompt", F.when(F.col("open_case"), insert_constraint(
             F.col("query"), F.col("x.constraint_description"))))
 
@@ -152,12 +157,14 @@ def constraint_examples(seeds: DataFrame, responses: DataFrame, examples: DataFr
                         example_key: str) -> DataFrame:
     """Steps with one example each. ``examples``: example_key, original_question, response."""
     pool = examples.select(example_key, "original_question", F.col("response").alias("example_response"))
-    return attach_example(constraint_steps(seeds, responses), prompt_key(F.col("query")), pool, example_key)
+    steps = seeds if "modified_prompt" in seeds.columns else constraint_steps(seeds, responses)
+    return attach_example(steps, prompt_key(F.col("query")), pool, example_key)
 
 
 def constraint_rows(seeds: DataFrame, responses: DataFrame, examples: DataFrame,
                     example_key: str) -> DataFrame:
-    steps = constraint_examples(seeds, responses, examples, example_key)
+    attached = "example_response" in seeds.columns
+    steps = seeds if attached else constraint_examples(seeds, responses, examples, example_key)
     rows = attach_responses(steps, constraint_reasoning_request(), responses, "reasoning")
     status = F.coalesce(
         _gap_status(),
@@ -216,10 +223,10 @@ def steps_reasoning_request() -> Column:
 def steps_candidates(draws: DataFrame, responses: DataFrame) -> DataFrame:
     """Invented question ``q`` and refined ``sql`` per drawn seed (null where a reply fails)."""
     rows = attach_responses(with_gaps(draws, "multi_step"), steps_request(), responses, "invented")
-    rows = rows.withColumn("q", fenced_json_fields(F.col("invented"), QUESTION_FIELDS))
+    rows = once(rows, q=fenced_json_fields(F.col("invented"), QUESTION_FIELDS))
     rows = attach_responses(rows, steps_sql_request(), responses, "refined")
     refined = fenced_json_fields(F.col("refined"), ("sql",))
-    return rows.withColumn("s", refined).withColumn(
+    return once(rows, s=refined).withColumn(
         "sql", F.when((F.col("s.status") == "ok") & (F.col("q.status") == "ok"), F.col("s.sql")))
 
 
@@ -260,7 +267,7 @@ def fault_request() -> Column:
 
 def fault_seeds(seeds: DataFrame) -> DataFrame:
     """Seeds with sections, correct SQL and one drawn fault type."""
-    rows = with_gaps(seeds, "reflection").withColumn("correct_sql", sql_in_reply(F.col("response")))
+    rows = once(with_gaps(seeds, "reflection"), correct_sql=sql_in_reply(F.col("response")))
     gaps = F.when(F.col("correct_sql").isNull(), F.concat_ws(",", F.nullif("gaps", F.lit("")), F.lit("sql")))
     return rows.withColumn("gaps", gaps.otherwise(F.col("gaps"))).withColumn(
         "fault", fault_for(F.col("query")))
@@ -271,7 +278,8 @@ FAULT_COLUMNS = ("query", "question", "correct_sql", "schema", "knowledge", "dom
 
 def broken_statements(seeds: DataFrame, responses: DataFrame) -> DataFrame:
     """Two broken statements per seed with a usable reply."""
-    rows = attach_responses(fault_seeds(seeds), fault_request(), responses, "faults")
+    rows = seeds if "fault" in seeds.columns else fault_seeds(seeds)
+    rows = attach_responses(rows, fault_request(), responses, "faults")
     return explode_faults(rows.filter(F.col("gaps") == ""), "faults", *FAULT_COLUMNS)
 
 
@@ -326,8 +334,8 @@ def corpus_family(rows: DataFrame, task: str, source: str, columns: Mapping[str,
 
 def seed_rows(seeds: DataFrame) -> DataFrame:
     """Seeds that hold a statement, as plain SQL rows of the corpus."""
-    rows = seeds.select("query", question_text(F.col("query")).alias("question"),
-                        sql_in_reply(F.col("response")).alias("sql"),
+    rows = once(seeds, sql=sql_in_reply(F.col("response"))).select(
+        "query", question_text(F.col("query")).alias("question"), "sql",
                         F.nullif(first_think(F.col("response")), F.lit("")).alias("think")).where("sql is not null")
     return corpus_family(rows, "sql", "seed", {
         "prompt": "query", "question": "question", "answer": "sql", "reasoning": "think"})

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlgauge import settings as S
-from sqlgauge.functions.text import hash_bucket, prompt_key
+from sqlgauge.functions.text import hash_bucket, prompt_key, with_sections
 from sqlgauge.plans import mutate as M
 from sqlgauge.plans.execution import validity
 from sqlgauge.operators.resultsets import row_text
 from sqlgauge.querybook import inputs as I
-from sqlgauge.querybook.mutations import _DRAWS, _b, _draws, _stored_seeds
+from sqlgauge.querybook.mutations import _DRAWS, _b, _draws
 from sqlgauge.querybook.prompts import sql_render
 from sqlgauge.querybook.registry import query, table
 from sqlgauge.session import materialize
@@ -188,8 +188,8 @@ def reflection_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reflected(spark: SparkSession, sf: str) -> DataFrame:
-    stored = _stored_seeds(spark, sf)
-    first = materialize(I.replies(M.fault_seeds(stored), M.fault_request(), _fault_reply()), "replies")
+    stored = materialize(M.fault_seeds(with_sections(I.seeds(spark, sf))), "seeds")
+    first = materialize(I.replies(stored, M.fault_request(), _fault_reply()), "replies")
     broken = materialize(M.broken_statements(stored, first), "broken")
     outcomes = _run(spark, sf, broken, "error_sql").outcomes
     failing = materialize(M.failing_statements(broken, outcomes), "failing")
