@@ -52,7 +52,8 @@ def _canonical_token(t: Column) -> Column:
     return (
         F.when(first.isin("'", '"', "`"), t)
         .when(upper.isin(*KEYWORDS), upper)
-        .otherwise(F.lower(F.regexp_replace(t, r"\s+", "")))
+        .when(t.contains("."), F.lower(F.regexp_replace(t, r"\s+", "")))  # blanks are in dotted names only
+        .otherwise(F.lower(t))
     )
 
 

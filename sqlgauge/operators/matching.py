@@ -83,20 +83,22 @@ VALUE_CLOSENESS = Closeness(S.VALUE_REL_TOL, S.VALUE_ZERO_TOL, _value_near, _val
                             _value_near_np)
 
 
-def first_fit_hits(items: DataFrame, keys: Sequence[str], closeness: Closeness, dims: int,
+def first_fit_hits(items: DataFrame, keys: Sequence[str], closeness: Closeness, dims: int | None,
                    fold_limit: int = FOLD_LIMIT, group_limit: int = GROUP_LIMIT,
                    complete: bool = False) -> DataFrame:
     """``(keys, n_left, n_right, hits)``: items per side and left items that find a partner.
 
     ``items`` has the keys, ``side`` ('left' or 'right'), ``pos`` (order within the side),
-    ``block`` (exact part, text) and ``vec`` (numbers, at most ``dims`` of them). An item that
-    can match nothing has a null block.
+    ``block`` (exact part, text) and ``vec`` (numbers, at most ``dims`` of them, counted if not given). An item
+    that can match nothing has a null block.
 
     ``complete``: the caller only asks which keys match item for item. A component with unequal sides leaves
     an item over, so its key is settled and not played through: its hits are a lower bound, below its items.
     """
     keys = list(keys)
     stored = materialize(items.withColumnRenamed("block", "grp"), "first-fit")
+    if dims is None:
+        dims = stored.agg(F.max(F.size("vec"))).first()[0] or 0
     counts = stored.groupBy(*keys).agg(F.count_if(F.col("side") == "left").alias("n_left"),
                                        F.count_if(F.col("side") == "right").alias("n_right"))
     solved, todo = [], stored.filter("grp is not null")

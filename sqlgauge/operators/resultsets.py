@@ -96,10 +96,7 @@ def fuzzy_matches(rows: DataFrame, dims: int | None = None, **limits: int | bool
     ``dims`` is the largest number of numeric cells in a row, counted if not given. With ``complete`` only
     cases in which all rows match are counted in full; others show less than their rows.
     """
-    items = _fuzzy_items(rows)
-    if dims is None:
-        dims = items.agg(F.max(F.size("vec"))).first()[0] or 0
-    hits = first_fit_hits(items, ["case_id"], CELL_CLOSENESS, dims, **limits)
+    hits = first_fit_hits(_fuzzy_items(rows), ["case_id"], CELL_CLOSENESS, dims, **limits)
     return hits.select("case_id", F.col("hits").alias("n_matched"))
 
 
@@ -118,7 +115,8 @@ def staged_verdict(pairs: DataFrame, outcomes: DataFrame, rows: DataFrame,
     todo = rows.join(ran.select("case_id"), "case_id", "left_semi")
     strict = materialize(strict_equality(todo), "strict")
     undecided = strict.filter(~F.col("strict_equal") & (F.col("n_gold") == F.col("n_pred")))
-    matched = fuzzy_matches(todo.join(undecided.select("case_id"), "case_id", "left_semi"), dims, complete=True)
+    # undecided cases are among those that ran
+    matched = fuzzy_matches(rows.join(undecided.select("case_id"), "case_id", "left_semi"), dims, complete=True)
     count = lambda c: F.coalesce(F.col(c), F.lit(0))
     n_gold, n_pred = count("n_gold"), count("n_pred")
     stage = (

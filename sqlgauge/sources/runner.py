@@ -39,6 +39,8 @@ OUTCOME_SCHEMA = "sql_key string, ok boolean, condition string, message string"
 ROW_SCHEMA = "sql_key string, row_no bigint, cells array<struct<col: string, val: string>>"
 # Calls into the JVM, names built at run time, and scripts (a USING that names a command).
 FORBIDDEN_PATTERN = r"(?i)\b(?:reflect|java_method|try_reflect)\b|\bidentifier \(|\busing [?\"]"
+# Every text in which that pattern finds something has one of these words, in any case; other texts need no tokens.
+_SUSPECT = r"(?iu)reflect|java_method|identifier|using"
 #: Statements of a page, members from which on a family runs as one, and pieces of a family that failed.
 PAGE = 32
 FAMILY = 8
@@ -49,7 +51,6 @@ TIME_LIMIT = "TIME_LIMIT"
 _EQUALS = r"(?<![<>!=])=\s*"
 _COMMENT = r"--[^\n]*|/\*(?!\+).*?\*/"
 _PIECE = rf"(?s)({_COMMENT}|{_EQUALS}(?:'[^'\\]*'(?!')|\d{{1,9}}(?![\w.]))|'(?:[^'\\]|'')*'|[^'=/-]+|.)"
-_CONSTANT = r"\A=\s*['\d]"
 # What pieces are not told in: such statements have no family.
 _UNREAD = r"/\*\+|[`\"\\]"
 # What a lateral join would read in another way, or keeps no order of: such statements run by themselves.
@@ -69,7 +70,7 @@ class Corpus:
 def refusal(sql: Column) -> Column:
     """Why a statement is refused before it reaches the engine; null if it is not."""
     return F.when(F.coalesce(is_blank(sql), F.lit(True)), F.lit("BLANK_STATEMENT")).when(
-        masked(token_text(sql)).rlike(FORBIDDEN_PATTERN), F.lit("FORBIDDEN_CALL"))
+        sql.rlike(_SUSPECT), F.when(masked(token_text(sql)).rlike(FORBIDDEN_PATTERN), F.lit("FORBIDDEN_CALL")))
 
 
 def statement_table(statements: DataFrame, sql: str) -> DataFrame:
@@ -86,9 +87,11 @@ def with_family(statements: DataFrame) -> DataFrame:
     same; null if the constants cannot be told.
     """
     pieces = F.regexp_extract_all("sql_text", F.lit(_PIECE), 1)
-    is_constant = lambda p: p.rlike(_CONSTANT)
+    # a piece that begins with a sign of equality holds nothing else or is a constant
+    is_constant = lambda p: p.startswith("=") & (p != "=")
     bare = lambda p: F.regexp_replace(p, r"\A=\s*", "")
-    mark = lambda p: F.when(p.rlike(r"\A(?:--|/\*)"), F.lit(" ")).when(~is_constant(p), p).when(
+    comment = lambda p: p.startswith("--") | p.startswith("/*")
+    mark = lambda p: F.when(comment(p), F.lit(" ")).when(~is_constant(p), p).when(
         bare(p).startswith("'"), F.lit(_TEXT_MARK)).otherwise(F.lit(_NUMBER_MARK))
     found = statements.withColumn("_pieces", pieces)
     # a mark that the text holds by itself would be taken for a constant
@@ -347,7 +350,8 @@ def run_statements(session: SparkSession, statements: DataFrame, execute: bool =
     if not execute:
         return Corpus(outcomes, None)
     spark.createDataFrame([], ROW_SCHEMA).write.parquet(f"{run.base}/rows/job=-1")
-    ended = spark.createDataFrame([(n,) for n in run.ended], "job int")
+    # a handful of numbers: rows are not dealt by the job that made them
+    ended = F.broadcast(spark.createDataFrame([(n,) for n in run.ended], "job int"))
     rows = spark.read.schema(ROW_SCHEMA + ", job int").parquet(f"{run.base}/rows")
     return Corpus(outcomes, rows.join(ended, "job", "left_semi").select("sql_key", "row_no", "cells"))
 
