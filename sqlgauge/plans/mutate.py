@@ -68,11 +68,14 @@ def clarify_reasoning_request() -> Column:
 
 
 def clarify_rewrites(seeds: DataFrame, responses: DataFrame) -> DataFrame:
-    """Seeds with the parsed rewrite ``r`` and whether it can be used."""
-    asked = attach_responses(with_gaps(seeds, "clarify"), clarify_request(), responses, "rewrite")
+    """Prompt and question of the seeds with the parsed rewrite ``r`` and whether it was ``answered`` and can be used."""
+    asked = attach_responses(with_gaps(seeds, "clarify"), clarify_request(), responses, "rewrite").select(
+        "query", "question", "gaps", "rewrite")
     usable = ~is_blank(F.col("r.ambiguous_question")) & ~F.col("r.rewrite_logic").contains(S.CANNOT_REWRITE)
-    return once(asked, r=json_fields(F.col("rewrite"), REWRITE_FIELDS)).withColumn(
-        "rewritten", (F.col("gaps") == "") & F.coalesce((F.col("r.status") == "ok") & usable, F.lit(False)))
+    return once(asked, r=json_fields(F.col("rewrite"), REWRITE_FIELDS)).withColumns({
+        "answered": F.col("rewrite").isNotNull(),
+        "rewritten": (F.col("gaps") == "") & F.coalesce((F.col("r.status") == "ok") & usable, F.lit(False)),
+    }).drop("rewrite")
 
 
 def clarify_rows(seeds: DataFrame, responses: DataFrame) -> DataFrame:
@@ -81,7 +84,7 @@ def clarify_rows(seeds: DataFrame, responses: DataFrame) -> DataFrame:
     rows = once(rows, c=tagged_blocks(F.col("reasoning"), S.CLARIFY_TAG))
     status = (
         F.coalesce(_gap_status(),
-                   F.when(F.col("rewrite").isNull(), F.lit("no_reply"))
+                   F.when(~F.col("answered"), F.lit("no_reply"))
                    .when(F.col("r.status") != "ok", F.concat(F.lit("rewrite "), F.col("r.status")))
                    .when(~F.col("rewritten"), F.lit("unrewritable"))
                    .when(F.col("c.status") != "ok", F.concat(F.lit("reasoning "), F.col("c.status")))
@@ -142,15 +145,21 @@ def constraint_reasoning_request() -> Column:
         example_think=first_think(F.col("example_response"))))
 
 
+def constraint_extracts(seeds: DataFrame, responses: DataFrame) -> DataFrame:
+    """Prompt and question of the seeds with the extracted constraint ``x``."""
+    rows = attach_responses(with_gaps(seeds, "constraint_ask"), constraint_request(), responses, "extract").select(
+        "query", "question", "gaps", "extract")
+    return once(rows, x=fenced_json_fields(F.col("extract"), EXTRACT_FIELDS)).drop("extract")
+
+
 def constraint_steps(seeds: DataFrame, responses: DataFrame) -> DataFrame:
-    """Seeds with the extracted constraint ``x``, the check reply and the extended prompt."""
-    rows = attach_responses(with_gaps(seeds, "constraint_ask"), constraint_request(), responses, "extract")
-    rows = once(rows, x=fenced_json_fields(F.col("extract"), EXTRACT_FIELDS))
-    rows = attach_responses(rows, constraint_check_request(), responses, "check")
+    """Extracted constraints with the outcome of the check and the extended prompt."""
+    extracts = seeds if "x" in seeds.columns else constraint_extracts(seeds, responses)
+    rows = attach_responses(extracts, constraint_check_request(), responses, "check")
     open_case = constraint_check_request().isNotNull() & ~constraint_met(F.col("check"))
     return once(rows, open_case=F.coalesce(open_case, F.lit(False))).withColumn(
         "modified_prompt", F.when(F.col("open_case"), insert_constraint(
-            F.col("query"), F.col("x.constraint_description"))))
+            F.col("query"), F.col("x.constraint_description")))).drop("check")
 
 
 def constraint_examples(seeds: DataFrame, responses: DataFrame, examples: DataFrame,
@@ -334,8 +343,9 @@ def corpus_family(rows: DataFrame, task: str, source: str, columns: Mapping[str,
 
 def seed_rows(seeds: DataFrame) -> DataFrame:
     """Seeds that hold a statement, as plain SQL rows of the corpus."""
+    question = F.col("question") if set(SECTIONS) <= set(seeds.columns) else question_text(F.col("query"))
     rows = once(seeds, sql=sql_in_reply(F.col("response"))).select(
-        "query", question_text(F.col("query")).alias("question"), "sql",
+        "query", question.alias("question"), "sql",
                         F.nullif(first_think(F.col("response")), F.lit("")).alias("think")).where("sql is not null")
     return corpus_family(rows, "sql", "seed", {
         "prompt": "query", "question": "question", "answer": "sql", "reasoning": "think"})

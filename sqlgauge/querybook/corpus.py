@@ -10,7 +10,7 @@ from sqlgauge.querybook import inputs as I
 from sqlgauge.querybook import mutations, statements
 from sqlgauge.querybook.mutations import _CLARIFY, _CONSTRAINT, _REJECT, _SWAP
 from sqlgauge.querybook.registry import ORACLES, query
-from sqlgauge.session import materialize, scratch_path
+from sqlgauge.session import passing_tables, scratch_path
 from sqlgauge.sources.tables import write_by_task
 
 
@@ -33,19 +33,27 @@ UNION ALL {_counted('reflection', 'mutation', f"({ORACLES['reflection_rows']})",
 UNION ALL {_counted('sql', 'seed', 'seeds', "'ok'", "CASE WHEN state = 'O' THEN 1 END")}
 UNION ALL {_GIVEN}) SELECT * FROM counted""")
 def training_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of all eight tasks, stored by task; how many there are, and how many tell their reasoning."""
+    """Rows of all eight tasks, stored by task; how many there are, and how many tell their reasoning.
+
+    The corpus is stored family by family, those with the largest tables first: what a family writes on its way
+    is gone before the next one begins.
+    """
+    path = scratch_path(spark, "corpus")
     completions = I.completions(spark, sf).select(
         "task", F.col("prompt_id").cast("string").alias("prompt"), F.col("gold").alias("answer"),
         F.nullif(M.first_think(F.col("content")), F.lit("")).alias("reasoning"))
-    corpus = M.training_corpus(
-        {
-            "clarify": mutations.clarified(spark, sf).where("status = 'ok'"),
-            "metric_reject": mutations.rejected(spark, sf).where("status = 'ok'"),
-            "constraint_ask": M.finished_constraints(mutations.constrained(spark, sf)),
-            "multi_step": statements.multi_step_rows(spark, sf).where("status = 'ok'"),
-            "reflection": statements.reflected(spark, sf),
-        },
-        M.seed_rows(materialize(I.seeds(spark, sf), "seeds")), M.given_rows(completions))
-    stored = write_by_task(corpus, scratch_path(spark, "corpus"))
+    with passing_tables(spark):
+        seeds = mutations.stored_seeds(spark, sf)
+        families = {
+            "constraint_ask": lambda: M.finished_constraints(mutations.constrained(seeds)),
+            "reflection": lambda: statements.reflected(spark, sf, seeds),
+            "clarify": lambda: mutations.clarified(seeds).where("status = 'ok'"),
+            "metric_reject": lambda: mutations.rejected(seeds).where("status = 'ok'"),
+            "multi_step": lambda: statements.stepped(spark, sf, seeds).where("status = 'ok'"),
+        }
+        for task, made in families.items():
+            with passing_tables(spark):
+                write_by_task(M.training_corpus({task: made()}), path, "append")
+        stored = write_by_task(M.training_corpus({}, M.seed_rows(seeds), M.given_rows(completions)), path, "append")
     return stored.groupBy("task", "source", "status").agg(
         F.count("*").alias("n_rows"), F.count("reasoning").alias("n_reasoned"))

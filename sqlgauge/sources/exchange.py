@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlgauge.functions.text import join_key, prompt_key
+from sqlgauge.functions.text import join_bytes, join_key, key_bytes, prompt_key
 
 
 def request_table(rows: DataFrame, prompt: Column, suffix: str = "") -> DataFrame:
@@ -25,8 +25,8 @@ def request_table(rows: DataFrame, prompt: Column, suffix: str = "") -> DataFram
 def attach_responses(rows: DataFrame, prompt: Column, responses: DataFrame, name: str = "reply",
                      suffix: str = "") -> DataFrame:
     """Add the reply to each row's prompt; unanswered prompts keep a null."""
-    replies = responses.select("prompt_key", F.col("text").alias(name))
-    keyed = rows.withColumn("prompt_key", join_key(F.concat(prompt, F.lit(suffix)), *rows.columns))
+    replies = responses.select(key_bytes(F.col("prompt_key")).alias("prompt_key"), F.col("text").alias(name))
+    keyed = rows.withColumn("prompt_key", join_bytes(F.concat(prompt, F.lit(suffix)), *rows.columns))
     return keyed.join(replies, "prompt_key", "left").drop("prompt_key")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sqlgauge.session import passing_shuffles
+
 
 def _text(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -65,14 +67,16 @@ def append_rows(df: DataFrame, path: str) -> None:
         df.write.mode("append").parquet(path)
 
 
-def write_by_task(df: DataFrame, path: str) -> DataFrame:
+def write_by_task(df: DataFrame, path: str, mode: str = "error") -> DataFrame:
     """Store a corpus in one folder for each task, and read it back: a reader of one task opens that folder only.
 
-    Rows are dealt to files by task and a part of their prompt, so a task that holds most rows is many files.
+    Rows are dealt to files by task and prompt, so a task that holds most rows is many files. With mode ``append`` a
+    corpus can be stored family by family.
     """
     spark = df.sparkSession
-    parts = F.pmod(F.xxhash64("prompt"), F.lit(spark.sparkContext.defaultParallelism))
-    df.repartition("task", parts).write.partitionBy("task").parquet(path)
+    dealt = df.repartition("task", "prompt")
+    with passing_shuffles(spark):
+        dealt.write.mode(mode).option("compression", "zstd").partitionBy("task").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
