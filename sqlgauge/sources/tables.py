@@ -70,11 +70,12 @@ def append_rows(df: DataFrame, path: str) -> None:
 def write_by_task(df: DataFrame, path: str, mode: str = "error") -> DataFrame:
     """Store a corpus in one folder for each task, and read it back: a reader of one task opens that folder only.
 
-    Rows are dealt to files by task and prompt, so a task that holds most rows is many files. With mode ``append`` a
-    corpus can be stored family by family.
+    Rows are dealt to files by task and prompt (those without one by all they hold), so a task that holds most rows
+    is many files. With mode ``append`` a corpus can be stored family by family.
     """
     spark = df.sparkSession
-    dealt = df.repartition("task", "prompt")
+    row = F.when(F.col("prompt").isNull(), F.xxhash64(*df.columns)).otherwise(F.xxhash64("prompt"))
+    dealt = df.repartition("task", row)
     with passing_shuffles(spark):
         dealt.write.mode(mode).option("compression", "zstd").partitionBy("task").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

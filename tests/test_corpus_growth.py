@@ -87,6 +87,18 @@ def test_a_corpus_is_stored_family_by_family(spark, shared):
     assert sorted(d for d in os.listdir(path) if d.startswith("task=")) == ["task=a", "task=b"]
 
 
+def test_rows_without_a_prompt_are_many_files(spark, shared):
+    rows = spark.range(200).select(F.lit("a").alias("task"), F.lit(None).cast("string").alias("prompt"),
+                                   F.col("id").cast("string").alias("answer"))
+    name, path = "spark.sql.adaptive.coalescePartitions.enabled", scratch_path(spark, "corpus")
+    spark.conf.set(name, "false")
+    try:
+        assert write_by_task(rows, path).count() == 200
+    finally:
+        spark.conf.unset(name)
+    assert len([f for f in os.listdir(f"{path}/task=a") if f.endswith(".parquet")]) > 3
+
+
 def test_replies_meet_rows_by_bytes_of_their_key(spark):
     rows = spark.createDataFrame([(1, "p"), (2, "p"), (3, "q"), (4, None), (5, "r")], "id bigint, prompt string")
     keys = spark.createDataFrame([("p",), ("p",), ("r",)], "t string").select(
